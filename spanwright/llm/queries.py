@@ -30,7 +30,28 @@ def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_exact_topk": op2_exact_topk, "op5_ann": op5_ann}
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_store import store_and_digest, tokenizer_path
+
+    return store_and_digest(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_language_id, op2_exact_topk, op3_substring_dedup, op4_token_orc, op5_ann, op9_mixing)
+}
 
 ORACLE_SQL = {
     "op2_exact_topk": """
@@ -43,4 +64,16 @@ p AS (
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op3_substring_dedup": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+x AS (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 11)) AS p FROM d WHERE len(ws) >= 13),
+g AS (SELECT r, doc_id, p, md5(array_to_string(ws[p:p + 12], ' ')) AS h FROM x),
+m AS (SELECT h, min(doc_id) AS least FROM g GROUP BY h),
+hit AS (SELECT r, p FROM g JOIN m USING (h) WHERE g.doc_id > m.least),
+gone AS (SELECT DISTINCT r, p + k AS p FROM hit, (SELECT unnest(range(13)) AS k)),
+w AS (SELECT d.r, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM d),
+kept AS (SELECT w.r, string_agg(w.w, ' ' ORDER BY w.p) AS t FROM w ANTI JOIN gone ON gone.r = w.r AND gone.p = w.p GROUP BY w.r),
+n AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN kept ON kept.r = d.r""",
 }
