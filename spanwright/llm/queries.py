@@ -42,6 +42,12 @@ def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_digest(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -50,7 +56,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_exact_topk, op3_substring_dedup, op4_token_orc, op5_ann, op9_mixing)
+    for f in (op1_language_id, op2_exact_topk, op3_substring_dedup, op4_token_orc, op5_ann, op6_ngram_join, op9_mixing)
 }
 
 ORACLE_SQL = {
