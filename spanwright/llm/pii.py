@@ -24,13 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY, ROUNDS = "change-this-key", 8
-ALPHABETS = {"digit": "0123456789", "hex": "0123456789abcdef", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "upper36": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"}
+ALPHABETS = {"digit": "0123456789", "hex": "0123456789abcdef", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "base62": "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "upper36": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"}
 
 #: Patterns by kind, tried in this order at each place.
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9](?:[\w.+-]{0,62}[A-Za-z0-9_])?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "secret": r"(?<![\w])(?:(?i:password|passwd|token|secret|api_key))\s*[=:]\s*\x22?[A-Za-z0-9]{8,64}(?![\w])|(?<![\w])[0-9a-f]{40}(?![\w])|(?<![\w])AKIA[A-Z0-9]{16}(?![\w])",
-    "iban": r"(?<![\w])[A-Z]{2}[0-9]{13,32}(?![\w])",
+    "iban": r"(?<![\w])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![\w])",
     "phone": r"(?<![\w+])\+[0-9]{1,3} ?\([0-9]{2,4}\) ?[0-9]{3}[ -]?[0-9]{4}(?![\w])|(?<![\w+])\+[0-9]{10,14}(?![\w])",
     "date": r"(?<![\w.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\w-])|(?<![\w./])[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?![\w/])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
@@ -48,7 +48,7 @@ def let(value: Column, body) -> Column:
 def _stream(text: Column, radix: Column) -> Column:
     """One number below each radix, from a hash of text."""
     digest = F.sha2(text, 512)
-    return F.transform(radix, lambda r, i: F.conv(F.substring(digest, i * 4 + 1, F.lit(4)), 16, 10).cast("int") % r)
+    return F.transform(radix, lambda r, i: F.conv(F.substring(digest, (i * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("int") % r)
 
 
 def permute(values: Column, radix: Column, kind: str, key: str = KEY, undo: bool = False) -> Column:
@@ -76,24 +76,125 @@ def _characters(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
+def _locate(c: Column, letters: str) -> Column:
+    return F.call_function("locate", c, F.lit(letters))
+
+
+def _refill(chars: Column, letters: str, new: Column) -> Column:
+    """The text of chars, those in letters replaced in turn by the numbered letters of new."""
+
+    def step(s: Column, c: Column) -> Column:
+        put = F.substring(F.lit(letters), F.get(new, s["k"]).cast("int") + 1, F.lit(1))
+        ours = _locate(c, letters) > 0
+        return F.struct(F.concat(s["t"], F.when(ours, put).otherwise(c)).alias("t"), (s["k"] + F.when(ours, 1).otherwise(0)).alias("k"))
+
+    return F.aggregate(chars, F.struct(F.lit("").alias("t"), F.lit(0).alias("k")), step, lambda s: s["t"])
+
+
+def _numbers(chars: Column, letters: str) -> Column:
+    return F.filter(F.transform(chars, lambda c: (_locate(c, letters) - 1).cast("int")), lambda v: v >= 0)
+
+
 def permute_text(text: Column, alphabet: str, kind: str, key: str = KEY, undo: bool = False) -> Column:
     """Permutes the characters of text that are in the alphabet; others stay in place."""
     letters = ALPHABETS[alphabet]
-
-    def body(chars: Column) -> Column:
-        places = F.transform(chars, lambda c: F.instr(F.lit(letters), c) - 1 if False else F.locate_in(letters, c))
-        return places
-
-    del body
-    return let(_characters(text), lambda chars: let(
-        F.filter(F.transform(chars, lambda c: F.locate(c, F.lit(letters)) - 1), lambda v: v >= 0),
-        lambda own: let(
-            permute(own, F.transform(own, lambda _: F.lit(len(letters))), kind, key, undo),
-            lambda new: F.aggregate(
-                chars, F.struct(F.lit("").alias("t"), F.lit(1).alias("k")),
-                lambda s, c: F.when(F.locate(c, F.lit(letters)) > 0, F.struct(F.concat(s["t"], F.substring(F.lit(letters), F.get(new, s["k"] - 1) + 1, F.lit(1))).alias("t"), (s["k"] + 1).alias("k")))
-                .otherwise(F.struct(F.concat(s["t"], c).alias("t"), s["k"].alias("k"))),
-                lambda s: s["t"],
-            ),
-        ),
+    radix = lambda own: F.transform(own, lambda _: F.lit(len(letters)))
+    return let(_characters(text), lambda chars: let(_numbers(chars, letters), lambda own: _refill(chars, letters, permute(own, radix(own), kind, key, undo))))
+
+
+def _card(text: Column, key: str, undo: bool) -> Column:
+    """First digit and validity stay: the digits between are permuted and the check digit is chosen anew."""
+    digits = F.regexp_replace(text, "[^0-9]", "")
+
+    def body(d: Column) -> Column:
+        head = F.concat(F.substring(d, 1, 1), permute_text(F.substring(d, F.lit(2), F.length(d) - 2), "digit", "card", key, undo))
+        valid = let(head, lambda h: F.element_at(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: F.concat(h, c.cast("string"))), lambda n: F.call_function("luhn_check", n)), 1))
+        full = let(valid, lambda v: _refill(_characters(text), ALPHABETS["digit"], _numbers(_characters(v), ALPHABETS["digit"])))
+        return F.when(F.call_function("luhn_check", d), full).otherwise(text)
+
+    return let(digits, body)
+
+
+def mod97(text: Column) -> Column:
+    """Remainder of an IBAN whose first four characters stand at its end; letters count from 10."""
+    values = F.transform(_characters(text), lambda c: (_locate(c, "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ") - 1).cast("int"))
+    return F.aggregate(values, F.lit(0), lambda acc, v: F.when(v > 9, (acc * 100 + v) % 97).otherwise((acc * 10 + v) % 97))
+
+
+def _iban(text: Column, key: str, undo: bool) -> Column:
+    land, rest = F.substring(text, 1, 2), F.substring(text, F.lit(5), F.length(text))
+    valid = mod97(F.concat(rest, F.substring(text, 1, 4))) == 1
+    new = let(permute_text(rest, "digit", "iban", key, undo), lambda r: F.concat(land, F.lpad((F.lit(98) - mod97(F.concat(r, land, F.lit("00")))).cast("string"), 2, "0"), r))
+    return F.when(valid, new).otherwise(text)
+
+
+def _date(text: Column, key: str, undo: bool) -> Column:
+    """Days since 1800-01-01 as 189 times 773."""
+    plain = F.regexp_replace(text, "[/.]", "-")
+    mark = F.regexp_extract(text, "[-/.]", 0)
+    first, days = F.to_date(F.lit("1800-01-01")), 189 * 773
+    out = text
+    for form in ("MM-dd-yyyy", "dd-MM-yyyy", "yyyy-MM-dd"):  # the last that parses holds
+        when = F.try_to_date(plain, form)
+        age = F.datediff(when, first)
+        new = let(permute(F.array((age / 773).cast("int"), (age % 773).cast("int")), F.array(F.lit(189), F.lit(773)), "date", key, undo), lambda p: F.date_add(first, p[0] * 773 + p[1]))
+        out = F.when(when.isNotNull() & (age >= 0) & (age < days), F.replace(F.date_format(new, form), F.lit("-"), mark)).otherwise(out)
+    return out
+
+
+def _ssn(text: Column, key: str, undo: bool) -> Column:
+    area, group, serial = (F.regexp_extract(text, r"^(\d+)-(\d+)-(\d+)$", i).cast("int") for i in (1, 2, 3))
+    valid = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
+    index = F.when(area > 666, area - 2).otherwise(area - 1)
+    back = lambda v: F.when(v > 664, v + 2).otherwise(v + 1)
+    new = let(permute(F.array(index, group - 1, serial - 1), F.array(F.lit(898), F.lit(99), F.lit(9999)), "ssn", key, undo), lambda p: F.format_string("%03d-%02d-%04d", back(p[0]), p[1] + 1, p[2] + 1))
+    return F.when(valid, new).otherwise(text)
+
+
+def _ipv4(text: Column, key: str, undo: bool) -> Column:
+    parts = F.transform(F.split(text, r"\."), lambda x: x.cast("int"))
+    new = let(parts, lambda p: F.array_join(F.transform(permute(p, F.array(*[F.lit(256)] * 4), "ipv4", key, undo), lambda x: x.cast("string")), "."))
+    return F.when(F.forall(parts, lambda x: x < 256), new).otherwise(text)
+
+
+def _after(text: Column, prefix: str, alphabet, kind: str, key: str, undo: bool) -> Column:
+    """Permutes what follows the longest match of prefix at the start."""
+    return let(F.regexp_extract(text, prefix, 0), lambda head: F.concat(head, permute_text(F.substring(text, F.length(head) + 1, F.length(text)), alphabet, kind, key, undo)))
+
+
+def pseudonym(value: Column, key: str = KEY, undo: bool = False) -> Column:
+    """The pseudonym of a found value, or (undo) the value of a pseudonym; unchanged if it isn't valid."""
+    is_ = lambda kind: value.rlike(f"^(?:{PATTERNS[kind]})$")
+    name = F.substring_index(value, "@", 1)
+    label = r"^(?i:password|passwd|token|secret|api_key)\s*[=:]\s*\x22?"
+    secret = (
+        F.when(value.startswith("AKIA"), _after(value, "^AKIA", "upper36", "key", key, undo))
+        .when(value.rlike(label + "[0-9a-f]+$|^[0-9a-f]+$"), _after(value, f"(?:{label})?", "hex", "secret", key, undo))
+        .otherwise(_after(value, label, "base62", "secret", key, undo))
+    )
+    return (
+        F.when(is_("email"), F.concat(permute_text(F.lower(name), "base36", "email", key, undo), F.substring(value, F.length(name) + 1, F.length(value))))
+        .when(is_("secret"), secret)
+        .when(is_("iban"), _iban(value, key, undo))
+        .when(is_("phone"), _after(value, r"^\+[0-9]{1,3}(?= ?\()|^\+[0-9]{2}", "digit", "phone", key, undo))
+        .when(is_("date"), _date(value, key, undo))
+        .when(is_("ssn"), _ssn(value, key, undo))
+        .when(is_("ipv4"), _ipv4(value, key, undo))
+        .when(is_("card"), _card(value, key, undo))
+        .otherwise(value)
+    )
+
+
+def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """docs with text replaced and n_pii, the number of replaced values."""
+    found = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
+    between = F.split("text", ANY, -1)
+    new = F.transform(found, lambda m: F.when(F.length(m) > 0, pseudonym(m, key)))
+    joined = let(F.struct(found.alias("old"), new.alias("new")), lambda s: F.struct(
+        F.array_join(F.zip_with(between, s["new"], lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "").alias("text"),
+        F.size(F.filter(F.zip_with(s["old"], s["new"], lambda a, b: a != b), lambda x: x)).cast("long").alias("n"),
     ))
+    # Every pattern needs one of these characters.
+    plain = F.struct(F.col("text").alias("text"), F.lit(0).cast("long").alias("n"))
+    done = docs.withColumn("pii", F.when(F.col("text").rlike("[0-9@=:]"), joined).otherwise(plain))
+    return done.withColumn("text", F.col("pii.text")).withColumn("n_pii", F.col("pii.n")).drop("pii")

@@ -48,6 +48,12 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymise
+
+    return pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -56,7 +62,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_exact_topk, op3_substring_dedup, op4_token_orc, op5_ann, op6_ngram_join, op9_mixing)
+    for f in (op1_language_id, op2_exact_topk, op3_substring_dedup, op4_token_orc, op5_ann, op6_ngram_join, op7_pii, op9_mixing)
 }
 
 ORACLE_SQL = {
