@@ -130,3 +130,28 @@ def mix(docs: DataFrame) -> DataFrame:
     sums = found.groupBy("doc_id", "source", "start", "size").agg(F.sum((F.col("upto") - F.col("from")) * F.col("times")).cast("long").alias("taken")).drop("start")
     full = sums.unionByName(rows.where(F.col("size") == 0).withColumn("taken", F.lit(0).cast("long")))
     return full.join(F.broadcast(own), full["source"].eqNullSafe(own["s"])).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mix with the columns of docs: for each document and nth taking (up to two) the words of its blocks taken so often.
+
+    A document whose blocks were all taken keeps its text as it stands; else its
+    words are joined by one space. n_chars, if there, is set anew.
+    """
+    rows = written(sized(docs).withColumn("row", F.xxhash64("doc_id", "source", "text")), "mix-input")
+    sources = with_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
+    light = placed(rows.where(F.col("size") > 0).select("doc_id", "source", "size", "row"))
+    found = pieces(light, taken_blocks(sources)).withColumn("nth", F.explode(F.expr("sequence(1, greatest(times, 1))"))).where(F.col("times") >= F.col("nth"))
+    cuts = found.groupBy("doc_id", "source", "start", "size", "row", "nth").agg(F.array_sort(F.collect_list(F.struct("from", "upto"))).alias("cuts"))
+    # Equal rows are numbered on both sides, so that each meets one.
+    same = Window.partitionBy("doc_id", "row", "nth").orderBy("start")
+    cuts = cuts.withColumn("c", F.row_number().over(same)).select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "c", "cuts")
+    own = rows.where(F.col("size") > 0).withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "row").orderBy("size")))
+    both = own.join(cuts, (own["doc_id"] == cuts["d"]) & (own["row"] == cuts["r"]) & (own["copy"] == cuts["c"]))
+    words = F.transform(F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), lambda w: F.flatten(F.transform("cuts", lambda c: F.slice(w, (c["from"] + 1).cast("int"), (c["upto"] - c["from"]).cast("int")))))
+    part = F.array_join(F.element_at(words, 1), " ")
+    all_taken = F.aggregate("cuts", F.lit(0).cast("long"), lambda a, c: a + c["upto"] - c["from"]) == F.col("size")
+    out = both.withColumn("text", F.when(all_taken, F.col("text")).otherwise(part))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*[out[c] for c in docs.columns])

@@ -66,9 +66,15 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_scan import encode_digest, model_path
+
+    return encode_digest(_table(spark, sf_dir, "documents"), model_path())
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_exact_topk, op3_substring_dedup, op4_token_orc, op5_ann, op6_ngram_join, op7_pii, op8_licenses, op9_mixing)
+    for f in (op1_language_id, op2_exact_topk, op3_substring_dedup, op4_token_orc, op5_ann, op6_ngram_join, op7_pii, op8_licenses, op9_mixing, op10_sentencepiece)
 }
 
 ORACLE_SQL = {
