@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from spanwright.plans import measurement
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**measurement.QUERIES}
+ORACLE_SQL: dict[str, str] = {**measurement.ORACLE_SQL}
