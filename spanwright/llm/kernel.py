@@ -47,7 +47,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and the n + 1 offsets; a null is empty."""
-    column = column.cast(pa.large_string())
+    column = column.cast(pa.large_binary() if pa.types.is_binary(column.type) else pa.large_string())
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)

@@ -29,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import Words, mix, slices, window_hashes
+from .kernel import SLICE_BYTES, Words, mix, slices, window_hashes
 from .storage import shuffle_partitions, written
 
 WINDOW, ANCHOR, PERIOD = 13, 7, 7
@@ -97,12 +98,12 @@ def _answers(group: pa.Table, n_buckets: int, wide: bool) -> pa.Table:
         run = np.cumsum(first) - 1
         least, most = doc[first][run], doc[np.append(np.flatnonzero(first)[1:] - 1, len(doc) - 1)][run]
         hit = doc > least if wide else (least < most) & ~known
-    return pa.table({"doc": pa.array(doc[hit]), "hash": pa.array(key[hit].astype(np.uint64).view(np.int64))})
+    return pa.table({"doc": pa.array(doc[hit]), "hash": pa.array(key[hit].view(np.int64 if wide else np.int32))})
 
 
 def _rounds(entries: DataFrame, n_buckets: int, wide: bool) -> DataFrame:
     """doc, hashes: what each document must know, from all buckets."""
-    found = entries.groupBy("bucket").applyInArrow(lambda g: _answers(g, n_buckets, wide), "doc long, hash long")
+    found = entries.groupBy("bucket").applyInArrow(lambda g: _answers(g, n_buckets, wide), f"doc long, hash {'long' if wide else 'int'}")
     return found.groupBy("doc").agg(F.collect_list("hash").alias("hashes"))
 
 
@@ -118,14 +119,20 @@ def _anchors(words: Words, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _parts(it: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     for batch in it:
-        for i, j in slices(batch.column(column)):
+        packed = pa.types.is_binary(batch.column(column).type)
+        for i, j in slices(batch.column(column), SLICE_BYTES if packed else 4 * SLICE_BYTES):
             yield batch.slice(i, j - i)
 
 
+def _unpacked(column: pa.Array) -> pa.Array:
+    large = zstandard.ZstdDecompressor()
+    return pa.array([large.decompress(x).decode() for x in column.to_pylist()], pa.string())
+
+
 def _windows(words: Words, hashed: np.ndarray, listed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word index and hash of the windows that hold an anchor whose hash is listed for its document."""
     at, key = _anchors(words, hashed)
-    flat = np.asarray(listed.flatten()).view(np.uint64)
+    flat = np.asarray(listed.flatten()).view(np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(listed)), [len(x) if x is not None else 0 for x in listed.to_pylist()])
     tag = lambda doc, h: mix(h ^ (doc.astype(np.uint64) << np.uint64(33)))
     hit = at[np.isin(tag(words.doc[at], key), tag(owner, flat))]
@@ -172,15 +179,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             idle = np.asarray(listed.is_null())
             words = Words(part.column("text"))
             sha = [_kept(words, i, None) if idle[i] else None for i in range(len(idle))]
-            text = pa.array([None if idle[i] else x for i, x in enumerate(part.column("text").to_pylist())], pa.string())
+            small = zstandard.ZstdCompressor(level=3)
+            text = pa.array([None if idle[i] else small.compress(x.encode()) for i, x in enumerate(part.column("text").to_pylist())], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words.count), pa.array(sha, pa.string()), text, listed], names=["doc_id", "n_words", "kept_sha256", "text", "hashes"])
 
-    first = written(joined.mapInArrow(digest, "doc_id long, n_words long, kept_sha256 string, text string, hashes array<long>"), "repeats")
+    first = written(joined.mapInArrow(digest, "doc_id long, n_words long, kept_sha256 string, text binary, hashes array<int>"), "repeats")
     shared = first.where(F.col("kept_sha256").isNull())
 
     def windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for n, part in enumerate(_parts(it)):
-            words = Words(part.column("text"))
+            words = Words(_unpacked(part.column("text")))
             at, key = _windows(words, words.hashes(), part.column("hashes"))
             yield _blobs(_pack(np.asarray(part.column("doc_id"))[words.doc[at]], key, n_buckets, True, int(part.column("doc_id")[0].as_py()) + n), True)
 
@@ -188,7 +196,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(it):
-            words = Words(part.column("text"))
+            words = Words(_unpacked(part.column("text")))
             hashed = words.hashes()
             gone = np.zeros(len(hashed) + 1, np.int64)
             listed = part.column("gone")
