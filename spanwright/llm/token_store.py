@@ -16,10 +16,12 @@ gives an empty table.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from .kernel import segment_hashes, slices, text_buffer
 from .storage import new_path, shuffle_partitions
 
-END_ID, CACHE_SEGMENTS = 0, 400_000
+END_ID, CACHE_SEGMENTS = 0, 600_000
 STRIPE_BYTES, INDEX_STRIDE = 64 << 20, 1000
 _STATE: dict = {}
 
@@ -39,16 +41,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def _tokenizer(path: str):
-    if _STATE.get("path") != path:
-        import os
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _STATE.update(path=path, tokenizer=tokenizer, cache={})
-    return _STATE["tokenizer"], _STATE["cache"]
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
 
 
 def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -63,37 +61,70 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     at = at[(plain(left) | ((left >= 0x80) & (left < 0xC0) & (lead >= 0xC3) & (lead < 0xE0))) & (plain(right) | ((right >= 0xC3) & (right < 0xE0)))]
     text = np.searchsorted(offsets, at, "right") - 1
     at = at[(at > offsets[text]) & (at + 1 < offsets[text + 1])]
-    return np.union1d(at, offsets[:-1][np.diff(offsets) > 0])
+    return np.sort(np.concatenate([at, offsets[:-1][np.diff(offsets) > 0]]), kind="stable")
+
+
+class Cache:
+    """Ids of the segments met so far; emptied when it holds CACHE_SEGMENTS."""
+
+    def __init__(self, path: str):
+        self.tokenizer = _tokenizer(path)
+        size = self.tokenizer.get_vocab_size()
+        self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)])  # one character a byte
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.begin, self.size, self.arena = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def add(self, segments: list[bytes]) -> None:
+        """Encodes new segments, those that begin with a cut many at a time: ids are told apart by their widths in bytes."""
+        plain = [k for k in segments if len(k) > 1 and k[0] == 32 and _solid(k[1:2]) and _solid(k[-2:])]
+        chosen = set(plain)
+        other = [k for k in segments if k not in chosen]
+        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        got = self.tokenizer.encode_batch_fast([b"".join(g).decode() for g in groups] + [k.decode() for k in other], add_special_tokens=False)
+        ids = [np.array(x.ids, np.int32) for x in got]
+        sizes = []
+        for group, own in zip(groups, ids, strict=False):
+            ends = np.searchsorted(np.cumsum(self.width[own]), np.cumsum([len(k) for k in group])) + 1
+            sizes.append(np.diff(ends, prepend=0))
+        sizes = np.concatenate([*sizes, np.fromiter(map(len, ids[len(groups) :]), np.int64, len(other))]).astype(np.int64)
+        first = len(self.begin)
+        self.begin = np.append(self.begin, len(self.arena) + np.cumsum(sizes) - sizes)
+        self.size = np.append(self.size, sizes)
+        self.arena = np.concatenate([self.arena, *ids])
+        self.place.update(zip([*plain, *other], range(first, first + len(sizes)), strict=True))
+
+
+def _solid(end: bytes) -> bool:
+    """Whether the character at this end of a segment is surely no white space."""
+    return 0x20 < end[-1] < 0x7F or (len(end) == 1 and 0xC3 <= end[0] < 0xE0) or (len(end) == 2 and 0xC3 <= end[0] < 0xE0 and 0x80 <= end[1] < 0xC0)
 
 
 def encode(column: pa.Array, path: str) -> pa.ListArray:
     """Ids of each text, with END_ID at its end."""
-    tokenizer, cache = _tokenizer(path)
+    cache = _STATE.get(("cache", path)) or _STATE.setdefault(("cache", path), Cache(path))
+    if len(cache.place) > CACHE_SEGMENTS:
+        cache.clear()
     data, offsets = text_buffer(column)
     starts = _cuts(data, offsets)
     ends = np.append(starts[1:], len(data))
-    _, first, group = np.unique(segment_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    group, _ = pd.factorize(segment_hashes(data, starts, ends))
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(group), prepend=-1) > 0)
     raw = data.tobytes()
     keys = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-    new = [k for k in keys if k not in cache]
-    for i in range(0, len(new), 4096):
-        part = new[i : i + 4096]
-        got = tokenizer.encode_batch_fast([k.decode() for k in part], add_special_tokens=False)
-        cache.update((k, np.array(x.ids, np.int32)) for k, x in zip(part, got, strict=True))
-    found = [cache[k] for k in keys]
-    if len(cache) > CACHE_SEGMENTS:
-        cache.clear()
-    size = np.fromiter(map(len, found), np.int64, len(found))
-    arena = np.concatenate(found) if found else np.zeros(0, np.int32)
-    begin = np.cumsum(size) - size
-    each = size[group]
+    new = [k for k in keys if k not in cache.place]
+    if new:
+        cache.add(list(dict.fromkeys(new)))
+    found = np.fromiter(map(cache.place.__getitem__, keys), np.int64, len(keys))
+    each, begin = cache.size[found][group], cache.begin[found][group]
     before = np.cumsum(each) - each
     text = np.searchsorted(offsets, starts, "right") - 1
-    place = before + text  # one end id stands after each earlier text
-    total = int(each.sum()) + len(column)
-    out = np.full(total, END_ID, np.int32)
-    step = np.arange(int(each.sum())) - np.repeat(before, each)
-    out[np.repeat(place, each) + step] = arena[np.repeat(begin[group], each) + step]
+    total = int(each.sum())
+    step = np.arange(total) - np.repeat(before, each)
+    out = np.full(total + len(column), END_ID, np.int32)
+    out[np.repeat(before + text, each) + step] = cache.arena[np.repeat(begin, each) + step]  # an end id stands after each earlier text
     per = np.bincount(text, weights=each, minlength=len(column)).astype(np.int64) + 1
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per)).astype(np.int32)), pa.array(out))
 
