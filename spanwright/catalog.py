@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanwright.plans import measurement
+from spanwright.plans import evaluation, measurement
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**measurement.QUERIES}
-ORACLE_SQL: dict[str, str] = {**measurement.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**measurement.QUERIES, **evaluation.QUERIES}
+ORACLE_SQL: dict[str, str] = {**measurement.ORACLE_SQL, **evaluation.ORACLE_SQL}
