@@ -108,7 +108,7 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mix((sums[width:] - sums[:-width]) * powers(inverse(_WORD_BASE), n))
 
 
-def slices(column: pa.Array, limit: int = 4 * SLICE_BYTES) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``limit`` bytes of text; a longer text stands alone."""
     _, offsets = text_buffer(column)
     i = 0
