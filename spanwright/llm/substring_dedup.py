@@ -120,7 +120,7 @@ def _anchors(words: Words, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _parts(it: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     for batch in it:
         packed = pa.types.is_binary(batch.column(column).type)
-        for i, j in slices(batch.column(column), SLICE_BYTES if packed else 4 * SLICE_BYTES):
+        for i, j in slices(batch.column(column), SLICE_BYTES // 2 if packed else 2 * SLICE_BYTES):
             yield batch.slice(i, j - i)
 
 
