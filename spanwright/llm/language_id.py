@@ -219,7 +219,7 @@ def label_texts(model: Model, texts: list[str], spans: bool) -> pd.DataFrame:
         score[has] = letters.max(1)[has] / letters.sum(1)[has]
         if spans:
             edge = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(labels, prepend=-1) != 0))
-            for i, j in zip(edge, [*edge[1:], len(doc)], strict=True):
+            for i, j in zip(edge, np.append(edge[1:], len(doc)), strict=False):
                 d = doc[i]
                 begin = int(x.at[x.first[i]] - x.begins[d])
                 end = int(x.at[x.first[j - 1] + x.count[j - 1] - 1] - x.begins[d]) + 1
