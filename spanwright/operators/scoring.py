@@ -34,7 +34,7 @@ def score_spans(spans: DataFrame, findings: DataFrame, scanners: DataFrame) -> D
     merged = union(findings.select("scanner", "doc_id", "start", "end"), ["scanner", "doc_id"])
     m = merged.select(F.col("scanner").alias("m_scanner"), F.col("doc_id").alias("m_doc"), F.col("start").alias("m_start"), F.col("end").alias("m_end"))
     hit = scored.join(m, (F.col("scanner") == F.col("m_scanner")) & (F.col("doc_id") == F.col("m_doc")) & overlaps(F.col("start"), F.col("end"), F.col("m_start"), F.col("m_end")), "left")
-    seen = F.sum(F.coalesce(F.least("end", "m_end") - F.greatest("start", "m_start"), F.lit(0)))
+    seen = F.sum(F.when(F.col("m_start").isNull(), 0).otherwise(F.least("end", "m_end") - F.greatest("start", "m_start")))
     out = hit.groupBy(*keys, "env_start", "env_end", "outcome").agg(seen.alias("seen"))
     lost = F.when(F.col("outcome").isin(LEAKED), F.col("end") - F.col("start") - F.col("seen")).otherwise(F.lit(0))
     return out.withColumn("leaked_bytes", lost.cast("long")).drop("seen")

@@ -37,7 +37,7 @@ isl0 AS (SELECT scanner, doc_id, s, e, max(e) OVER (PARTITION BY scanner, doc_id
 isl1 AS (SELECT *, sum((pm IS NULL OR s > pm)::INTEGER) OVER (PARTITION BY scanner, doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM isl0),
 isl AS (SELECT scanner, doc_id, g, min(s) AS s, max(e) AS e FROM isl1 GROUP BY 1, 2, 3),
 so AS (SELECT rk.scanner, rk.doc_id, rk.family, rk.s, rk.e, rk.es, rk.ee, ['MISS', 'PARTIAL', 'OVERBROAD', 'COVERED', 'EXACT'][r + 1] AS outcome,
-  (CASE WHEN r < 2 THEN rk.e - rk.s - coalesce(sum(least(rk.e, i.e) - greatest(rk.s, i.s)), 0) ELSE 0 END)::BIGINT AS leaked_bytes
+  (CASE WHEN r < 2 THEN rk.e - rk.s - sum(CASE WHEN i.s IS NULL THEN 0 ELSE least(rk.e, i.e) - greatest(rk.s, i.s) END) ELSE 0 END)::BIGINT AS leaked_bytes
   FROM rk LEFT JOIN isl i ON i.scanner = rk.scanner AND i.doc_id = rk.doc_id AND rk.s < i.e AND i.s < rk.e GROUP BY rk.scanner, rk.doc_id, rk.family, rk.s, rk.e, rk.es, rk.ee, r),
 al0 AS (SELECT scanner, doc_id, coalesce(es, s) AS s, coalesce(ee, e) AS e, max(coalesce(ee, e)) OVER (PARTITION BY scanner, doc_id ORDER BY coalesce(es, s), coalesce(ee, e) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM so),
 al1 AS (SELECT *, sum((pm IS NULL OR s > pm)::INTEGER) OVER (PARTITION BY scanner, doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM al0),
