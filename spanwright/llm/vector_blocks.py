@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .storage import written
 
 QUERY_BLOCK, PACK = 512, 16384
+#: Most ranges of the order that packs are cut into.
+RANGES = 256
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -47,17 +49,22 @@ def search(vectors: DataFrame, queries: Column, k: int, order: Callable, prepare
     packs = written(classes(vectors, k).withColumn("dim", F.size("embedding")), "vectors")
     n_pack = max(1, -(-packs.count() // PACK))
     n_query = max(1, -(-rows.count() // QUERY_BLOCK))
+    n_range = min(n_pack, RANGES)
+    n_part = -(-n_pack // n_range)
+    n_pack = n_range * n_part
+    key = order(F.col("embedding"))
+    cuts = [i / n_range for i in range(1, n_range)]
+    bounds = packs.select(F.percentile_approx(key, cuts, 10000).alias("b")).first()["b"] or [] if cuts else []
     left = (
         rows.select("vec_id", F.array("vec_id").alias("ids"), "embedding", F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(n_query)).cast("int").alias("block"))
         .withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(n_pack - 1))))
     )
-    bounds = packs.select(F.percentile_approx(order(F.col("embedding")), [i / n_pack for i in range(1, n_pack)] or [0.5], 10000).alias("b")).first()["b"] if n_pack > 1 else []
-    # Packs are ranges of the order's value; equal values at a bound are spread over the packs that share it.
-    key = order(F.col("embedding"))
-    low, high = (sum((F.when(c, 1).otherwise(0) for c in ([key > b for b in bounds] if s else [key >= b for b in bounds])), F.lit(0)) for s in (1, 0))
+    # Packs are ranges of the order's value, split by hash if there are many; equal values at a bound are spread over the ranges that share it.
+    low, high = (sum((F.when(key > b if after else key >= b, 1).otherwise(0) for b in bounds), F.lit(0)) for after in (True, False))
     right = (
         packs.withColumn("lo", low).withColumn("hi", high)
-        .withColumn("pack", (F.col("lo") + F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col("hi") - F.col("lo") + 1)).cast("int"))
+        .withColumn("range", F.col("lo") + F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col("hi") - F.col("lo") + 1))
+        .withColumn("pack", (F.col("range") * n_part + F.pmod(F.xxhash64(F.element_at("ids", 1), F.lit(5)), F.lit(n_part))).cast("int"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))))
     )
 
