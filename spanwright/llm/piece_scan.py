@@ -78,14 +78,14 @@ class Pieces:
                     break
                 i = -best[1]
                 parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            if len(self._merged) > 500_000:
+            if len(self._merged) > 100_000:
                 self._merged.clear()
             self._merged[text] = tuple(parts)
         return self._merged[text]
 
     def may_follow(self, a: str, b: str) -> bool:
         if (a, b) not in self._pair:
-            if len(self._pair) > 1_000_000:
+            if len(self._pair) > 200_000:
                 self._pair.clear()
             self._pair[a, b] = self.merged(a + b) == (a, b)
         return self._pair[a, b]
@@ -236,22 +236,45 @@ def crc_join(first: int, second: int, length: int) -> int:
     return first ^ second
 
 
+#: Characters of whole texts that are encoded at once; Python holds tens of bytes for each id of them.
+AT_ONCE = 1 << 19
+PARTS = "doc_id long, row long, nth int, ids array<int>, text string"
+Batches = Iterator[pa.RecordBatch]
+
+
+def _whole(path: str, batches: Batches) -> Batches:
+    """Ids of whole texts (row and nth are 0)."""
+    sp = Pieces.of(path).sp
+    for batch in batches:
+        for i, j in slices(batch.column("text"), AT_ONCE):
+            part = batch.slice(i, j - i)
+            ids = pa.array(sp.encode(part.column("text").to_pylist(), num_threads=1), pa.list_(pa.int32()))
+            zero = np.zeros(len(part), np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(zero), pa.array(zero.astype(np.int32)), ids, part.column("text")], names=["doc_id", "row", "nth", "ids", "text"])
+
+
+def _digest(path: str, batches: Batches) -> Batches:
+    """Number and checksum of the ids of each part, and whether they decode to its text."""
+    sp = Pieces.of(path).sp
+    for batch in batches:
+        bounds, flat = np.asarray(batch.column("ids").offsets), np.asarray(batch.column("ids").values)
+        texts, rows, nth = batch.column("text").to_pylist(), batch.column("row").to_pylist(), batch.column("nth").to_pylist()
+        ids = [flat[i:j].tolist() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+        good = [sp.decode(x) == t if r == 0 else decode_pieces(sp, x, n == 0) == t.replace(SPACE, " ")[n == 0 :] for x, t, r, n in zip(ids, texts, rows, nth, strict=True)]
+        crc = [_crc(flat[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), batch.column("nth"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(good, pa.bool_())], names=["doc_id", "row", "nth", "n_tokens", "ids_crc32", "round_trip"])
+
+
 def encode(docs: DataFrame, path: str, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """row, doc_id, nth, ids, text: the ids of each document, giant ones in parts, with the text they must decode to."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    whole = docs.where(F.length("text") <= giant)
-    kind = "doc_id long, row long, nth int, ids array<int>, text string"
+    return _encoded(docs, path, giant, chunk, lambda parts: parts, PARTS)
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces.of(path)
-        for batch in it:
-            for i, j in slices(batch.column("text"), 4 << 20):
-                part = batch.slice(i, j - i)
-                ids = pieces.sp.encode(part.column("text").to_pylist(), num_threads=1)
-                zero = np.zeros(len(part))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(zero.astype(np.int64)), pa.array(zero.astype(np.int32)), pa.array(ids, pa.list_(pa.int32())), part.column("text")], names=["doc_id", "row", "nth", "ids", "text"])
 
-    short = whole.mapInArrow(run, kind)
+def _encoded(docs: DataFrame, path: str, giant: int, chunk: int, then, kind: str) -> DataFrame:
+    """``then`` of the parts of all documents, worked in the tasks that encode them."""
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    whole = docs.where(F.length("text") <= giant)
+    short = whole.mapInArrow(lambda it: then(_whole(path, it)), kind)
     # Windows of the marked text of giant documents; row tells rows of one id apart.
     margin = 40
     text = F.concat(F.lit(SPACE), F.translate("text", " ", SPACE))
@@ -265,7 +288,7 @@ def encode(docs: DataFrame, path: str, giant: int = GIANT, chunk: int = CHUNK) -
         last = r["nth"] == r["n"] - 1
         return Chunk(pieces, r["text"], a, len(r["text"]) if last else a + chunk, r["nth"] == 0, last)
 
-    def matrices(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def matrices(it: Batches) -> Batches:
         pieces = Pieces.of(path)
         for batch in it:
             for r in batch.to_pylist():
@@ -282,7 +305,7 @@ def encode(docs: DataFrame, path: str, giant: int = GIANT, chunk: int = CHUNK) -
 
     chosen = found.groupBy("row").applyInArrow(states, "row long, nth long, left long, right long").withColumnsRenamed({"row": "r", "nth": "k"})
 
-    def trace(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def trace(it: Batches) -> Batches:
         pieces = Pieces.of(path)
         for batch in it:
             for r in batch.to_pylist():
@@ -294,7 +317,7 @@ def encode(docs: DataFrame, path: str, giant: int = GIANT, chunk: int = CHUNK) -
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r["doc_id"]], pa.int64()), "row": [r["row"]], "nth": pa.array([r["nth"]], pa.int32()), "ids": pa.array([ids], pa.list_(pa.int32())), "text": [c.text[begin:end]]})
 
     joined = chunks.join(chosen, (chunks["row"] == chosen["r"]) & (chunks["nth"] == chosen["k"])).drop("r", "k")
-    return short.unionByName(joined.mapInArrow(trace, kind))
+    return short.unionByName(joined.mapInArrow(lambda it: then(trace(it)), kind))
 
 
 def decode_pieces(sp, ids: list[int], first: bool) -> str:
@@ -306,19 +329,8 @@ def decode_pieces(sp, ids: list[int], first: bool) -> str:
 
 def encode_digest(docs: DataFrame, path: str, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 and round_trip (whether decoding gives the text back) of each row of docs."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = Pieces.of(path).sp
-        for batch in it:
-            bounds, flat = np.asarray(batch.column("ids").offsets), np.asarray(batch.column("ids").values)
-            texts, rows, nth = batch.column("text").to_pylist(), batch.column("row").to_pylist(), batch.column("nth").to_pylist()
-            whole = [k for k in range(len(batch)) if rows[k] == 0]
-            back: dict = dict(zip(whole, sp.decode([flat[bounds[k] : bounds[k + 1]].tolist() for k in whole], num_threads=1) if whole else [], strict=True))
-            good = [back[k] == texts[k] if k in back else decode_pieces(sp, flat[bounds[k] : bounds[k + 1]].tolist(), nth[k] == 0) == texts[k].replace(SPACE, " ")[nth[k] == 0 :] for k in range(len(batch))]
-            crc = [_crc(flat[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), batch.column("nth"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(good)], names=["doc_id", "row", "nth", "n_tokens", "ids_crc32", "round_trip"])
-
-    parts = encode(docs, path, giant, chunk).mapInArrow(run, "doc_id long, row long, nth int, n_tokens long, ids_crc32 long, round_trip boolean")
+    kind = "doc_id long, row long, nth int, n_tokens long, ids_crc32 long, round_trip boolean"
+    parts = _encoded(docs, path, giant, chunk, lambda it: _digest(path, it), kind)
 
     def joined(group: pa.Table) -> pa.Table:
         group = group.sort_by("nth")
