@@ -31,6 +31,8 @@ from .storage import written
 
 NGRAM, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.9995, 128
 BLOCK = 192
+#: Bytes of text that are hashed at once.
+AT_ONCE = 1 << 20
 #: Columns of the incidence matrix that are multiplied at once.
 COLUMNS = 4096
 
@@ -69,7 +71,7 @@ def _signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for i, j in slices(batch.column("text")):
+            for i, j in slices(batch.column("text"), AT_ONCE):
                 part = batch.slice(i, j - i)
                 key, bounds = gram_sets(part.column("text"))
                 full = np.flatnonzero(np.diff(bounds))
@@ -152,7 +154,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
     def explode_sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for i, j in slices(batch.column("text")):
+            for i, j in slices(batch.column("text"), AT_ONCE):
                 part = batch.slice(i, j - i)
                 key, bounds = gram_sets(part.column("text"))
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(key.view(np.int64)))
