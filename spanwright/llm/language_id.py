@@ -89,7 +89,7 @@ class Letters:
         self.at, self.begins = at, begins
 
 
-def _batches(it: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def _batches(it: Iterator[pa.RecordBatch], limit: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     from .kernel import slices
 
     for batch in it:
