@@ -7,6 +7,12 @@ separators stay, card numbers keep a valid check digit, dates stay dates. Equal
 values get equal pseudonyms in all documents; the permutation can be undone with
 the key. Values that fail validation and all other text are left unchanged.
 
+Within a run of digit groups (single spaces or hyphens between) each stretch of
+whole groups with 13 to 19 digits is tried as a card number: first those of an
+issuer's first digit and length, then the others; from left to right, the longest
+first, none overlapping. A run ends before a date, SSN, address or phone number.
+IBANs in groups of four have their country's registered length.
+
 Each permutation has two parts A and B that change in turn, A by a keyed hash of
 B and B by one of A, digit by digit modulo the digit's radix. Dates are days of
 the 400 years from 1800 as a pair below 189 and 773 (their product is the days
@@ -26,17 +32,50 @@ from pyspark.sql import functions as F
 KEY, ROUNDS = "change-this-key", 8
 ALPHABETS = {"digit": "0123456789", "hex": "0123456789abcdef", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "base62": "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "upper36": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"}
 
+# Characters of an IBAN by country, as registered.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _grouped_ibans() -> str:
+    """Pattern of IBANs in groups of four with single spaces."""
+    each = [f"(?:{lands.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" [A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, lands in IBAN_LENGTHS.items()]
+    return r"(?<![\w])(?:" + "|".join(each) + r")(?![\w])"
+
+
 #: Patterns by kind, tried in this order at each place.
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9](?:[\w.+-]{0,62}[A-Za-z0-9_])?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "secret": r"(?<![\w])(?:(?i:password|passwd|token|secret|api_key))\s*[=:]\s*\x22?[A-Za-z0-9]{8,64}(?![\w])|(?<![\w])[0-9a-f]{40}(?![\w])|(?<![\w])AKIA[A-Z0-9]{16}(?![\w])",
-    "iban": r"(?<![\w])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![\w])",
-    "phone": r"(?<![\w+])\+[0-9]{1,3} ?\([0-9]{2,4}\) ?[0-9]{3}[ -]?[0-9]{4}(?![\w])|(?<![\w+])\+[0-9]{10,14}(?![\w])",
-    "date": r"(?<![\w.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\w-])|(?<![\w./])[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?![\w/])",
+    "iban": r"(?<![\w])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![\w])|" + _grouped_ibans(),
+    "phone": "|".join([
+        r"(?<![\w+])\+[0-9]{1,3} ?\([0-9]{2,4}\) ?[0-9]{3}[ -]?[0-9]{4}(?![\w])",
+        r"(?<![\w+])\+[0-9]{10,14}(?![\w])",
+        r"(?<![\w+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![\w])",
+        r"(?<![\w+])\+[0-9]{2,3} [0-9](?: [0-9]{2}){4}(?![\w])",
+        r"(?<![\w+])\+[0-9]{1,3}[ .-][0-9]{1,4}[ .-][0-9]{3,4}[ .-]?[0-9]{3,5}(?![\w])",
+        r"(?<![\w+])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![\w])",
+        r"(?<![\w+.-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![\w]|-[0-9])",
+        r"(?<![\w+.-])[0-9]{3}\.[0-9]{3}\.[0-9]{4}(?![\w]|\.[0-9])",
+        r"(?<![\w+.-])(?<![0-9] )[0-9]{3} [0-9]{3} [0-9]{4}(?![\w]|[ -][0-9])",
+        r"(?<![\w+.-])0[0-9]{2,4}[/-][0-9]{3,4}[ -]?[0-9]{3,5}(?![\w]|[ -][0-9])",
+        r"(?<![\w+.-])(?<![0-9] )0[0-9]{2,4} [0-9]{3,4}[ -]?[0-9]{3,5}(?![\w]|[ -][0-9])",
+        r"(?<![\w+.-])(?<![0-9] )0[0-9](?: [0-9]{2}){4}(?![\w]|[ -][0-9])",
+        r"(?<![\w+.-])0[0-9](?:\.[0-9]{2}){4}(?![\w]|\.[0-9])",
+    ]),
+    "date": r"(?<![\w.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?:(?![\w-])|(?=T[0-9]{2}))|(?<![\w./])[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?![\w/])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "ipv4": r"(?<![\w.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![\w]|\.[0-9])",
-    "card": r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w]|-[0-9])",
 }
+# A whole run of groups; possessive, so that a long one is passed in a loop and without going back.
+PATTERNS["card"] = r"(?<![\w-])(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?!\w)(?:[ -](?!" + "|".join(PATTERNS[k] for k in ("phone", "date", "ssn", "ipv4")) + r")[0-9]++(?!\w))*+"
+# First digits and lengths that card numbers are issued with; both stay in a pseudonym.
+ISSUED = r"^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|[25][0-9]{15}|3[0-9]{13,15}|6[0-9]{15,18})$"
+# What stays of a phone number: its country code, or the 0 before an area code.
+PHONE_HEAD = r"^\+[0-9]{1,3}(?=[ .-]?\(|[ .-])|^\+[0-9]{2}|^0(?![0-9]{2}([ .-])[0-9]{3}\1[0-9]{4}$)"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -115,6 +154,61 @@ def _card(text: Column, key: str, undo: bool) -> Column:
     return let(digits, body)
 
 
+def _cards(run: Column, key: str, undo: bool) -> Column:
+    """text and n: a run of digit groups with its card numbers replaced, and how many of them changed."""
+
+    def valid(window: Column) -> Column:
+        """Numbers of groups from the window's start that make a card number, with whether it is of an issued form."""
+        tried = lambda parts: F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("k"), F.translate(F.array_join(F.slice(parts, F.lit(1), k), ""), " -", "").alias("d")))
+        good = F.filter(let(F.regexp_extract_all(window, F.lit("[0-9]+[ -]?"), F.lit(0)), tried), lambda t: F.length(t["d"]).between(13, 19) & F.call_function("luhn_check", t["d"]))
+        return F.transform(good, lambda t: F.struct(t["k"].alias("k"), t["d"].rlike(ISSUED).alias("issued")))
+
+    none = F.expr("cast(array() as array<struct<i: int, k: int>>)")
+
+    def issued(starts: Column) -> Column:
+        """i and k of the cards of issued forms."""
+
+        def step(s: Column, x: Column) -> Column:
+            fit = F.filter(x["valid"], lambda v: v["issued"] & (x["i"] >= s["free"]))
+            k = F.array_max(fit)["k"]
+            more = F.struct(F.concat(s["taken"], F.array(F.struct(x["i"].alias("i"), k.alias("k")))).alias("taken"), (x["i"] + k).alias("free"))
+            return F.when(F.size(fit) > 0, more).otherwise(s)
+
+        return F.aggregate(starts, F.struct(none.alias("taken"), F.lit(0).alias("free")), step, lambda s: s["taken"])
+
+    def others(starts: Column, first: Column) -> Column:
+        """Those of issued forms and, between them, the rest."""
+
+        def step(s: Column, x: Column) -> Column:
+            ahead = F.get(first, s["next"])["i"]
+            at = F.coalesce(ahead == x["i"], F.lit(False))
+            fit = F.filter(x["valid"], lambda v: (x["i"] >= s["free"]) & F.coalesce(x["i"] + v["k"] <= ahead, F.lit(True)))
+            k = F.when(at, F.get(first, s["next"])["k"]).otherwise(F.array_max(fit)["k"])
+            more = F.struct(F.concat(s["taken"], F.array(F.struct(x["i"].alias("i"), k.alias("k")))).alias("taken"), (x["i"] + k).alias("free"), (s["next"] + at.cast("int")).alias("next"))
+            return F.when(at | (F.size(fit) > 0), more).otherwise(s)
+
+        return F.aggregate(starts, F.struct(none.alias("taken"), F.lit(0).alias("free"), F.lit(0).alias("next")), step, lambda s: s["taken"])
+
+    def body(parts: Column) -> Column:
+        windows = F.regexp_extract_all(run, F.lit("(?<![0-9])(?=((?:[0-9]++[ -]?+){1,19}))[0-9]"), F.lit(1))
+        starts = F.filter(F.transform(windows, lambda w, i: F.struct(i.alias("i"), valid(w).alias("valid"))), lambda x: F.size(x["valid"]) > 0)
+        taken = let(starts, lambda x: let(issued(x), lambda first: others(x, first)))
+
+        def step(s: Column, t: Column) -> Column:
+            old = F.array_join(F.slice(parts, t["i"] + 1, t["k"]), "")
+            return let(F.struct(old.alias("old"), _card(old, key, undo).alias("new")), lambda c: F.struct(
+                F.concat(s["out"], F.array(F.array_join(F.slice(parts, s["at"] + 1, t["i"] - s["at"]), ""), c["new"])).alias("out"),
+                (t["i"] + t["k"]).alias("at"),
+                (s["n"] + F.when(c["old"] != c["new"], 1).otherwise(0)).alias("n"),
+            ))
+
+        start = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit(0).alias("at"), F.lit(0).alias("n"))
+        tail = lambda s: F.array_join(F.slice(parts, s["at"] + 1, F.size(parts)), "")
+        return F.aggregate(taken, start, step, lambda s: F.struct(F.concat(F.array_join(s["out"], ""), tail(s)).alias("text"), s["n"].alias("n")))
+
+    return let(F.regexp_extract_all(run, F.lit("[0-9]+[ -]?"), F.lit(0)), body)
+
+
 def mod97(text: Column) -> Column:
     """Remainder of an IBAN whose first four characters stand at its end; letters count from 10."""
     values = F.transform(_characters(text), lambda c: (_locate(c, "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ") - 1).cast("int"))
@@ -123,8 +217,9 @@ def mod97(text: Column) -> Column:
 
 def _iban(text: Column, key: str, undo: bool) -> Column:
     land, rest = F.substring(text, 1, 2), F.substring(text, F.lit(5), F.length(text))
-    valid = mod97(F.concat(rest, F.substring(text, 1, 4))) == 1
-    new = let(permute_text(rest, "digit", "iban", key, undo), lambda r: F.concat(land, F.lpad((F.lit(98) - mod97(F.concat(r, land, F.lit("00")))).cast("string"), 2, "0"), r))
+    close = lambda t: F.replace(t, F.lit(" "), F.lit(""))
+    valid = mod97(close(F.concat(rest, F.substring(text, 1, 4)))) == 1
+    new = let(permute_text(rest, "digit", "iban", key, undo), lambda r: F.concat(land, F.lpad((F.lit(98) - mod97(close(F.concat(r, land, F.lit("00"))))).cast("string"), 2, "0"), r))
     return F.when(valid, new).otherwise(text)
 
 
@@ -164,6 +259,11 @@ def _after(text: Column, prefix: str, alphabet, kind: str, key: str, undo: bool)
 
 def pseudonym(value: Column, key: str = KEY, undo: bool = False) -> Column:
     """The pseudonym of a found value, or (undo) the value of a pseudonym; unchanged if it isn't valid."""
+    return _replaced(value, key, undo)["text"]
+
+
+def _replaced(value: Column, key: str, undo: bool) -> Column:
+    """text: the pseudonym of a found value; n: the number of values in it that changed."""
     is_ = lambda kind: value.rlike(f"^(?:{PATTERNS[kind]})$")
     name = F.substring_index(value, "@", 1)
     label = r"^(?i:password|passwd|token|secret|api_key)\s*[=:]\s*\x22?"
@@ -172,27 +272,29 @@ def pseudonym(value: Column, key: str = KEY, undo: bool = False) -> Column:
         .when(value.rlike(label + "[0-9a-f]+$|^[0-9a-f]+$"), _after(value, f"(?:{label})?", "hex", "secret", key, undo))
         .otherwise(_after(value, label, "base62", "secret", key, undo))
     )
-    return (
+    single = (
         F.when(is_("email"), F.concat(permute_text(F.lower(name), "base36", "email", key, undo), F.substring(value, F.length(name) + 1, F.length(value))))
         .when(is_("secret"), secret)
         .when(is_("iban"), _iban(value, key, undo))
-        .when(is_("phone"), _after(value, r"^\+[0-9]{1,3}(?= ?\()|^\+[0-9]{2}", "digit", "phone", key, undo))
+        .when(is_("phone"), _after(value, PHONE_HEAD, "digit", "phone", key, undo))
         .when(is_("date"), _date(value, key, undo))
         .when(is_("ssn"), _ssn(value, key, undo))
         .when(is_("ipv4"), _ipv4(value, key, undo))
-        .when(is_("card"), _card(value, key, undo))
         .otherwise(value)
     )
+    one = let(single, lambda new: F.struct(new.alias("text"), F.when(new != value, 1).otherwise(0).alias("n")))
+    first = [k for k in PATTERNS if k != "card"]
+    return F.when(is_("card") & ~F.coalesce(value.rlike("^(?:" + "|".join(PATTERNS[k] for k in first) + ")$"), F.lit(False)), _cards(value, key, undo)).otherwise(one)
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with text replaced and n_pii, the number of replaced values."""
     found = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
     between = F.split("text", ANY, -1)
-    new = F.transform(found, lambda m: F.when(F.length(m) > 0, pseudonym(m, key)))
-    joined = let(F.struct(found.alias("old"), new.alias("new")), lambda s: F.struct(
-        F.array_join(F.zip_with(between, s["new"], lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "").alias("text"),
-        F.size(F.filter(F.zip_with(s["old"], s["new"], lambda a, b: a != b), lambda x: x)).cast("long").alias("n"),
+    new = F.transform(found, lambda m: F.when(F.length(m) > 0, _replaced(m, key, False)))
+    joined = let(new, lambda x: F.struct(
+        F.array_join(F.zip_with(between, x, lambda a, b: F.concat(a, F.coalesce(b["text"], F.lit("")))), "").alias("text"),
+        F.aggregate(x, F.lit(0).cast("long"), lambda n, b: n + F.coalesce(b["n"], F.lit(0))).alias("n"),
     ))
     # Every pattern needs one of these characters.
     plain = F.struct(F.col("text").alias("text"), F.lit(0).cast("long").alias("n"))

@@ -242,6 +242,28 @@ def test_pseudonyms(spark):
     assert all(r["v"] == r["u"] for r in one.withColumn("u", pii.pseudonym(F.col("p"), undo=True)).collect())
 
 
+def test_pseudonyms_next_to_other_digits(spark):
+    """Values among digits, grouped and separated forms: what must be gone, what must stay and how many are replaced."""
+    card = "4111 1111 1111 1111"
+    cases = [
+        (f"{card} 12/27", [card], "12/27", 1), (f"{card} 123", [card], " 123", 1), ("4111111111111111 123", ["4111111111111111"], " 123", 1), ("12 4111111111111111", ["4111111111111111"], "12 ", 1),
+        ("4111111111111111 5500005555555559", ["4111111111111111", "5500005555555559"], "", 2), (f"{card} 890-62-6879", [card, "890-62-6879"], "", 2), (f"{card} 10.1.2.3", [card, "10.1.2.3"], "", 2),
+        (f"{card} 555-123-4567", [card, "555-123-4567"], "", 2), (f"{card} 2024-02-29", [card, "2024-02-29"], "", 2), (f"{card} 2nd", [card], " 2nd", 1),
+        ("GB82 WEST 1234 5698 7654 32", ["1234 5698 7654 32"], "WEST", 1), ("BE68 5390 0754 7034 THIS IS", ["5390 0754 7034"], " THIS IS", 1),
+        ("2024-02-29T10:00", ["2024-02-29"], "T10:00", 1), ("(743) 555-3824", ["555-3824"], "", 1), ("743-555-3824", ["555-3824"], "", 1), ("+1-743-555-3824", ["743-555-3824"], "+1-", 1),
+        ("+44 20 7946 0958", ["7946 0958"], "+44 ", 1), ("030 1234567", ["1234567"], "0", 1), ("+33 1 23 45 67 89", ["23 45 67 89"], "+33 ", 1), ("0171-1234567", ["1234567"], "0", 1),
+        ("4111 1111 1111 1112 12", [], "4111 1111 1111 1112 12", 0), ("DE89 3704 0044 0532 0130 01", [], "DE89 3704 0044 0532 0130 01", 0),
+    ]
+    table = spark.createDataFrame([(i, f"see {t}, so") for i, (t, *_) in enumerate(cases)] + [(99, "12 " * 30000 + "4111111111111111")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymise(table).collect()}
+    for i, (t, gone, stays, n) in enumerate(cases):
+        out = got[i]["text"]
+        assert not [g for g in gone if g in out] and stays in out and got[i]["n_pii"] == n, (t, out, got[i]["n_pii"])
+    assert "4111111111111111" not in got[99]["text"] and got[99]["n_pii"] >= 1
+    alone = spark.createDataFrame([(c,) for c in ("GB82 WEST 1234 5698 7654 32", "743-555-3824", "030 1234567", "01 23 45 67 89", "+44 20 7946 0958")], "v string").select("v", pii.pseudonym(F.col("v")).alias("p"))
+    assert all(r["v"] == r["u"] != r["p"] for r in alone.withColumn("u", pii.pseudonym(F.col("p"), undo=True)).collect())
+
+
 def test_licences(spark):
     rng = random.Random(1)
     filler = ["\n".join(" ".join(f"word{rng.randint(0, 300)}" for _ in range(12)) for _ in range(5)) for _ in range(40)]
