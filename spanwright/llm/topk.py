@@ -78,7 +78,8 @@ def _scan(a: np.ndarray, buckets: list[dict], k: int, best: list, own: np.ndarra
                 part = bucket["vectors"] if len(keep) == len(bucket["rows"]) else bucket["vectors"][keep]
                 scores = np.rint(part @ a[i].astype(float)).astype(np.int64)
             if len(scores) > 2 * k + 2:
-                cut = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
+                values = np.unique(scores)  # an id with several vectors of one score is one neighbour
+                cut = values[max(0, len(values) - k - 1)]
                 cut = cut if theta is None else max(cut, theta)
                 chosen = scores >= cut
                 keep, scores = keep[chosen], scores[chosen]

@@ -31,11 +31,12 @@ def classes(rows: DataFrame, k: int) -> DataFrame:
     """``embedding, ids``: each distinct vector with its k + 1 smallest ids.
 
     That loses nothing: of equal vectors only the smallest ids can be among the
-    first k, also if the query's own is left out. The rank filter limits each
-    map task to k + 1 rows a vector before the shuffle.
+    first k, also if the query's own is left out. Rows that repeat id and vector
+    count once. The rank filter limits each map task to k + 1 rows a vector
+    before the shuffle.
     """
     rank = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
-    few = rows.withColumn("nth", rank).where(F.col("nth") <= k + 1)
+    few = rows.distinct().withColumn("nth", rank).where(F.col("nth") <= k + 1)
     return few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
 
@@ -45,7 +46,7 @@ def search(vectors: DataFrame, queries: Column, k: int, order: Callable, prepare
     order: column by which candidates are packed; prepare(matrix) -> state of a
     pack; scan(queries, state, ids, own, k) yields (row of query, ids, scores).
     """
-    rows = vectors.where(queries)
+    rows = vectors.where(queries).distinct()
     packs = written(classes(vectors, k).withColumn("dim", F.size("embedding")), "vectors")
     n_pack = max(1, -(-packs.count() // PACK))
     n_query = max(1, -(-rows.count() // QUERY_BLOCK))
@@ -86,7 +87,7 @@ def search(vectors: DataFrame, queries: Column, k: int, order: Callable, prepare
 
 
 def merge(best: tuple, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple:
-    """The k best of those so far and the classes ``rows``, without the query's own id; ties to the smaller id."""
+    """The k best of those so far and the classes ``rows``, without the query's own id; equal pairs of id and score count once, ties to the smaller id."""
     if not len(rows):
         return best
     found = [np.asarray(ids[r]) for r in rows]
@@ -94,8 +95,10 @@ def merge(best: tuple, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, ow
     s = np.concatenate([best[1], np.repeat(scores, [len(f) for f in found])]) if len(best[1]) else np.repeat(scores, [len(f) for f in found])
     keep = x != own
     x, s = x[keep], s[keep]
-    top = np.lexsort((x, -s))[:k]
-    return x[top], s[top]
+    top = np.lexsort((x, -s))
+    x, s = x[top], s[top]
+    new = np.append(True, (x[1:] != x[:-1]) | (s[1:] != s[:-1]))[: len(x)]
+    return x[new][:k], s[new][:k]
 
 
 def blocks_of(n: int, size: int) -> Iterator[slice]:

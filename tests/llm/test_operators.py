@@ -121,6 +121,22 @@ def test_exact_topk(spark):
     assert topk.exact_topk(table.limit(0)).count() == 0
 
 
+def test_repeated_rows_in_several_packs(spark, monkeypatch):
+    from spanwright.llm import vector_blocks
+
+    monkeypatch.setattr(vector_blocks, "PACK", 64)
+    table, x = vectors(spark)
+    many = table.unionByName(table).unionByName(table.where("vec_id = 20").crossJoin(spark.range(25)).drop("id"))
+    ints = np.vstack([np.floor(64 * x.astype("f8")), np.zeros((1, x.shape[1]))])
+    rows = topk.exact_topk(many).collect()
+    assert {(r["query_id"], r["rank"]): r["vec_id"] for r in rows} == brute(ints, [*range(300), 903], 20) and len(rows) == 15 * 20
+    near = ann.nearest(many).collect()
+    full = {q: [r["vec_id"] for r in near if r["query_id"] == q] for q in range(0, 300, 20)}
+    assert all(len(v) == len(set(v)) == 20 for v in full.values())
+    want = brute(x.astype("f8"), range(300), 20)
+    assert len({((r["query_id"], r["rank"]), r["vec_id"]) for r in near} & set(want.items())) >= 0.9 * len(want)
+
+
 def test_coordinate_pruning_loses_nothing():
     rng = np.random.default_rng(3)
     a = rng.integers(-60, 60, (8, 6))
