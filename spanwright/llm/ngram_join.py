@@ -30,7 +30,7 @@ from .kernel import Words, mix, slices, text_buffer, window_hashes
 from .storage import written
 
 NGRAM, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.9995, 128
-BLOCK = 192
+BLOCK, BLOCK_BYTES = 192, 8 << 20
 #: Bytes of text that are hashed at once.
 AT_ONCE = 1 << 20
 #: Columns of the incidence matrix that are multiplied at once.
@@ -97,7 +97,7 @@ def _signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def _verify(group: pa.Table, threshold: float) -> pa.Table:
-    """Links of the classes of a group: those between its two sides, or all if it has one side."""
+    """Links of the classes of a group: all if it is a block by itself, else those between its two sides, one of which may be empty."""
     rep, copies = np.asarray(group.column("rep")), np.asarray(group.column("copies"))
     side = np.asarray(group.column("side"))
     sets = group.column("grams").combine_chunks()
@@ -122,7 +122,7 @@ def _verify(group: pa.Table, threshold: float) -> pa.Table:
     union = size[:, None] + size[None, :] - both
     linked = both >= threshold * union * (1 - 1e-12)
     np.fill_diagonal(linked, False)
-    if side.min() != side.max():
+    if not group.column("alone")[0].as_py():
         linked &= side[:, None] != side[None, :]
     links = linked @ copies.astype(np.float64)
     root = np.arange(len(rep))  # of each class, the smallest class that it reaches in this group
@@ -147,7 +147,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     stars = keyed.join(least, ["band", "hash"]).where("rep > least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct()
     sets = components(stars)
     sizes = sets.join(classes.select(F.col("rep").alias("node"), "bytes"), "node").groupBy("comp").agg(F.count("*").alias("n"), F.sum("bytes").alias("total"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / (8 << 20))).cast("int")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_BYTES)).cast("int")
     members = sets.join(sizes.select("comp", blocks.alias("blocks")), "comp").join(classes.select(F.col("rep").alias("node"), "copies"), "node")
     members = written(members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "members")
     texts = docs.join(members, docs["doc_id"] == members["node"]).select(F.col("node").alias("rep"), "text", "comp", "copies", "blocks", "block")
@@ -162,8 +162,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
     full = texts.mapInArrow(explode_sets, "rep long, comp long, copies long, blocks int, block int, grams array<long>")
     pairs = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).withColumn("side", (F.col("block") == F.col("hi")).cast("int"))
-    checked = written(pairs.select("comp", "lo", "hi", "rep", "copies", "side", "grams").groupBy("comp", "lo", "hi").applyInArrow(lambda g: _verify(_once(g), threshold), "rep long, near long, links long"), "links")
+    pairs = pairs.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).withColumn("side", (F.col("block") == F.col("hi")).cast("int")).withColumn("alone", F.col("lo") == F.col("hi"))
+    checked = written(pairs.select("comp", "lo", "hi", "rep", "copies", "side", "alone", "grams").groupBy("comp", "lo", "hi").applyInArrow(lambda g: _verify(_once(g), threshold), "rep long, near long, links long"), "links")
     links = checked.groupBy("rep").agg(F.sum("links").alias("links"))
     linked = components(checked.where("rep <> near").select(F.col("rep").alias("a"), F.col("near").alias("b")))
     result = classes.select("rep", "h1", "h2", "copies").join(links, "rep", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")

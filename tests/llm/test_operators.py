@@ -78,6 +78,19 @@ def test_ngram_join(spark, texts):
     assert ngram_join.near_duplicates(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_links_with_empty_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 120)
+    words = [f"w{i}" for i in range(100)]
+    near = [" ".join(words), " ".join([*words[:-1], "x"])]
+    got = ngram_join.near_duplicates(docs(spark, near)).collect()
+    assert [(r["class_id"], r["n_links"]) for r in got] == [(0, 1)] * 2
+    table = {"rep": [0, 1], "copies": [1, 1], "side": [1, 1], "grams": [[*range(100)], [*range(1, 101)]]}
+    import pyarrow as pa
+
+    counts = [ngram_join._verify(pa.table({**table, "alone": [alone] * 2}), 0.8).column("links").to_pylist() for alone in (True, False)]
+    assert counts == [[1, 1], [0, 0]]
+
+
 def test_large_group_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 6)
     base = [f"w{k}" for k in range(100)]
