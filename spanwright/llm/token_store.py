@@ -5,13 +5,16 @@ and a Bloom filter on doc_id let readers skip stripes, and stripes are read in
 parallel. Files are ranges of doc_id, so a document's first token position is
 the tokens of earlier files (one number a file) plus those before it in its own.
 
-Encoding cuts texts at single spaces between other characters, where this
-tokenizer's pattern always begins a new piece, and encodes each distinct segment
-of a batch once; a bounded cache keeps segments between batches.
-
-Defined cases: a null or empty text has the end id only; rows that repeat an id
-stand together, by the text's hash; a null id stands first; an empty table
-gives an empty table.
+Encoding cuts texts where this tokenizer's pattern always begins a new piece (at
+single spaces between other characters, and at marks of ENDS after letters or
+digits) and encodes each distinct segment of a slice once; a bounded cache keeps
+segments between slices. The strings of special tokens are encoded as the
+library does by default, as their ids.
+
+Defined cases: a null or empty text has the end id only; a very long text is a
+slice of its own; rows that repeat an id are rows of their own, whose starts
+follow the checksums of their ids; a null id stands first; columns other than
+doc_id and text play no part; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,11 +30,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .kernel import segment_hashes, slices, text_buffer
-from .storage import new_path, shuffle_partitions
+from .storage import new_path, shuffle_partitions, written
 
-END_ID, CACHE_SEGMENTS = 0, 600_000
+END_ID, CACHE_SEGMENTS, AT_ONCE = 0, 600_000, 4 << 20
+#: Marks before which a letter or digit always ends a piece; none is in the string of a special token.
+ENDS = b",.;:!?)\x22"
+#: One piece of this tokenizer, after which a mark begins another.
+LEAD = b" a"
 STRIPE_BYTES, INDEX_STRIDE = 64 << 20, 1000
 _STATE: dict = {}
+_MARK, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(ENDS)] = True
+_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -44,24 +54,36 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
+
+
+def _plain(b: np.ndarray) -> np.ndarray:
+    return (b > 0x20) & (b < 0x7F)
+
+
+def _solid_end(data: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether the character before each end is surely no white space."""
+    last, lead = data[end - 1], data[np.maximum(end - 2, 0)]
+    return _plain(last) | ((last >= 0x80) & (last < 0xC0) & (lead >= 0xC3) & (lead < 0xE0))
 
 
 def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Byte positions at which segments begin: texts, and single spaces between characters that are surely no white space."""
+    """Byte positions at which segments begin: texts, single spaces between characters that are surely no white space, and marks of ENDS after letters and digits."""
     n = len(data)
+    begins = offsets[:-1][np.diff(offsets) > 0]
     if n < 3:
-        return np.unique(offsets[:-1][np.diff(offsets) > 0])
+        return begins
     at = np.flatnonzero(data[1:-1] == 0x20) + 1
-    left, right = data[at - 1], data[at + 1]
-    lead = data[np.maximum(at - 2, 0)]
-    plain = lambda b: (b > 0x20) & (b < 0x7F)
-    at = at[(plain(left) | ((left >= 0x80) & (left < 0xC0) & (lead >= 0xC3) & (lead < 0xE0))) & (plain(right) | ((right >= 0xC3) & (right < 0xE0)))]
+    right = data[at + 1]
+    at = at[_solid_end(data, at) & (_plain(right) | ((right >= 0xC3) & (right < 0xE0)))]
+    mark = np.flatnonzero(_MARK[data[1:]]) + 1
+    left, lead = data[mark - 1], data[np.maximum(mark - 2, 0)]
+    mark = mark[_ALNUM[left] | ((lead == 0xC3) & (left >= 0x80) & (left < 0xC0) & (left != 0x97) & (left != 0xB7))]
     text = np.searchsorted(offsets, at, "right") - 1
     at = at[(at > offsets[text]) & (at + 1 < offsets[text + 1])]
-    return np.sort(np.concatenate([at, offsets[:-1][np.diff(offsets) > 0]]), kind="stable")
+    cut = np.zeros(n, bool)
+    cut[at] = cut[mark] = cut[begins] = True
+    return np.flatnonzero(cut)
 
 
 class Cache:
@@ -77,29 +99,32 @@ class Cache:
         self.place: dict[bytes, int] = {}
         self.begin, self.size, self.arena = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def add(self, segments: list[bytes]) -> None:
-        """Encodes new segments, those that begin with a cut many at a time: ids are told apart by their widths in bytes."""
-        plain = [k for k in segments if len(k) > 1 and k[0] == 32 and _solid(k[1:2]) and _solid(k[-2:])]
-        chosen = set(plain)
-        other = [k for k in segments if k not in chosen]
-        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+    def add(self, segments: dict[bytes, int]) -> None:
+        """Encodes new segments by kind (see _kinds), those that may stand together many at a time: ids are told apart by their widths in bytes."""
+        spaced, marked, other = ([k for k, kind in segments.items() if kind == want] for want in (1, 2, 0))
+        joined = [*spaced, *[LEAD + k for k in marked]]
+        groups = [joined[i : i + 256] for i in range(0, len(joined), 256)]
         got = self.tokenizer.encode_batch_fast([b"".join(g).decode() for g in groups] + [k.decode() for k in other], add_special_tokens=False)
         ids = [np.array(x.ids, np.int32) for x in got]
-        sizes = []
-        for group, own in zip(groups, ids, strict=False):
-            ends = np.searchsorted(np.cumsum(self.width[own]), np.cumsum([len(k) for k in group])) + 1
-            sizes.append(np.diff(ends, prepend=0))
-        sizes = np.concatenate([*sizes, np.fromiter(map(len, ids[len(groups) :]), np.int64, len(other))]).astype(np.int64)
+        alone = np.fromiter(map(len, ids[len(groups) :]), np.int64, len(other))
+        arena = np.concatenate([self.arena, *ids]) if ids else self.arena
+        together = arena[len(self.arena) : len(arena) - int(alone.sum())]
+        ends = np.searchsorted(np.cumsum(self.width[together]), np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined)))) + 1
+        size = np.concatenate([np.diff(ends, prepend=0), alone]).astype(np.int64)
+        begin = len(self.arena) + np.cumsum(size) - size
+        begin[len(spaced) : len(joined)] += 1  # the lead is one id
+        size[len(spaced) : len(joined)] -= 1
         first = len(self.begin)
-        self.begin = np.append(self.begin, len(self.arena) + np.cumsum(sizes) - sizes)
-        self.size = np.append(self.size, sizes)
-        self.arena = np.concatenate([self.arena, *ids])
-        self.place.update(zip([*plain, *other], range(first, first + len(sizes)), strict=True))
+        self.begin, self.size, self.arena = np.append(self.begin, begin), np.append(self.size, size), arena
+        self.place.update(zip([*spaced, *marked, *other], range(first, first + len(size)), strict=True))
 
 
-def _solid(end: bytes) -> bool:
-    """Whether the character at this end of a segment is surely no white space."""
-    return 0x20 < end[-1] < 0x7F or (len(end) == 1 and 0xC3 <= end[0] < 0xE0) or (len(end) == 2 and 0xC3 <= end[0] < 0xE0 and 0x80 <= end[1] < 0xC0)
+def _kinds(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """1: begins with a cut space, 2: begins with a mark; both end in no white space, so that another may follow. 0: others."""
+    head, solid = data[starts], _solid_end(data, ends)
+    after = data[np.minimum(starts + 1, len(data) - 1)]
+    spaced = (head == 0x20) & (ends - starts > 1) & (_plain(after) | ((after >= 0xC3) & (after < 0xE0)))
+    return np.where(solid & spaced, 1, np.where(solid & _MARK[head], 2, 0))
 
 
 def encode(column: pa.Array, path: str) -> pa.ListArray:
@@ -109,24 +134,31 @@ def encode(column: pa.Array, path: str) -> pa.ListArray:
         cache.clear()
     data, offsets = text_buffer(column)
     starts = _cuts(data, offsets)
-    ends = np.append(starts[1:], len(data))
+    ends = np.append(starts[1:], len(data))[: len(starts)]
     group, _ = pd.factorize(segment_hashes(data, starts, ends))
-    first = np.flatnonzero(np.diff(np.maximum.accumulate(group), prepend=-1) > 0)
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(group), prepend=-1) > 0) if len(group) else np.zeros(0, np.int64)
     raw = data.tobytes()
     keys = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-    new = [k for k in keys if k not in cache.place]
+    kinds = _kinds(data, starts[first], ends[first]).tolist() if len(first) else []
+    new = {k: kind for k, kind in zip(keys, kinds, strict=True) if k not in cache.place}
     if new:
-        cache.add(list(dict.fromkeys(new)))
+        cache.add(new)
     found = np.fromiter(map(cache.place.__getitem__, keys), np.int64, len(keys))
     each, begin = cache.size[found][group], cache.begin[found][group]
     before = np.cumsum(each) - each
     text = np.searchsorted(offsets, starts, "right") - 1
     total = int(each.sum())
-    step = np.arange(total) - np.repeat(before, each)
-    out = np.full(total + len(column), END_ID, np.int32)
-    out[np.repeat(before + text, each) + step] = cache.arena[np.repeat(begin, each) + step]  # an end id stands after each earlier text
+    # Where each id comes from: one number higher than the id before it, but for the first of a segment.
+    jump = np.ones(total, np.int64)
+    some = np.flatnonzero(each)
+    jump[before[some]] = np.diff(begin[some], prepend=0) - np.append(0, each[some][:-1] - 1)[: len(some)]
     per = np.bincount(text, weights=each, minlength=len(column)).astype(np.int64) + 1
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per)).astype(np.int32)), pa.array(out))
+    bounds = np.append(0, np.cumsum(per))
+    out = np.full(bounds[-1], END_ID, np.int32)
+    inner = np.ones(len(out), bool)
+    inner[bounds[1:] - 1] = False  # the end id of each text
+    out[inner] = cache.arena[np.cumsum(jump)] if total else 0
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(out))
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
@@ -137,7 +169,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for i, j in slices(batch.column("text"), 8 << 20):
+            for i, j in slices(batch.column("text"), AT_ONCE):
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), encode(part.column("text"), tokenizer)], names=["doc_id", "ids"])
 
@@ -164,9 +196,9 @@ def digest(tokens: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("doc_id"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(crc, pa.int64())], names=["file", "doc_id", "n_tokens", "ids_crc32"])
 
     rows = tokens.select(F.col("_metadata.file_name").alias("file"), "doc_id", "ids")
-    each = rows.mapInArrow(run, "file string, doc_id long, n_tokens long, ids_crc32 long")
-    files = each.groupBy("file").agg(F.sum("n_tokens").alias("own"))
-    before = files.withColumn("base", F.sum("own").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))).select("file", F.coalesce("base", F.lit(0)).alias("base"))
+    each = written(rows.mapInArrow(run, "file string, doc_id long, n_tokens long, ids_crc32 long"), "token-counts")
+    files = each.groupBy("file").agg(F.sum("n_tokens").alias("own")).withColumn("part", F.regexp_extract("file", r"^part-([0-9]+)", 1).cast("long"))
+    before = files.withColumn("base", F.sum("own").over(Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1))).select("file", F.coalesce("base", F.lit(0)).alias("base"))
     inside = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     numbered = each.withColumn("inner", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     return numbered.join(before, "file").select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
