@@ -10,9 +10,12 @@ candidate set is lost, and output is linear in the documents.
 
 Defined cases: n-grams are over words as they stand; a text of fewer than
 NGRAM words (but at least one) is one n-gram of all its words; a null or empty
-text has no n-grams, no links and is its own class. Rows that repeat an id give
-a row each and link to each other like copies. A row with a null id is left out.
-n_links counts the other rows of similarity THRESHOLD or more, copies included.
+text has no n-grams, no links and is its own class; a very long text is a slice
+of its own. Rows that repeat an id give a row each and link to each other like
+copies. A row with a null id gives a row without class and links, and takes no
+part. Columns other than doc_id and text play no part; an empty table gives no
+rows. n_links counts the other rows of similarity THRESHOLD or more, copies
+included.
 """
 
 from __future__ import annotations
@@ -138,7 +141,8 @@ def _verify(group: pa.Table, threshold: float) -> pa.Table:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id (smallest id of the linked set), n_links of each row of docs (doc_id, text)."""
     bands, rows = choose_bands(threshold, recall, MAX_HASHES)
-    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = every.where(F.col("doc_id").isNotNull())
     signed = written(_signatures(docs, bands, rows), "signatures")
     found = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("grams").alias("grams"), F.max("bytes").alias("bytes"), F.min("bands").alias("bands"))
     classes = written(found, "classes")
@@ -168,7 +172,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     linked = components(checked.where("rep <> near").select(F.col("rep").alias("a"), F.col("near").alias("b")))
     result = classes.select("rep", "h1", "h2", "copies").join(links, "rep", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     result = written(result.select("h1", "h2", F.coalesce("comp", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "result")
-    return signed.select("doc_id", "h1", "h2").join(result, ["h1", "h2"]).select("doc_id", "class_id", "n_links")
+    unnamed = every.where(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return signed.select("doc_id", "h1", "h2").join(result, ["h1", "h2"]).select("doc_id", "class_id", "n_links").unionByName(unnamed)
 
 
 def _once(group: pa.Table) -> pa.Table:
