@@ -6,10 +6,15 @@ penalty labels runs of words. Long texts are cut into chunks of CHUNK words
 whose transfer matrices are combined, so the number of sequential steps does not
 follow the length of the longest text.
 
-Defined cases: a null text or one without letters is ``und`` with score 0 and no
-spans; without labelled rows every text is ``und``; words of a script that no
-language was seen in are neutral. Ties go to the language first by code point.
-Repeated rows are each predicted; extra columns are kept by ``identify``.
+A letter is a code point of category L; a word is a letter and the letters and
+marks that follow it.
+
+Defined cases: a null or empty text or one without letters is ``und`` with score 0
+and no spans; without labelled rows every text is ``und``; words of a script that
+no language was seen in are neutral. Ties go to the language first by code point.
+Very long texts are a slice of their own; rows that repeat or have a null id are
+each predicted; extra columns are kept by ``identify``; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -41,7 +46,7 @@ SCRIPT_RANGES = [
     (0x0B80, "tamil"), (0x0C00, "other"), (0x0E00, "thai"), (0x0E80, "other"), (0x10A0, "georgian"),
     (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"),
     (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"),
-    (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"), (0x20000, "han"), (0x30000, "other"),
+    (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"), (0x20000, "han"), (0x323B0, "other"),
 ]
 SCRIPTS = sorted({name for _, name in SCRIPT_RANGES})
 _STARTS = np.array([x for x, _ in SCRIPT_RANGES])
@@ -50,8 +55,9 @@ _TABLES: dict[str, np.ndarray] = {}
 
 
 def _letters() -> np.ndarray:
+    """Of each code point: 1 for a letter, 2 for a mark, else 0."""
     if "letters" not in _TABLES:
-        _TABLES["letters"] = np.array([unicodedata.category(chr(i))[0] in "LM" for i in range(0x30000)])
+        _TABLES["letters"] = np.array([" LM".find(unicodedata.category(chr(i))[0]) for i in range(0x110000)], np.int8).clip(0)
     return _TABLES["letters"]
 
 
@@ -65,15 +71,18 @@ class Model:
 
 
 class Letters:
-    """Trigram buckets and words of some texts; a word is a run of letters and marks."""
+    """Trigram buckets and words of some texts; a word is a letter and the letters and marks that follow it."""
 
     def __init__(self, texts: list[str]):
         low = [x.lower() for x in texts]
         points = np.frombuffer("\n".join(low).encode("utf-32-le", "replace"), np.uint32)
         lens = np.fromiter(map(len, low), np.int64, len(low))
         begins = np.cumsum(lens + 1) - lens - 1
-        table = _letters()
-        is_letter = table[np.minimum(points, len(table) - 1)]
+        kind = _letters()[points]
+        place = np.arange(len(points))
+        either = kind > 0
+        opens = np.maximum.accumulate(np.where(either & ~np.append(False, either[:-1])[: len(either)], place, 0))
+        is_letter = either & (np.maximum.accumulate(np.where(kind == 1, place, -1)) >= opens)  # marks before the first letter are left out
         edge = np.zeros(len(points) + 2, np.uint32)
         edge[1:-1] = np.where(is_letter, points, 1)
         at = np.flatnonzero(is_letter)
@@ -204,6 +213,13 @@ def word_scores(model: Model, x: Letters) -> np.ndarray:
     return out
 
 
+def _origin(text: str, at: int, known: dict[int, np.ndarray], row: int) -> int:
+    """The character of text from which the one at this place of its lower-cased form comes (a few characters become two)."""
+    if row not in known:
+        known[row] = np.repeat(np.arange(len(text)), [len(c.lower()) for c in text]) if len(text.lower()) != len(text) else np.zeros(0, np.int64)
+    return int(known[row][at]) if len(known[row]) else at
+
+
 def label_texts(model: Model, texts: list[str], spans: bool) -> pd.DataFrame:
     n = len(model.langs)
     pred, score, listed = np.full(len(texts), "und", object), np.zeros(len(texts)), [[] for _ in texts]
@@ -218,26 +234,25 @@ def label_texts(model: Model, texts: list[str], spans: bool) -> pd.DataFrame:
         pred[has] = np.array(model.langs, object)[best[has]]
         score[has] = letters.max(1)[has] / letters.sum(1)[has]
         if spans:
+            origins: dict[int, np.ndarray] = {}
             edge = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(labels, prepend=-1) != 0))
             for i, j in zip(edge, np.append(edge[1:], len(doc)), strict=False):
                 d = doc[i]
-                begin = int(x.at[x.first[i]] - x.begins[d])
-                end = int(x.at[x.first[j - 1] + x.count[j - 1] - 1] - x.begins[d]) + 1
+                begin = _origin(texts[d], int(x.at[x.first[i]] - x.begins[d]), origins, d)
+                end = _origin(texts[d], int(x.at[x.first[j - 1] + x.count[j - 1] - 1] - x.begins[d]), origins, d) + 1
                 listed[d].append({"start": begin, "end": end, "lang": model.langs[labels[i]]})
     return pd.DataFrame({"lang_pred": pred, "score": score, "spans": listed})
 
 
-def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
+def identify(docs: DataFrame, model: Model, spans: bool = False, prefix: str = "") -> DataFrame:
     """docs with lang_pred, score (share of the letters in that language) and, if asked for, ``lang_spans``.
 
-    Spans are character ranges of the lower-cased text. Columns of docs with
-    those names are replaced.
+    Spans are character ranges of the text. The new names may be given a prefix;
+    columns of docs with those names are replaced.
     """
-    new = ["lang_pred", "score", *["lang_spans"] * spans]
+    new = [prefix + n for n in ("lang_pred", "score", *["lang_spans"] * spans)]
     docs = docs.drop(*new)
-    types = "lang_pred string, score double" + ", lang_spans array<struct<start: long, end: long, lang: string>>" * spans
-
-
+    types = f"`{prefix}lang_pred` string, `{prefix}score` double" + f", `{prefix}lang_spans` array<struct<start: long, end: long, lang: string>>" * spans
     full = StructType([*docs.schema.fields, *StructType.fromDDL(types).fields])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
