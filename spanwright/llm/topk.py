@@ -10,8 +10,10 @@ is left are computed exactly.
 Defined cases: vectors that are null or hold null or non-finite components take
 no part; vectors of another dimension than the query's do not meet it; equal
 scores go to the smaller id; equal rows of one id count once; an empty table
-gives no rows. Components beyond 2 ** 25 in size are multiplied as Python
-integers and scores saturate at the range of long.
+gives no rows; columns other than vec_id and embedding play no part. Products are
+taken in the cheapest way that is exact for the largest components at hand: in
+doubles while no sum can reach 2 ** 53, in longs below 2 ** 63, else in Python
+integers; components and scores saturate at the range of long.
 """
 
 from __future__ import annotations
@@ -42,9 +44,14 @@ def _prepare(b: np.ndarray) -> list[dict]:
     return out
 
 
+def _largest(x: np.ndarray) -> int:
+    return max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0))))
+
+
 def _scan(a: np.ndarray, buckets: list[dict], k: int, best: list, own: np.ndarray, ids: np.ndarray) -> Iterator[tuple]:
     size = np.sqrt((a.astype(float) ** 2).sum(1))
-    big = max(np.abs(a).max(initial=0), max(np.abs(x["exact"]).max(initial=0) for x in buckets)) > 2**25
+    most = max((_largest(x["exact"]) for x in buckets), default=0)
+    bounds = [_largest(row) * most * a.shape[1] for row in a]
     for bucket in buckets:
         longest = bucket["lengths"][0]
         for i in range(len(a)):
@@ -71,9 +78,11 @@ def _scan(a: np.ndarray, buckets: list[dict], k: int, best: list, own: np.ndarra
                     keep = np.arange(len(bucket["rows"]))
             if not len(keep):
                 continue
-            if big:
-                got = [sum(int(x) * int(y) for x, y in zip(a[i], bucket["exact"][j], strict=True)) for j in keep]
-                scores = np.array([max(-(2**63), min(2**63 - 1, x)) for x in got], np.int64)
+            if bounds[i] >= 2**63:
+                got = bucket["exact"][keep].astype(object) @ a[i].astype(object)
+                scores = np.array([max(1 - 2**63, min(2**63 - 1, x)) for x in got], np.int64)
+            elif bounds[i] >= 2**53:
+                scores = bucket["exact"][keep] @ a[i]
             else:
                 part = bucket["vectors"] if len(keep) == len(bucket["rows"]) else bucket["vectors"][keep]
                 scores = np.rint(part @ a[i].astype(float)).astype(np.int64)
