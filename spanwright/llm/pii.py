@@ -16,12 +16,19 @@ IBANs in groups of four have their country's registered length.
 Each permutation has two parts A and B that change in turn, A by a keyed hash of
 B and B by one of A, digit by digit modulo the digit's radix. Dates are days of
 the 400 years from 1800 as a pair below 189 and 773 (their product is the days
-of 400 Gregorian years). E-mail names are permuted as base-36 strings in lower
-case; the domain stays. Secrets (key assignments, 40 hexadecimal digits, access
-key ids) are permuted over their alphabet.
-
-Defined cases: a null text stays null; an empty or clean text is unchanged; rows
-that repeat are each replaced alike; other columns are kept.
+of 400 Gregorian years); dates outside them stay. A date with the year last reads
+day first, and gives one that reads day first, if its parts allow that; else its
+day above 12 and its month are permuted together, so that it still reads month
+first. E-mail names are permuted as base-36 strings in lower case (undoing gives
+lower case); the domain stays. Secrets (key assignments of eight letters and
+digits or more, also between + / _ = ~ . and -, 40 hexadecimal digits, access key
+ids) are permuted over their alphabet; other characters stay. Values of any length
+are replaced whole, longer ones in parts of PART characters.
+
+Defined cases: a null text stays null; an empty or clean text is unchanged; texts
+and values of any length are searched and replaced whole; rows that repeat or
+have a null id are each replaced alike; other columns are kept, whatever their
+names, but one called n_pii is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY, ROUNDS = "change-this-key", 8
+KEY, ROUNDS, PART = "change-this-key", 8, 64
 ALPHABETS = {"digit": "0123456789", "hex": "0123456789abcdef", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "base62": "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "upper36": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"}
 
 # Characters of an IBAN by country, as registered.
@@ -48,8 +55,8 @@ def _grouped_ibans() -> str:
 
 #: Patterns by kind, tried in this order at each place.
 PATTERNS = {
-    "email": r"(?<![\w.+-])[A-Za-z0-9](?:[\w.+-]{0,62}[A-Za-z0-9_])?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
-    "secret": r"(?<![\w])(?:(?i:password|passwd|token|secret|api_key))\s*[=:]\s*\x22?[A-Za-z0-9]{8,64}(?![\w])|(?<![\w])[0-9a-f]{40}(?![\w])|(?<![\w])AKIA[A-Z0-9]{16}(?![\w])",
+    "email": r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*+(?<=[A-Za-z0-9_])@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}",
+    "secret": r"(?<![\w])(?:(?i:password|passwd|token|secret|api_key))\s*+[=:]\s*+\x22?(?=(?:[+/_=~.-]*+[A-Za-z0-9]){8})[A-Za-z0-9+/_=~.-]*[A-Za-z0-9+/=]|(?<![\w])[0-9a-f]{40}(?![\w])|(?<![\w])AKIA[A-Z0-9]{16}(?![\w])",
     "iban": r"(?<![\w])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![\w])|" + _grouped_ibans(),
     "phone": "|".join([
         r"(?<![\w+])\+[0-9]{1,3} ?\([0-9]{2,4}\) ?[0-9]{3}[ -]?[0-9]{4}(?![\w])",
@@ -86,8 +93,7 @@ def let(value: Column, body) -> Column:
 
 def _stream(text: Column, radix: Column) -> Column:
     """One number below each radix, from a hash of text."""
-    digest = F.sha2(text, 512)
-    return F.transform(radix, lambda r, i: F.conv(F.substring(digest, (i * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("int") % r)
+    return let(F.sha2(text, 512), lambda digest: F.transform(radix, lambda r, i: F.conv(F.substring(digest, (i * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("int") % r))
 
 
 def permute(values: Column, radix: Column, kind: str, key: str = KEY, undo: bool = False) -> Column:
@@ -122,12 +128,15 @@ def _locate(c: Column, letters: str) -> Column:
 def _refill(chars: Column, letters: str, new: Column) -> Column:
     """The text of chars, those in letters replaced in turn by the numbered letters of new."""
 
-    def step(s: Column, c: Column) -> Column:
-        put = F.substring(F.lit(letters), F.get(new, s["k"]).cast("int") + 1, F.lit(1))
-        ours = _locate(c, letters) > 0
-        return F.struct(F.concat(s["t"], F.when(ours, put).otherwise(c)).alias("t"), (s["k"] + F.when(ours, 1).otherwise(0)).alias("k"))
+    def fill(own: Column) -> Column:
+        def step(s: Column, c: Column) -> Column:
+            put = F.substring(F.lit(letters), F.get(own, s["k"]).cast("int") + 1, F.lit(1))
+            ours = _locate(c, letters) > 0
+            return F.struct(F.concat(s["t"], F.when(ours, put).otherwise(c)).alias("t"), (s["k"] + F.when(ours, 1).otherwise(0)).alias("k"))
+
+        return F.aggregate(chars, F.struct(F.lit("").alias("t"), F.lit(0).alias("k")), step, lambda s: s["t"])
 
-    return F.aggregate(chars, F.struct(F.lit("").alias("t"), F.lit(0).alias("k")), step, lambda s: s["t"])
+    return let(new, fill)
 
 
 def _numbers(chars: Column, letters: str) -> Column:
@@ -135,10 +144,11 @@ def _numbers(chars: Column, letters: str) -> Column:
 
 
 def permute_text(text: Column, alphabet: str, kind: str, key: str = KEY, undo: bool = False) -> Column:
-    """Permutes the characters of text that are in the alphabet; others stay in place."""
+    """Permutes the characters of text that are in the alphabet, in parts of PART if it is longer; others stay in place."""
     letters = ALPHABETS[alphabet]
     radix = lambda own: F.transform(own, lambda _: F.lit(len(letters)))
-    return let(_characters(text), lambda chars: let(_numbers(chars, letters), lambda own: _refill(chars, letters, permute(own, radix(own), kind, key, undo))))
+    one = lambda t: let(_characters(t), lambda chars: let(_numbers(chars, letters), lambda own: _refill(chars, letters, permute(own, radix(own), kind, key, undo))))
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)), one), "")
 
 
 def _card(text: Column, key: str, undo: bool) -> Column:
@@ -224,16 +234,29 @@ def _iban(text: Column, key: str, undo: bool) -> Column:
 
 
 def _date(text: Column, key: str, undo: bool) -> Column:
-    """Days since 1800-01-01 as 189 times 773."""
+    """Days since 1800-01-01 as 189 times 773; of dates that only read month first, the month and the day above 12."""
     plain = F.regexp_replace(text, "[/.]", "-")
     mark = F.regexp_extract(text, "[-/.]", 0)
     first, days = F.to_date(F.lit("1800-01-01")), 189 * 773
+
+    def month_first(when: Column) -> Column:
+        """Permutes 4800 months by 19 days until a real date comes out (97 in 100 are), which is a permutation of those."""
+        month = (F.year(when) - 1800) * 12 + F.month(when) - 1
+        radix = F.array(F.lit(4800), F.lit(19))
+        turn = lambda p: permute(p, radix, "month-first", key, undo)
+        real = lambda p: F.try_to_date(F.format_string("%04d-%02d-%02d", (p[0] / 12).cast("int") + 1800, p[0] % 12 + 1, p[1] + 13), "yyyy-MM-dd")
+        found = F.aggregate(F.sequence(F.lit(1), F.lit(12)), turn(F.array(month, F.dayofmonth(when) - 13)), lambda p, _: F.when(real(p).isNotNull(), p).otherwise(turn(p)))
+        return let(found, real)
+
+    def any_day(when: Column) -> Column:
+        age = F.datediff(when, first)
+        return let(permute(F.array((age / 773).cast("int"), (age % 773).cast("int")), F.array(F.lit(189), F.lit(773)), "date", key, undo), lambda p: F.date_add(first, p[0] * 773 + p[1]))
+
     out = text
-    for form in ("MM-dd-yyyy", "dd-MM-yyyy", "yyyy-MM-dd"):  # the last that parses holds
+    for form, change in (("MM-dd-yyyy", month_first), ("dd-MM-yyyy", any_day), ("yyyy-MM-dd", any_day)):  # the last that parses holds
         when = F.try_to_date(plain, form)
         age = F.datediff(when, first)
-        new = let(permute(F.array((age / 773).cast("int"), (age % 773).cast("int")), F.array(F.lit(189), F.lit(773)), "date", key, undo), lambda p: F.date_add(first, p[0] * 773 + p[1]))
-        out = F.when(when.isNotNull() & (age >= 0) & (age < days), F.replace(F.date_format(new, form), F.lit("-"), mark)).otherwise(out)
+        out = F.when(when.isNotNull() & (age >= 0) & (age < days), F.replace(F.date_format(change(when), form), F.lit("-"), mark)).otherwise(F.when(when.isNotNull(), text).otherwise(out))
     return out
 
 
@@ -298,5 +321,9 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     ))
     # Every pattern needs one of these characters.
     plain = F.struct(F.col("text").alias("text"), F.lit(0).cast("long").alias("n"))
-    done = docs.withColumn("pii", F.when(F.col("text").rlike("[0-9@=:]"), joined).otherwise(plain))
-    return done.withColumn("text", F.col("pii.text")).withColumn("n_pii", F.col("pii.n")).drop("pii")
+    kept = [c for c in docs.columns if c != "n_pii"]
+    done = "pii"
+    while done in docs.columns:
+        done += "_"
+    rows = docs.withColumn(done, F.when(F.col("text").rlike("[0-9@=:]"), joined).otherwise(plain))
+    return rows.select(*[F.col(f"{done}.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in kept], F.col(f"{done}.n").alias("n_pii"))
