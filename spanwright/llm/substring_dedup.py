@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .kernel import Words, mix, slices, window_hashes
 from .storage import shuffle_partitions
@@ -218,7 +219,8 @@ def _kept(words: Words, row: int, gone: np.ndarray) -> str:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # No cast where none is needed: an alias would keep the two joins from sharing a shuffle.
+    docs = docs.select("doc_id" if docs.schema["doc_id"].dataType == LongType() else F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(2 * shuffle_partitions(spark), -(-size // (BYTES_AN_ANCHOR * GROUP)))
 
