@@ -2,23 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Shingles found in more documents than this are joined in salted parts.
-SALT = 16
+from spanwright.functions.text import normalize_values
 
+#: Least Jaccard similarity of a near-duplicate pair, and words of a shingle.
+SIMILAR, WIDTH = 0.5, 3
 
-def shingles(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, shingle (hash) of each distinct run of ``width`` words, lower-cased."""
-    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
-    runs = F.transform(F.sequence(F.lit(0), F.size("words") - width), lambda i: F.xxhash64(F.array_join(F.slice("words", i + 1, width), " ")))
-    rows = docs.select("doc_id", words.alias("words")).where(F.size("words") >= width)
-    return rows.select("doc_id", F.explode(F.array_distinct(runs)).alias("shingle"))
 
+def shingles(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, shingles: the distinct runs of ``width`` words of the text in normal form; a shorter text is one run, one without words none."""
+    words = F.filter(F.split(normalize_values(F.col("text")), r"[^\p{L}\p{N}⟨⟩_]+"), lambda w: w != "")
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - width + 1, F.lit(1))), lambda i: F.array_join(F.slice("words", i, width), " "))
+    return docs.select("doc_id", words.alias("words")).where(F.size("words") > 0).select("doc_id", F.array_distinct(runs).alias("shingles"))
 
-def components(spark, edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """node, comp (smallest reachable node) of edges (a, b); rounds are cut by reliable checkpoints."""
+
+def similar_pairs(docs: DataFrame, threshold: float = SIMILAR, width: int = WIDTH) -> DataFrame:
+    """a, b, copies_a, copies_b, similarity of pairs (a < b) with Jaccard similarity of shingles of the threshold or more.
+
+    Texts of equal shingles are one class, named by its smallest id, and pairs are
+    those of classes; a class of several texts is a pair with itself. Shingles are ordered from rare to common. Two sets so similar share one of
+    the first ``size - ceil(threshold * size) + 1`` shingles of each, so only
+    those are joined, and pairs of too different sizes are left out; the sets
+    themselves are compared for the pairs that remain.
+    """
+    every = shingles(docs, width).withColumn("key", F.sha2(F.array_join(F.array_sort("shingles"), "\n"), 256))
+    sets = every.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("shingles").alias("shingles")).withColumn("n", F.size("shingles"))
+    one = sets.select("doc_id", "n", F.explode("shingles").alias("s"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("often", "s"))
+    often = one.groupBy("s").agg(F.count("*").alias("often")).where("often > 1")  # a shingle of one text joins nothing
+    known = one.join(often, "s", "left").fillna(1, ["often"])
+    first = known.withColumn("place", rank).where(F.col("place") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1).where("often > 1").select("s", "doc_id", "n")
+    x, y = first.select("s", F.col("doc_id").alias("a"), F.col("n").alias("na")), first.select("s", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
+    pairs = x.join(y, "s").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b").distinct()
+    side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"s{name}"), F.col("copies").alias(f"copies_{name}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    found = both.select("a", "b", "copies_a", "copies_b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
+    same = sets.where("copies > 1").select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("copies").alias("copies_a"), F.col("copies").alias("copies_b"), F.lit(1.0).alias("similarity"))
+    return found.unionByName(same)
+
+
+def frozen_digest(rows: DataFrame, key: str, hashes: str, digits: int = 4) -> DataFrame:
+    """key, digest, rows: a digest of the hexadecimal hashes of each key in any order, by parts of the same first digits, so that no task holds a whole key."""
+    part = F.substring(hashes, 1, digits)
+    of = lambda c: F.sha2(F.array_join(c, ""), 256)
+    parts = rows.groupBy(key, part.alias("part")).agg(of(F.array_sort(F.collect_list(hashes))).alias("d"), F.count("*").alias("n"))
+    return parts.groupBy(key).agg(of(F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: x["d"])).alias("digest"), F.sum("n").alias("rows"))
+
+
+def components(spark, edges: DataFrame) -> DataFrame:
+    """node, comp (smallest reachable node) of edges (a, b).
+
+    A round takes the least label among the neighbours, then that node's own
+    label, so rounds grow with the logarithm of the longest path; each is cut by
+    a reliable checkpoint.
+    """
     import tempfile
 
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
@@ -27,11 +67,12 @@ def components(spark, edges: DataFrame, rounds: int = 30) -> DataFrame:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp"))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("c")), "b").groupBy("a").agg(F.min("c").alias("near"))
-        new = labels.join(near, labels["node"] == near["a"]).select("node", "comp", F.least("comp", "near").alias("next")).checkpoint()
+        new = labels.join(near, labels["node"] == near["a"]).select("node", "comp", F.least("comp", "near").alias("next"))
+        far = labels.select(F.col("node").alias("next"), F.col("comp").alias("far"))
+        new = new.join(far, "next", "left").select("node", "comp", F.least("next", F.coalesce("far", "next")).alias("next")).checkpoint()
         changed = new.where("comp <> next").limit(1).count()
         labels = new.select("node", F.col("next").alias("comp"))
         if not changed:
             return labels
-    raise RuntimeError("labels still change")

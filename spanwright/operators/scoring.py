@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwright.functions.ranges import bytes_outside, overlaps, union
-from spanwright.functions.stats import bound, point, status
+from spanwright.functions.stats import MIN_DENOMINATOR, bound, point, status
 
 LEAKED = ["PARTIAL", "MISS"]
-MEASURABLE_FLOOR, TWIN_FLOOR = {"policy": 0.0}, {"policy": 0.0}
+
+
+def span_problems(spans: DataFrame) -> DataFrame:
+    """doc_id, family, start, end, problem of spans (with env_start, env_end, bytes) that overlap the one before, leave the text or their envelope."""
+    t = spans.withColumn("before", F.lag("end").over(Window.partitionBy("doc_id").orderBy("start", "end")))
+    found = F.array(F.when(F.col("start") < F.col("before"), "overlap"), F.when((F.col("start") < 0) | (F.col("end") > F.col("bytes")), "outside"), F.when((F.col("env_start") > F.col("start")) | (F.col("env_end") < F.col("end")), "envelope"))
+    return t.select("doc_id", "family", "start", "end", F.explode(F.filter(found, lambda p: p.isNotNull())).alias("problem"))
 
 
 def score_spans(spans: DataFrame, findings: DataFrame, scanners: DataFrame) -> DataFrame:
@@ -59,6 +65,87 @@ def score_rows(fixtures: DataFrame, spans: DataFrame, findings: DataFrame, scann
     return rows.withColumn("flagged", (F.col("kind") == "must-not-flag") & (F.col("findings") > 0))
 
 
+def score_controls(controls: DataFrame, findings: DataFrame, scanners: DataFrame) -> DataFrame:
+    """scanner, doc_id, scope_family, findings, flagged, co_detected, warned, redacted of controls (doc_id, scope_family).
+
+    Without a scope any finding flags the control. With one, findings of another
+    known family are co-detections and don't; those without a family do.
+    """
+    every = controls.crossJoin(F.broadcast(scanners))  # scanners: a handful of names
+    f = findings.select("scanner", "doc_id", F.col("family").alias("found"), "action")
+    other = F.col("found").isNotNull() & F.col("scope_family").isNotNull() & (F.col("found") != F.col("scope_family"))
+    n = lambda c, name: F.count_if(c).alias(name)
+    hit = F.col("action").isNotNull()
+    rows = every.join(f, ["scanner", "doc_id"], "left").groupBy("scanner", "doc_id", "scope_family").agg(n(hit, "findings"), n(hit & other, "other"), n(F.col("action") == "warn", "warned"), n(F.col("action") == "redact", "redacted"))
+    return rows.select("scanner", "doc_id", "scope_family", "findings", (F.col("other") < F.col("findings")).alias("flagged"), (F.col("other") > 0).alias("co_detected"), "warned", "redacted")
+
+
+def pair_twins(rows: DataFrame, twins: DataFrame) -> DataFrame:
+    """Positives of rows (score_rows) with their twins (score_controls, doc_id being the positive's), if they have one.
+
+    scanner, doc_id, kind, tier, miss, spans, covered (nothing leaks), acceptable
+    (nothing leaks and nothing is overbroad), scope_family, flagged, co_detected.
+    """
+    counts = [(F.col("leaked_spans") == 0).alias("covered"), (F.col("exact") + F.col("covered") == F.col("spans")).alias("acceptable")]
+    positive = rows.where("tier <> 'T0' and kind <> 'must-not-flag'").select("scanner", "doc_id", "kind", "tier", "miss", "spans", *counts)
+    return positive.join(twins.select("scanner", "doc_id", "scope_family", "flagged", "co_detected"), ["scanner", "doc_id"], "left")
+
+
+def account_twins(pairs: DataFrame, coverage_floor: float = 0.5, least: int = MIN_DENOMINATOR) -> DataFrame:
+    """Twin figures by scanner, kind and tier of pair_twins.
+
+    Two counts of discriminated pairs (the older one lets overbroad spans pass),
+    coverage (pairs a positive) with its lower bound, and the rate with its lower
+    bound: withheld as insufficient-coverage below the floor, else as
+    insufficient-evidence below ``least`` pairs.
+    """
+    has = F.col("flagged").isNotNull()
+    n = lambda c, name: F.count_if(c).alias(name)
+    g = pairs.groupBy("scanner", "kind", "tier").agg(
+        F.count("*").alias("positives"), n(has, "pairs"), n(F.col("covered") & ~F.col("flagged"), "discriminated_v10"),
+        n(F.col("acceptable") & ~F.col("flagged"), "discriminated"), n(F.col("co_detected"), "co_detected"),
+    )
+    state = F.when(F.col("pairs") < coverage_floor * F.col("positives"), "insufficient-coverage").when(F.col("pairs") < least, "insufficient-evidence").otherwise("measured")
+    shown = lambda c: F.when(F.col("status") == "measured", c)
+    return g.withColumn("status", state).select(
+        "*", point(F.col("pairs"), F.col("positives"), least).alias("coverage"), bound(F.col("pairs"), F.col("positives"), False, least).alias("coverage_bound"),
+        shown(point(F.col("discriminated"), F.col("pairs"), least)).alias("rate"), shown(bound(F.col("discriminated"), F.col("pairs"), False, least)).alias("rate_bound"),
+    )
+
+
+def absolute(rows: DataFrame) -> DataFrame:
+    """rows (score_rows, or controls without counts) with type and status of the assertion that a row makes by itself.
+
+    A positive passes if every span is EXACT or COVERED and no byte beside the
+    allowed ones is touched; a control if nothing flags it; T0 awaits review.
+    """
+    positive = F.col("spans") > 0
+    good = F.when(positive, (F.col("exact") + F.col("covered") == F.col("spans")) & (F.col("collateral_bytes") == 0)).otherwise(~F.col("flagged"))
+    status = F.when(F.col("tier") == "T0", "review-required").when(good, "pass").otherwise("fail")
+    kind = F.when(F.col("tier") == "T0", "absolute").when(positive, "present-within-envelope").otherwise("absent")
+    return rows.withColumn("type", kind).withColumn("status", status)
+
+
+def relation(before: DataFrame, after: DataFrame, kind: str) -> DataFrame:
+    """scanner, doc_id, type, status of rows (absolute, with positive and outcomes) and their variants.
+
+    Both must pass by themselves; must-flip asks for a positive and a control,
+    same-detection for equal outcomes. Two missed positives are no invariance.
+    """
+    side = lambda rows, p: rows.select("scanner", "doc_id", *[F.col(c).alias(p + c) for c in ("status", "positive", "outcomes")])
+    both = side(before, "a_").join(side(after, "b_"), ["scanner", "doc_id"])
+    more = (F.col("a_positive") & ~F.col("b_positive")) if kind == "must-flip" else F.col("a_outcomes").eqNullSafe(F.col("b_outcomes"))
+    passed = (F.col("a_status") == "pass") & (F.col("b_status") == "pass") & more
+    review = (F.col("a_status") == "review-required") | (F.col("b_status") == "review-required")
+    return both.select("scanner", "doc_id", F.lit(kind).alias("type"), F.when(review, "review-required").when(passed, "pass").otherwise("fail").alias("status"))
+
+
+def outcomes(spans: DataFrame) -> DataFrame:
+    """scanner, doc_id, outcomes: those of the spans in their order, joined by a comma."""
+    listed = F.array_sort(F.collect_list(F.struct("start", "end", "family", "outcome")))
+    return spans.groupBy("scanner", "doc_id").agg(F.array_join(F.transform(listed, lambda s: s["outcome"]), ",").alias("outcomes"))
+
+
 def groups(rows: DataFrame) -> DataFrame:
     """Counts by scanner, kind and tier; rows of T0 are only counted. No totals over kinds or tiers."""
     scored = F.col("tier") != "T0"
@@ -72,8 +159,8 @@ def groups(rows: DataFrame) -> DataFrame:
 
 def account(counts: DataFrame, measurable_floor: float = 0.7) -> DataFrame:
     """Rates with Wilson bounds; withheld below five trials, or if too many rows of the kind are still T0."""
-    pending = counts.where("tier = 'T0'").select("scanner", "kind", F.col("files").alias("pending"))
-    rows = counts.where("tier <> 'T0'").join(pending, ["scanner", "kind"], "left").fillna(0, ["pending"])
+    waiting = F.sum(F.when(F.col("tier") == "T0", F.col("files")).otherwise(0)).over(Window.partitionBy("scanner", "kind"))  # a few rows a scanner
+    rows = counts.withColumn("pending", waiting).where("tier <> 'T0'")
     share = F.col("files") / (F.col("files") + F.col("pending"))
     floor = F.when(F.col("kind") == "must-redact", measurable_floor).otherwise(0.0)
     open_ = share >= floor

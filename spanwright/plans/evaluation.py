@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanwright import streaming
 from spanwright.functions import text as tx
-from spanwright.operators import independence, variants
+from spanwright.operators import independence, scoring, variants
 from spanwright.sources import fixtures as fx
 
 from .measurement import Inputs, query
@@ -78,28 +78,6 @@ def mutation_contract_validity(spark, sf_dir):
     return x.withColumn("expectation", F.when(ok, "same-detection").otherwise("review-required"))
 
 
-_TWIN = ", tw AS (SELECT scanner, doc_id, family, s, outcome, CASE WHEN scanner IN ('exact', 'silent', 'cut') THEN false WHEN scanner = 'wide' THEN doc_id % 4 = 0 ELSE doc_id % 3 <> 1 END AS twin_flagged FROM so)"
-
-
-def _twins(spark, sf_dir):
-    """Each span's outcome with whether the scanner flags its twin (a value changed in one property)."""
-    flagged = F.when(F.col("scanner").isin("exact", "silent", "cut"), False).when(F.col("scanner") == "wide", F.col("doc_id") % 4 == 0).otherwise(F.col("doc_id") % 3 != 1)
-    return Inputs(spark, sf_dir).spans().withColumn("twin_flagged", flagged)
-
-
-@add(_TWIN + " SELECT scanner, family, count(*) AS pairs, count(*) FILTER (outcome IN ('EXACT', 'COVERED') AND NOT twin_flagged) AS discriminated FROM tw GROUP BY 1, 2")
-def twin_discrimination(spark, sf_dir):
-    good = F.col("outcome").isin("EXACT", "COVERED") & ~F.col("twin_flagged")
-    return _twins(spark, sf_dir).groupBy("scanner", "family").agg(F.count("*").alias("pairs"), F.sum(good.cast("int")).alias("discriminated"))
-
-
-@add(_TWIN + " SELECT scanner, family, CASE WHEN bool_and(outcome IN ('EXACT', 'COVERED') AND NOT twin_flagged) THEN 'discriminates' WHEN bool_and(outcome = 'MISS') THEN 'never-found' WHEN bool_and(twin_flagged) THEN 'flags-every-twin' WHEN bool_or(twin_flagged) THEN 'flags-some-twins' ELSE 'partly-found' END AS state FROM tw GROUP BY 1, 2")
-def twin_probe_states(spark, sf_dir):
-    good = F.col("outcome").isin("EXACT", "COVERED") & ~F.col("twin_flagged")
-    state = F.when(F.bool_and(good), "discriminates").when(F.bool_and(F.col("outcome") == "MISS"), "never-found").when(F.bool_and("twin_flagged"), "flags-every-twin").when(F.bool_or("twin_flagged"), "flags-some-twins").otherwise("partly-found")
-    return _twins(spark, sf_dir).groupBy("scanner", "family").agg(state.alias("state"))
-
-
 _LEDGER = "WITH q AS (SELECT o_orderkey AS id, o_orderdate AS seen FROM orders WHERE o_orderkey % 3 = 0), l AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'resolved' WHEN 'O' THEN 'open' ELSE 'not-assertable' END AS status FROM orders WHERE o_orderkey % 2 = 0) "
 
 
@@ -122,11 +100,18 @@ def unresolved_in_queue(spark, sf_dir):
     return queue.join(ledger.where(F.col("status").isin("resolved", "not-assertable")), "id", "left_anti").select("id")
 
 
-@add(", p AS (SELECT doc_id, family, s, e, lag(e) OVER (PARTITION BY doc_id ORDER BY s, e) AS pe FROM truth) SELECT doc_id, family, s AS start, 'overlap' AS problem FROM p WHERE s < pe UNION ALL SELECT doc_id, family, s, 'outside' FROM truth WHERE s < 0 OR e > bytes UNION ALL SELECT doc_id, family, s, 'envelope' FROM truth WHERE es > s OR ee < e")
+_BROKEN = ", br AS (SELECT doc_id, family, CASE WHEN doc_id % 5 = 1 THEN s - bytes ELSE s END AS s, CASE WHEN doc_id % 5 = 2 THEN e + bytes ELSE e END AS e, CASE WHEN doc_id % 5 = 3 THEN s + 1 ELSE es END AS es, ee, bytes FROM truth UNION ALL SELECT doc_id, family, s + 1, e + 1, es, ee, bytes FROM truth WHERE doc_id % 5 = 4)"
+
+
+@add(_BROKEN + ", p AS (SELECT *, lag(e) OVER (PARTITION BY doc_id ORDER BY s, e) AS pe FROM br) SELECT doc_id, family, s AS start, e AS \"end\", 'overlap' AS problem FROM p WHERE s < pe UNION ALL SELECT doc_id, family, s, e, 'outside' FROM br WHERE s < 0 OR e > bytes UNION ALL SELECT doc_id, family, s, e, 'envelope' FROM br WHERE es > s OR ee < e")
 def corpus_problems(spark, sf_dir):
-    t = Inputs(spark, sf_dir).truth.withColumn("before", F.lag("end").over(Window.partitionBy("doc_id").orderBy("start", "end")))
-    found = F.array(F.when(F.col("start") < F.col("before"), "overlap"), F.when((F.col("start") < 0) | (F.col("end") > F.col("bytes")), "outside"), F.when((F.col("env_start") > F.col("start")) | (F.col("env_end") < F.col("end")), "envelope"))
-    return t.select("doc_id", "family", "start", F.explode(F.filter(found, lambda p: p.isNotNull())).alias("problem"))
+    """Problems of the true spans, broken in four ways by id: before the text, beyond it, outside the envelope, overlapping."""
+    t = Inputs(spark, sf_dir).truth
+    way = F.col("doc_id") % 5
+    start, end = F.when(way == 1, F.col("start") - F.col("bytes")).otherwise(F.col("start")), F.when(way == 2, F.col("end") + F.col("bytes")).otherwise(F.col("end"))
+    broken = t.select("doc_id", "family", start.alias("start"), end.alias("end"), F.when(way == 3, F.col("start") + 1).otherwise(F.col("env_start")).alias("env_start"), "env_end", "bytes")
+    twice = t.where(way == 4).select("doc_id", "family", (F.col("start") + 1).alias("start"), (F.col("end") + 1).alias("end"), "env_start", "env_end", "bytes")
+    return scoring.span_problems(broken.unionByName(twice))
 
 
 @add(", f AS (SELECT scanner, doc_id, count(*) AS n, md5(string_agg(s || ':' || e, ',' ORDER BY s, e)) AS digest FROM (SELECT DISTINCT scanner, doc_id, s, e FROM fnd) GROUP BY 1, 2) SELECT doc_id, count(DISTINCT digest) AS signatures, count(*) AS scanners FROM f GROUP BY 1")
@@ -137,22 +122,10 @@ def surface_signatures(spark, sf_dir):
     return f.groupBy("scanner", "doc_id").agg(sign.alias("digest")).groupBy("doc_id").agg(F.count_distinct("digest").alias("signatures"), F.count("*").alias("scanners"))
 
 
-@add("WITH a AS (SELECT source, sha256(string_agg(h, '' ORDER BY h)) AS digest, count(*) AS documents FROM (SELECT source, sha256(text) AS h FROM documents) GROUP BY 1) SELECT * FROM a", plain=True)
+@add("WITH h AS (SELECT source, sha256(text) AS h FROM documents), b AS (SELECT source, h[1:4] AS part, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY 1, 2) SELECT source, sha256(string_agg(d, '' ORDER BY part)) AS digest, sum(n)::BIGINT AS documents FROM b GROUP BY 1", plain=True)
 def frozen_digest(spark, sf_dir):
     d = fx.table(spark, sf_dir, "documents").select("source", F.sha2("text", 256).alias("h"))
-    return d.groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("digest"), F.count("*").alias("documents"))
-
-
-@add("WITH w AS (SELECT item_id AS doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS ws FROM benchmark), s AS (SELECT DISTINCT doc_id, array_to_string(ws[p:p + 1], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS p FROM w WHERE len(ws) >= 2)), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2) SELECT a, b, k AS common, round(k::DOUBLE / (x.n + y.n - k), 6) AS jaccard FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b", plain=True)
-def benchmark_similarity(spark, sf_dir):
-    """Word-pair Jaccard of benchmark items through an inverted index (no all-pairs scan)."""
-    b = fx.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    s = independence.shingles(b, 2)
-    n = s.groupBy("doc_id").agg(F.count("*").alias("n"))
-    pairs = s.alias("x").join(s.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.doc_id") < F.col("y.doc_id")))
-    c = pairs.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count("*").alias("common"))
-    c = c.join(n.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("doc_id").alias("b"), F.col("n").alias("nb")), "b")
-    return c.select("a", "b", "common", F.round(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), 6).alias("jaccard"))
+    return independence.frozen_digest(d, "source", "h").withColumnRenamed("rows", "documents")
 
 
 @add("WITH RECURSIVE e AS (SELECT s_suppkey AS a, s_suppkey + 7 AS b FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey + 7 IN (SELECT s_suppkey FROM supplier)), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS reach FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.reach) SELECT node, min(reach) AS comp FROM r GROUP BY 1", plain=True)
@@ -167,12 +140,6 @@ def event_monitor(spark, sf_dir):
     return streaming.monitor(fx.table(spark, sf_dir, "events"))
 
 
-@add("WITH v AS (SELECT doc_id, regexp_split_to_array(text, '[\\s\"''=:,;()<>]+') AS p FROM documents) SELECT doc_id, list_max(list_transform(p, lambda x: length(x)))::INTEGER AS n, list_filter(p, lambda x: length(x) = list_max(list_transform(p, lambda y: length(y))))[1] AS token FROM v", plain=True)
-def longest_token(spark, sf_dir):
-    d = fx.table(spark, sf_dir, "documents").select("doc_id", tx.longest_token(F.col("text")).alias("token"))
-    return d.select("doc_id", F.length("token").alias("n"), "token")
-
-
 _STRATA = "WITH s AS (SELECT c_nationkey % 5 AS stratum, count(*) AS cases, sum((c_acctbal < 0)::INTEGER)::BIGINT AS bad FROM customer GROUP BY 1) "
 
 

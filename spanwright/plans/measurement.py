@@ -117,9 +117,9 @@ def group_accounting_v11(spark, sf_dir):
     return scoring.account(scoring.groups(Inputs(spark, sf_dir).rows()))
 
 
-@query(f"SELECT k::BIGINT AS k, n::BIGINT AS n, {wilson_sql('k', 'n', True)} AS upper, {wilson_sql('k', 'n', False)} AS lower FROM (SELECT l_linenumber AS k, l_linenumber + (l_orderkey % 50) AS n FROM lineitem WHERE l_orderkey < 200 GROUP BY 1, 2)", plain=True)
+@query(f"SELECT k::BIGINT AS k, n::BIGINT AS n, {wilson_sql('k', 'n', True)} AS upper, {wilson_sql('k', 'n', False)} AS lower FROM (SELECT l_linenumber AS k, l_linenumber + (l_orderkey % 50) AS n FROM lineitem GROUP BY 1, 2)", plain=True)
 def wilson_bounds(spark, sf_dir):
-    x = fx.table(spark, sf_dir, "lineitem").where("l_orderkey < 200").select(long("l_linenumber").alias("k"), (F.col("l_linenumber") + F.col("l_orderkey") % 50).alias("n")).distinct()
+    x = fx.table(spark, sf_dir, "lineitem").select(long("l_linenumber").alias("k"), (F.col("l_linenumber") + F.col("l_orderkey") % 50).alias("n")).distinct()
     return x.select("k", "n", stats.wilson(F.col("k"), F.col("n"), True).alias("upper"), stats.wilson(F.col("k"), F.col("n"), False).alias("lower"))
 
 
@@ -163,8 +163,9 @@ def _pairs(spark, sf_dir):
     rows = Inputs(spark, sf_dir).rows()
     bad = F.when(F.col("kind") == "must-not-flag", F.col("flagged")).otherwise(F.col("leaked_spans") > 0)
     rows = rows.select("scanner", "doc_id", "kind", "tier", bad.alias("bad"))
-    own = rows.where("scanner = 'exact'").select("doc_id", "kind", "tier", F.col("bad").alias("ours"))
-    return own.join(rows.where("scanner <> 'exact'").select("doc_id", F.col("scanner").alias("peer"), F.col("bad").alias("theirs")), "doc_id")
+    ours = F.bool_or(F.when(F.col("scanner") == "exact", F.col("bad"))).over(Window.partitionBy("doc_id"))  # a few rows a document
+    both = rows.withColumn("ours", ours).where("scanner <> 'exact' and ours is not null")
+    return both.select("doc_id", "kind", "tier", "ours", F.col("scanner").alias("peer"), F.col("bad").alias("theirs"))
 
 
 @query(_PAIR + " SELECT peer, kind, tier, count(*) FILTER (NOT ours AND NOT theirs) AS both_good, count(*) FILTER (ours AND NOT theirs) AS only_ours_bad, count(*) FILTER (NOT ours AND theirs) AS only_theirs_bad, count(*) FILTER (ours AND theirs) AS both_bad FROM p WHERE tier <> 'T0' GROUP BY 1, 2, 3")
@@ -214,7 +215,9 @@ def candidate_verdicts(spark, sf_dir):
     return both.withColumn("verdict", verdict)
 
 
-_MASK = "regexp_replace(regexp_replace(regexp_replace(text, '[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}', '<uuid>', 'g'), '[A-Za-z0-9_+/=-]{24,}', '<token>', 'g'), '[0-9]+', '<n>', 'g')"
+_MASK = "lower(text)"
+for _pattern, _mark in text.NORMAL_FORM:
+    _MASK = f"regexp_replace({_MASK}, '{_pattern}', '{_mark}', 'g')"
 
 
 @query(f"SELECT sha256({_MASK}) AS shape, count(*) AS documents, min(doc_id) AS first, count(DISTINCT source) AS sources FROM documents GROUP BY 1 HAVING count(*) > 1", plain=True)
@@ -297,12 +300,3 @@ def suppressed_strata(spark, sf_dir):
     c = c.withColumn("least", F.min(F.when(F.col("n") >= 5, F.col("n"))).over(w)).withColumn("small", F.sum((F.col("n") < 5).cast("int")).over(w))
     hide = F.coalesce((F.col("n") < 5) | ((F.col("small") == 1) & (F.col("n") == F.col("least"))), F.lit(False))
     return c.select("source", "kind", F.when(~hide, F.col("n")).otherwise(-1).alias("n"), hide.alias("suppressed"))
-
-
-@query(", v AS (SELECT t.doc_id, t.family, t.s, t.e, decode(encode(text)[s + 1:e]) AS v FROM truth t JOIN docs USING (doc_id)) SELECT doc_id, family, s AS start, CASE WHEN regexp_matches(v, '^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$') THEN 'digest' WHEN regexp_matches(v, '^[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}$') THEN 'address' WHEN regexp_matches(v, '^v?[0-9]+\\.[0-9]+(?:\\.[0-9]+)?$') THEN 'version' WHEN regexp_matches(v, '^[0-9]+$') THEN 'number' WHEN regexp_matches(v, '^[a-z]+$') THEN 'word' ELSE 'none' END AS class FROM v")
-def negative_class(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
-    x = i.truth.join(i.docs.select("doc_id", "text"), "doc_id")
-    return x.select("doc_id", "family", "start", text.negative_class(text.byte_slice(F.col("text"), F.col("start"), F.col("end"))).alias("class"))
-
-

@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanwright.functions import stats
-from spanwright.operators import scoring
+from spanwright.operators import independence, scoring
 from spanwright.sources import fixtures as fx
 
-from .base import wilson_sql
+from .base import base, wilson_sql
 from .evaluation import _VALUE, _values, add
 from .measurement import Inputs
 
@@ -140,12 +140,19 @@ def leak_fragment_scan(spark, sf_dir):
     return d.groupBy("part").agg(F.count("*").alias("places"), F.count_distinct("doc_id").alias("documents")).where("documents > 1")
 
 
-@add("WITH r AS (SELECT event_type, event_id % 2 AS replay, md5(string_agg(user_id::VARCHAR, ',' ORDER BY event_id)) AS digest FROM events WHERE event_id < 4000 GROUP BY 1, 2) SELECT event_type, count(DISTINCT digest) AS digests, CASE WHEN count(DISTINCT digest) = 1 THEN 'complete' ELSE 'unstable' END AS status FROM r GROUP BY 1", plain=True)
+_REPLAY = "SELECT scanner, {v} AS replay, sha256(concat_ws(':', scanner, doc_id, family, s, e, action)) AS h FROM fnd"
+
+
+@add(f"WITH h AS (({base(1)}{_REPLAY.format(v=1)}) UNION ALL ({base(2)}{_REPLAY.format(v=2)})), b AS (SELECT scanner, replay, h[1:4] AS part, sha256(string_agg(h, '' ORDER BY h)) AS d FROM h GROUP BY 1, 2, 3), r AS (SELECT scanner, replay, sha256(string_agg(d, '' ORDER BY part)) AS digest FROM b GROUP BY 1, 2) SELECT scanner, count(DISTINCT digest) AS digests, CASE WHEN count(DISTINCT digest) = 1 THEN 'complete' ELSE 'unstable' END AS status FROM r GROUP BY 1", plain=True)
 def replay_stability(spark, sf_dir):
-    e = fx.table(spark, sf_dir, "events").where("event_id < 4000").withColumn("replay", F.col("event_id") % 2)
-    users = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "user_id"))), lambda x: x["user_id"].cast("string"))
-    r = e.groupBy("event_type", "replay").agg(F.md5(F.array_join(users, ",")).alias("digest"))
-    return r.groupBy("event_type").agg(F.count_distinct("digest").alias("digests")).withColumn("status", F.when(F.col("digests") == 1, "complete").otherwise("unstable"))
+    """Whether two replays of the same documents give a scanner's findings alike, by a digest that no order changes."""
+
+    def replay(version):
+        f = Inputs(spark, sf_dir, version).findings
+        return independence.frozen_digest(f.select("scanner", F.sha2(F.concat_ws(":", "scanner", "doc_id", "family", "start", "end", "action"), 256).alias("h")), "scanner", "h")
+
+    r = replay(1).unionByName(replay(2))
+    return r.groupBy("scanner").agg(F.count_distinct("digest").alias("digests")).withColumn("status", F.when(F.col("digests") == 1, "complete").otherwise("unstable"))
 
 
 @add("WITH m AS (SELECT l_returnflag AS surface, quantile_disc(l_extendedprice, 0.95) AS p95, min(l_extendedprice) AS least, max(l_extendedprice) AS most FROM lineitem GROUP BY 1) SELECT surface, p95, least, most, p95 <= 100000 AS time_ok, least >= 900 AS rate_ok, CASE WHEN p95 <= 100000 AND least >= 900 THEN 'accepted' ELSE 'rejected' END AS verdict FROM m", plain=True)

@@ -52,6 +52,14 @@ def spans(docs: DataFrame) -> DataFrame:
     )
 
 
+def twins(docs: DataFrame, truth: DataFrame) -> DataFrame:
+    """doc_id (of the positive), text, source, bytes, scope_family: each positive with the last character of its first value changed, so that it is none."""
+    first = truth.groupBy("doc_id").agg(F.min(F.struct("start", "end", "family")).alias("v"))
+    raw = F.encode("text", "UTF-8")
+    text = F.concat(F.decode(F.substring(raw, F.lit(1), F.col("v.end") - 1), "UTF-8"), F.lit("!"), F.decode(F.substring(raw, F.col("v.end") + 1, F.col("bytes")), "UTF-8"))
+    return docs.join(first, "doc_id").select("doc_id", text.alias("text"), "source", "bytes", F.col("v.family").alias("scope_family"))
+
+
 def fixtures(docs: DataFrame, truth: DataFrame) -> DataFrame:
     """doc_id, source, kind, tier, bytes; a document with a true value is a positive, any other a control."""
     positive = truth.select("doc_id").distinct().withColumn("positive", F.lit(True))
@@ -74,16 +82,13 @@ def findings(docs: DataFrame, truth: DataFrame, version: int = 1) -> DataFrame:
     base = truth.select("doc_id", "family", "start", "end", "bytes", cut_end.alias("cut_end"), F.least(F.col("end") + 20, F.col("bytes")).alias("far"))
     low, high = F.greatest(F.col("start") - 9, F.lit(0)), F.least(F.col("end") + 1, F.col("bytes"))
     act = F.when(F.col("doc_id") % 5 == 0, "warn").otherwise("redact")
-    parts = [
-        base.select(F.lit("exact").alias("scanner"), "doc_id", "family", "start", "end", act.alias("action")),
-        base.select(F.lit("wide").alias("scanner"), "doc_id", "family", low.alias("start"), high.alias("end"), act.alias("action")),
-        base.select(F.lit("cut").alias("scanner"), "doc_id", "family", "start", F.col("cut_end").alias("end"), act.alias("action")),
-        base.where("doc_id % 3 <> 1").select(F.lit("greedy").alias("scanner"), "doc_id", F.lit(None).cast("string").alias("family"), "start", F.col("far").alias("end"), act.alias("action")),
-    ]
+    none = F.lit(None).cast("string")
+    found = lambda scanner, family, start, end: F.struct(F.lit(scanner).alias("scanner"), family.alias("family"), start.cast("int").alias("start"), end.cast("int").alias("end"))
+    start, end = F.col("start"), F.col("end")
+    # One pass over the values and one over the licence words, each row giving what all scanners report on it.
+    on_value = F.array(found("exact", F.col("family"), start, end), found("wide", F.col("family"), low, high), found("cut", F.col("family"), start, F.col("cut_end")), F.when(F.col("doc_id") % 3 != 1, found("greedy", none, start, F.col("far"))))
     noise = docs.select("doc_id", F.explode(match_ranges("text", LICENCE)).alias("r")).select("doc_id", "r.start", "r.end")
-    for scanner, label in (("wide", "licence"), ("greedy", None)):
-        parts.append(noise.select(F.lit(scanner).alias("scanner"), "doc_id", F.lit(label).cast("string").alias("family"), "start", "end", act.alias("action")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    on_noise = F.array(found("wide", F.lit("licence"), start, end), found("greedy", none, start, end))
+    values = base.select("doc_id", F.explode(F.filter(on_value, lambda f: f.isNotNull())).alias("f"))
+    both = values.unionByName(noise.select("doc_id", F.explode(on_noise).alias("f")))
+    return both.select("f.scanner", "doc_id", "f.family", "f.start", "f.end", act.alias("action"))

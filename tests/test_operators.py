@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from spanwright import catalog, streaming
 from spanwright.functions import ranges, stats, text, validators
-from spanwright.operators import independence, scoring
+from spanwright.operators import calibration, independence, scoring
 from spanwright.sources import fixtures as fx
 
 SPAN = "doc_id long, family string, start int, end int, env_start int, env_end int, bytes int"
@@ -77,13 +77,52 @@ def test_match_ranges_count_bytes(spark):
 
 
 def test_context_classes(spark):
-    before = ["API_KEY=", '"dbPassword": "', "--auth-token ", "build_id: ", "Authorization: Bearer ", "scheme://user:", "see "]
-    got = spark.createDataFrame([(b,) for b in before], "b string").select(text.context_class(F.col("b"))).collect()
-    assert [r[0] for r in got] == ["credential-name", "credential-name", "credential-name", "other-name", "authorization-header", "url-userinfo", "bare"]
+    cases = [("API_KEY=", ""), ('  "dbPassword": "', '"'), ("--auth-token ", ""), ("build_id: ", ""), ("Authorization: Bearer ", ""), ("scheme://user:", "@host"), ("scheme://user:", " host"), ("see ", " here"), ("", "")]
+    got = spark.createDataFrame(cases, "b string, a string").select(text.context_class(F.col("b"), F.col("a"))).collect()
+    assert [r[0] for r in got] == ["credential-name", "credential-name", "credential-name", "other-name", "authorization-header", "url-userinfo", "other-name", "bare", "bare"]
+
+
+def test_negative_classes_and_longest_token(spark):
+    from spanwright.plans.candidates import CASES
+
+    got = spark.createDataFrame(CASES, "b string, v string, a string").select(text.negative_class(F.col("v"), F.col("b"), F.col("a"))).collect()
+    ref, env, cmd = "template-reference", "environment-reference", "command-substitution"
+    assert [r[0] for r in got] == [ref, ref, env, env, env, cmd, cmd, "angle-placeholder", "mask", "none", "placeholder-vocabulary", "none", "dotted-reference", "none", "none"]
+    t = spark.createDataFrame([("GITHUB_TOKEN=${GITHUB_TOKEN}",), ("é abcd",), (" \t\r\n",), ("",), ("ab [cd`ef|é日]",)], "t string").select(text.longest_token(F.col("t")).alias("r")).collect()
+    assert [tuple(r["r"]) if r["r"] else None for r in t] == [(0, 12), (3, 7), None, None, (0, 2)]
+
+
+def test_normal_form(spark):
+    t = "Id 3F2504E0-4F89-11D3-9A0C-0305E82C3301 hash deadbee1 deadbeef v12 AbCdEfGhIjKlMnOpQrStUvWxYz"
+    assert spark.createDataFrame([(t,)], "t string").select(text.normalize_values(F.col("t"))).first()[0] == "id  ⟨uuid⟩  hash  ⟨hex⟩  deadbeef v0  ⟨tok⟩ "
+
+
+def test_scoped_controls(spark):
+    controls = spark.createDataFrame([(1, "card"), (2, "card"), (3, None), (4, "card")], "doc_id long, scope_family string")
+    found = spark.createDataFrame([("x", 1, "card", "warn"), ("x", 2, "email", "redact"), ("x", 3, "email", "warn"), ("x", 4, None, "warn"), ("x", 4, "email", "warn")], "scanner string, doc_id long, family string, action string")
+    rows = scoring.score_controls(controls, found, spark.createDataFrame([("x",), ("y",)], "scanner string"))
+    got = {(r["scanner"], r["doc_id"]): (r["findings"], r["flagged"], r["co_detected"], r["warned"]) for r in rows.collect()}
+    assert got == {("x", 1): (1, True, False, 1), ("x", 2): (1, False, True, 0), ("x", 3): (1, True, False, 1), ("x", 4): (2, True, True, 2), **{("y", i): (0, False, False, 0) for i in range(1, 5)}}
+
+
+def test_isotonic_and_thresholds(spark):
+    cells = spark.createDataFrame([(1, 2, 1), (2, 2, 0), (3, 1, 1), (5, 2, 1), (7, 1, 1)], "score int, n long, y long")
+    got = [(r["score"], round(r["fitted"], 4)) for r in calibration.isotonic(cells).orderBy("score").collect()]
+    assert got == [(1, 0.25), (2, 0.25), (3, 0.6667), (5, 0.6667), (7, 1.0)]
+    rows = [(s, True, False) for s in (6, 7, 8, 9)] + [(s, False, True) for s in (1, 1, 2, 3)]
+    got = calibration.fit_thresholds(spark.createDataFrame(rows, "score int, positive boolean, independent boolean"), 3, 10).first().asDict()
+    assert got == {"low": 2, "medium": 3, "high": 4}
+
+
+def test_similar_pairs(spark):
+    words = [f"word{chr(97 + i)}" for i in range(20)]
+    docs = [(1, " ".join(words)), (2, " ".join(words[:19] + ["other"])), (3, " ".join(words[:8])), (4, "one"), (5, "One!"), (6, "")]
+    got = {(r["a"], r["b"]): round(r["similarity"], 4) for r in independence.similar_pairs(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {(1, 2): round(17 / 19, 4), (4, 4): 1.0}
 
 
 def test_components_of_a_chain(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
     assert {r["comp"] for r in independence.components(spark, edges).collect()} == {0}
 
 
