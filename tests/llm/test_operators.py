@@ -301,6 +301,26 @@ def test_licences(spark):
     assert got[:40] == [""] * 40 and got[40:] == ["mit", "cc-by-nc", "", "", ""] and unknown[42] == 1 and sum(unknown) == 1
 
 
+def test_wrapped_licences_and_prose(spark):
+    """Hard-wrapped statements, one in a very long line, comment marks, and prose that only holds licence words."""
+    rng = random.Random(2)
+    prose = lambda n: " ".join(rng.choice("house river garden letter winter market people evening street bread music doctor".split()) for _ in range(n))
+    filler = ["\n".join(prose(14) for _ in range(4)) for _ in range(60)]
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software"
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."
+    bsd = prose(30) + "\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n" + prose(20)
+    asked = [mit, gpl, bsd, prose(4000) + " Licensed under the Apache License, Version 2.0. " + prose(4000), "the licence of the shop was renewed and the rights of the tenants", "a notice about the public market and the terms of the winter " + prose(30)]
+    rows = licenses.scan(docs(spark, [*filler, *asked])).orderBy("doc_id").collect()
+    assert [r["families"] for r in rows] == [""] * 60 + ["mit", "gpl", "bsd", "apache-2.0", "", ""]
+    assert [r["n_statements"] for r in rows][:60] == [0] * 60 and [r["n_unknown"] for r in rows][-2:] == [0, 0]
+
+
+def test_licence_model_ignores_the_layout(spark):
+    table = docs(spark, [" ".join(f"word{(i * k) % 97}" for k in range(30)) for i in range(80)])
+    a, b = licenses.fit(table), licenses.fit(table.repartition(7))
+    assert (a.weights == b.weights).all() and a.threshold == b.threshold < 1 and a.rejected < 0.1
+
+
 def test_piece_scan(spark, texts):
     path = piece_scan.model_path()
     more = [*texts, "x" * 400 + "  y   z " * 9, "日本語" * 60, " lead  and trail  " * 9]
