@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanwright.plans import candidates, comparison, documents, evaluation, measurement, reporting
+from spanwright.plans import candidates, comparison, documents, evaluation, measurement, reporting, snapshots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**measurement.QUERIES, **evaluation.QUERIES}
 ORACLE_SQL: dict[str, str] = {**measurement.ORACLE_SQL, **evaluation.ORACLE_SQL}

@@ -85,3 +85,22 @@ def fit_thresholds(scores: DataFrame, floor_high: int, most: int) -> DataFrame:
     medium = _plateau(rates.join(high).where((F.col("t") >= 2) & (F.col("t") < F.col("high"))).withColumn("cost", F.col("leak") + F.col("alarm"))).withColumnRenamed("t", "medium")
     low = _plateau(rates.join(medium).where(F.col("t") < F.col("medium")).withColumn("cost", 2 * F.col("leak") + F.col("alarm"))).withColumnRenamed("t", "low")
     return low.join(medium).join(high)
+
+
+def band_outcomes(scores: DataFrame, threshold: int, by: str) -> DataFrame:
+    """For each stratum rows, the measurable share, and among measurable rows the shares of positives below and of (independent) controls from the threshold on."""
+    ok, over = F.col("measurable"), F.col("score") >= threshold
+    share = lambda part, whole: F.round(F.coalesce(F.try_divide(F.count_if(part & whole), F.count_if(whole)), F.lit(0.0)), 6)
+    control = ok & ~F.col("positive")
+    return scores.groupBy(by).agg(
+        F.count("*").alias("n"), share(ok, F.lit(True)).alias("measurable"), share(~over, ok & F.col("positive")).alias("leak"),
+        share(over, control).alias("alarm"), share(over, control & F.col("independent")).alias("independent_alarm"),
+    )
+
+
+def half_weights(counts: DataFrame) -> DataFrame:
+    """counts (generated, n by any keys) with weight: authored rows are scaled up to half of the total if they are fewer."""
+    n = lambda of, name: F.sum(F.when(of, F.col("n"))).alias(name)
+    total = counts.agg(n(F.col("generated"), "made"), n(~F.col("generated"), "authored"))
+    scale = F.when(~F.col("generated") & (F.col("made") > F.col("authored")), F.col("made") / F.col("authored")).otherwise(1.0)
+    return counts.crossJoin(F.broadcast(total)).withColumn("weight", scale).drop("made", "authored")
