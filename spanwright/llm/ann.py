@@ -9,8 +9,10 @@ Vectors whose upper bound reaches the k-th best exact score so far are reranked
 on the original vectors in double precision. Every row is indexed.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components
-take no part; vectors of another dimension than the query's do not meet it;
-equal scores go to the smaller id; an empty table gives no rows.
+take no part, nor do rows with a null id; vectors of another dimension than the
+query's do not meet it; components may be as large as the type holds; rows that
+repeat id and vector count once; equal scores go to the smaller id; columns other
+than vec_id and embedding play no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -48,13 +50,16 @@ def encode(b: np.ndarray) -> dict:
 def estimate(queries: np.ndarray, pack: dict, rows: slice) -> tuple[np.ndarray, np.ndarray]:
     """Estimated inner products (query by row) and the half-widths of their bounds."""
     bits = pack["bits"]
-    turned = (queries.astype(float) @ rotation(queries.shape[1], bits)).astype(np.float32)
+    unit = queries.astype(float)
+    size = np.sqrt((unit**2).sum(1))[:, None]
+    turned = (unit / np.maximum(size, 1e-300) @ rotation(queries.shape[1], bits)).astype(np.float32)
     signs = np.unpackbits(pack["packed"][rows], axis=1, count=bits).astype(np.float32) * 2 - 1
-    scale = pack["length"][rows] / (pack["along"][rows] * np.sqrt(bits))
-    value = (turned @ signs.T) * scale.astype(np.float32)
-    c2 = np.minimum(pack["along"][rows] ** 2, 1.0)
-    wide = pack["length"][rows] * np.sqrt((1 - c2) / c2) * ERROR_Z / np.sqrt(bits - 1)
-    return value, np.sqrt((queries.astype(float) ** 2).sum(1))[:, None] * wide
+    # Single precision holds products of directions only; lengths of any size are multiplied in doubles.
+    along = np.maximum(pack["along"][rows], 1e-300)
+    both = size * pack["length"][rows]
+    c2 = np.minimum(along**2, 1.0)
+    wide = both * (np.sqrt((1 - c2) / c2) * ERROR_Z / np.sqrt(bits - 1))
+    return both * ((turned @ signs.T) / (along * np.sqrt(bits))), np.where(np.isfinite(wide), wide, np.inf)
 
 
 def _scan(a: np.ndarray, pack: dict, k: int, best: list, own: np.ndarray, ids: np.ndarray) -> Iterator[tuple]:
@@ -62,7 +67,7 @@ def _scan(a: np.ndarray, pack: dict, k: int, best: list, own: np.ndarray, ids: n
     for rows in blocks_of(len(full), 4096):
         value, wide = estimate(a, pack, rows)
         for i in range(len(a)):
-            upper = value[i] + wide[i]
+            upper = np.nan_to_num(value[i] + wide[i], nan=np.inf, posinf=np.inf, neginf=-np.inf)
             if len(best[i][1]) < k:
                 first = np.argsort(-value[i], kind="stable")[: 2 * k]
                 yield i, first + rows.start, (full[rows][first] * a[i].astype(float)).sum(1)

@@ -11,13 +11,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text that are hashed at once; bounds the memory of a task.
 SLICE_BYTES = 1 << 20
 _U = np.uint64
-_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
-_IS_WORD = np.ones(256, bool)
-_IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
+#: Seeds of two hashes of the same bytes, and the bytes from which a range is hashed by itself.
+SEED, OTHER_SEED, LONG = 0x9E3779B97F4A7C15, 0x5851F42D4C957F2D, 64
+_WORD_BASE, _LENGTH_FACTOR = 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9
+#: Masks of the first 0 to 8 of eight bytes.
+_HEADS = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
+#: Bytes of words that are runs of anything but white space.
+NOT_SPACE = np.ones(256, bool)
+NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
+#: Each byte, A to Z in lower case.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -55,29 +64,52 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range; ranges are ascending and do not overlap."""
-    out = np.empty(len(starts), _U)
-    back = inverse(_BYTE_BASE)
-    i = 0
-    while i < len(starts):
-        base = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
-        part = data[base : ends[j - 1]]
-        sums = np.zeros(len(part) + 1, _U)
-        np.cumsum((part.astype(_U) + _U(1)) * powers(_BYTE_BASE, len(part)), out=sums[1:])
-        s, e = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = mix((sums[e] - sums[s]) * powers(back, len(part) + 1)[s] + (e - s).astype(_U))
-        i = j
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as one number; zeros follow the end."""
+    return np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+
+
+def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """A 64-bit hash of each byte range: eight bytes after eight are mixed in; ranges over LONG bytes take xxHash."""
+    size, eight, first = ends - starts, _eights(data), _U(seed)
+    out = mix((first ^ size.astype(_U) * _U(_LENGTH_FACTOR)) ^ mix((eight[starts] & _HEADS[np.minimum(size, 8)]) + first))
+    rows, at = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(rows):
+        part = eight[starts[rows] + at] & _HEADS[np.minimum(size[rows] - at, 8)]
+        out[rows] = mix(out[rows] ^ mix(part + first))
+        at += 8
+        rows = rows[size[rows] > at]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(memoryview(data[starts[i] : ends[i]]), seed)
     return out
 
 
+def equal_segments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each byte range holds the bytes of the range of number ``other``."""
+    size, eight = ends - starts, _eights(data)
+    same = size == size[other]
+    rows, at = np.flatnonzero(same & (other != np.arange(len(other)))), 0
+    long = rows[size[rows] > LONG]
+    rows = rows[size[rows] <= LONG]
+    while len(rows := rows[size[rows] > at]):
+        equal = ((eight[starts[rows] + at] ^ eight[starts[other[rows]] + at]) & _HEADS[np.minimum(size[rows] - at, 8)]) == 0
+        same[rows[~equal]] = False
+        rows = rows[equal]
+        at += 8
+    for i in long.tolist():
+        j = other[i]
+        same[i] = np.array_equal(data[starts[i] : ends[i]], data[starts[j] : ends[j]])
+    return same
+
+
 class Words:
     """The words of some texts: ``doc`` (row of each), byte ``start`` and ``end``, ``first`` (of each row, n + 1)."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, word_bytes: np.ndarray = NOT_SPACE, lower: bool = False):
         self.data, self.offsets = text_buffer(column)
-        is_word = _IS_WORD[self.data]
+        if lower:
+            self.data = _LOWER[self.data]
+        is_word = word_bytes[self.data]
         cut = np.zeros(len(self.data) + 1, bool)
         cut[self.offsets] = True
         before = np.empty_like(is_word)
@@ -90,8 +122,8 @@ class Words:
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(self.count)), self.count)
 
-    def hashes(self) -> np.ndarray:
-        return segment_hashes(self.data, self.start, self.end)
+    def hashes(self, seed: int = SEED) -> np.ndarray:
+        return segment_hashes(self.data, self.start, self.end, seed)
 
     def positions(self) -> np.ndarray:
         """Of each word in its text, from 0."""

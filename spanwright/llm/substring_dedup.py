@@ -18,7 +18,7 @@ documents and asks for them once. So a passage of a third of all documents sends
 about one entry a task. Anchor hashes are a filter only (a false match costs
 work, not rows): 40 bits within a bucket, which other bits choose, so the share
 of false matches stays the same at any size. Windows are told apart by 64 bits
-within a bucket that a second, independent hash of the words chooses. The texts
+within a bucket that a second hash, of the bytes of the words, chooses. The texts
 are shuffled once, by doc_id, for both steps that need them again.
 
 Defined cases: a null or empty text has no words and the hash of the empty
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .kernel import Words, mix, slices, window_hashes
+from .kernel import OTHER_SEED, Words, mix, slices, window_hashes
 from .storage import shuffle_partitions
 
 WINDOW, ANCHOR, PERIOD = 13, 7, 7
@@ -238,7 +238,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             words = Words(part.column("text"))
             hashed = words.hashes()
             at, key = _windows(words, hashed, part.column("hashes"))
-            other = window_hashes(mix(hashed ^ np.uint64(0x5851F42D4C957F2D)), WINDOW)[at]
+            other = window_hashes(words.hashes(OTHER_SEED), WINDOW)[at]
             bucket = (other % np.uint64(n_buckets)).astype(np.int64)
             yield _blobs(_pack(np.asarray(part.column("doc_id"))[words.doc[at]], key, bucket, n_buckets, True, int(part.column("doc_id")[0].as_py()) + n, memory), 8)
 

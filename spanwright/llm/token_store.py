@@ -8,7 +8,7 @@ the tokens of earlier files (one number a file) plus those before it in its own.
 Encoding cuts texts where this tokenizer's pattern always begins a new piece (at
 single spaces between other characters, and at marks of ENDS after letters or
 digits) and encodes each distinct segment of a slice once; a bounded cache keeps
-segments between slices. The strings of special tokens are encoded as the
+segments between slices. Segments of equal hash are compared byte by byte. The strings of special tokens are encoded as the
 library does by default, as their ids.
 
 Defined cases: a null or empty text has the end id only; a very long text is a
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .kernel import segment_hashes, slices, text_buffer
+from .kernel import equal_segments, segment_hashes, slices, text_buffer
 from .storage import new_path, shuffle_partitions, written
 
 END_ID, CACHE_SEGMENTS, AT_ONCE = 0, 600_000, 4 << 20
@@ -137,6 +137,9 @@ def encode(column: pa.Array, path: str) -> pa.ListArray:
     ends = np.append(starts[1:], len(data))[: len(starts)]
     group, _ = pd.factorize(segment_hashes(data, starts, ends))
     first = np.flatnonzero(np.diff(np.maximum.accumulate(group), prepend=-1) > 0) if len(group) else np.zeros(0, np.int64)
+    odd = np.flatnonzero(~equal_segments(data, starts, ends, first[group])) if len(group) else first
+    group[odd] = len(first) + np.arange(len(odd))  # of equal hash but other bytes
+    first = np.append(first, odd)
     raw = data.tobytes()
     keys = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
     kinds = _kinds(data, starts[first], ends[first]).tolist() if len(first) else []

@@ -43,6 +43,55 @@ def test_words_are_those_of_the_pattern(texts):
     assert got == [WORD.findall(t or "") for t in [*texts, "a b 　c\x0bd"]]
 
 
+def mirrored(n):
+    """Two different words of n letters a and b that sum to equal polynomials modulo 2 ** 64 for every odd base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_of_equal_polynomials_stay_apart(spark, n):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    one, two = mirrored(n)
+    words = kernel.Words(pa.array([f"{one} {two} {one}"]))
+    hashed = words.hashes()
+    assert hashed[0] == hashed[2] != hashed[1] and words.hashes(kernel.OTHER_SEED)[0] not in hashed
+    assert kernel.equal_segments(words.data, words.start, words.end, np.zeros(3, int)).tolist() == [True, False, True]
+    around = " ".join(f"w{i}" for i in range(6))
+    table = docs(spark, [f"{around} {one} {around}", f"{around} {two} {around}"])
+    assert {r["n_removed"] for r in substring_dedup.remove_repeats(table).collect()} == {0}
+    five = docs(spark, [f"a b {one} c d", f"a b {two} c d"])
+    assert {r["n_links"] for r in ngram_join.near_duplicates(five).collect()} == {0}
+    tokenizer = Tokenizer.from_file(token_store.tokenizer_path())
+    texts = [f"one {one} two", f"one {two} two"]
+    got = [r["n_tokens"] for r in token_store.store_and_digest(docs(spark, texts).coalesce(1), token_store.tokenizer_path()).orderBy("start").collect()]
+    assert got == [len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for t in texts]
+
+
+def test_hash_depends_on_every_byte():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, 200, np.uint8)
+    for size in (1, 7, 8, 9, 16, 17, 63, 64, 65, 150):
+        variants = [base[:size]] + [np.where(np.arange(size) == i, base[:size] ^ 1, base[:size]) for i in range(size)]
+        data = np.concatenate(variants)
+        starts = np.arange(len(variants)) * size
+        assert len(set(kernel.segment_hashes(data, starts, starts + size).tolist())) == len(variants)
+        assert kernel.equal_segments(data, starts, starts + size, np.zeros(len(variants), int)).tolist() == [True] + [False] * size
+
+
+def test_segments_of_equal_hash_are_compared(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_store, "segment_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
+    texts = ["one two six ten", "six one, two ten", "one two six ten"]
+    path = token_store.tokenizer_path()
+    tokenizer = Tokenizer.from_file(path)
+    assert token_store.encode(pa.array(texts), path).to_pylist() == [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+
+
 def test_substring_dedup(spark, texts):
     seen, want = {}, {}
     for i, t in enumerate(texts):
@@ -164,6 +213,19 @@ def test_coordinate_pruning_loses_nothing():
         assert list(best[i][0]) == sorted(range(len(b)), key=lambda j: (-(a[i] @ b[j]), j))[:5]
 
 
+@pytest.mark.parametrize("size", [1e20, 3e38])
+def test_nearest_of_large_components(spark, size):
+    x = (np.random.default_rng(7).uniform(-1, 1, (120, 12)) * size).astype("f4")
+    table = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(table, every=40).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    exact = x.astype(float) @ x.astype(float).T
+    for q in (0, 40, 80):
+        order = [i for i in np.argsort(-exact[q], kind="stable").tolist() if i != q][:20]
+        assert len(got[q] & set(order)) >= 18
+
+
 def test_nearest_recall(spark):
     table, x = vectors(spark)
     got = {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.nearest(table).collect()}
