@@ -7,7 +7,7 @@ bytes inside a longer sequence.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -105,11 +105,13 @@ def equal_segments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other
 class Words:
     """The words of some texts: ``doc`` (row of each), byte ``start`` and ``end``, ``first`` (of each row, n + 1)."""
 
-    def __init__(self, column: pa.Array, word_bytes: np.ndarray = NOT_SPACE, lower: bool = False):
+    def __init__(self, column: pa.Array, word_bytes: np.ndarray = NOT_SPACE, lower: bool = False, more: Callable | None = None):
         self.data, self.offsets = text_buffer(column)
         if lower:
             self.data = _LOWER[self.data]
         is_word = word_bytes[self.data]
+        if more is not None:
+            is_word |= more(self.data)
         cut = np.zeros(len(self.data) + 1, bool)
         cut[self.offsets] = True
         before = np.empty_like(is_word)
