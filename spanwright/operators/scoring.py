@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanwright.functions import lattice
+from spanwright.functions.lattice import LEAKED
 from spanwright.functions.ranges import bytes_outside, overlaps, union
 from spanwright.functions.stats import MIN_DENOMINATOR, bound, point, status
 
-LEAKED = ["PARTIAL", "MISS"]
-
 
 def span_problems(spans: DataFrame) -> DataFrame:
     """doc_id, family, start, end, problem of spans (with env_start, env_end, bytes) that overlap the one before, leave the text or their envelope."""
@@ -65,6 +67,43 @@ def score_rows(fixtures: DataFrame, spans: DataFrame, findings: DataFrame, scann
     return rows.withColumn("flagged", (F.col("kind") == "must-not-flag") & (F.col("findings") > 0))
 
 
+def score_documents(rows: DataFrame, scanners: list[str]) -> DataFrame:
+    """A row a scanner and document of rows (truth and found, arrays of spans and findings, among others), without a shuffle.
+
+    scanner; own: its findings; merged: their union; scored: the spans with
+    outcome and leaked_bytes (see ``score_spans``); collateral_bytes: those of the
+    union outside what the spans allow.
+    """
+    each = rows.withColumn("scanner", F.explode(F.array(*map(F.lit, scanners))))
+    each = each.withColumn("own", F.filter("found", lambda f: f["scanner"] == F.col("scanner")))
+    each = each.withColumn("merged", lattice.union(lattice.as_ranges(F.col("own"))))
+    each = each.withColumn("scored", lattice.scored(F.col("truth"), F.col("own"), F.col("merged")))
+    allowed = lattice.union(lattice.envelopes(F.col("truth")))
+    outside = lattice.let(allowed, lambda a: lattice.total(F.col("merged")) - lattice.shared_bytes(F.col("merged"), a))
+    return each.withColumn("collateral_bytes", outside)
+
+
+def row_counts(each: DataFrame) -> DataFrame:
+    """score_documents with the counts of ``score_rows``."""
+    n = lambda *o: F.size(F.filter("scored", lambda s: s["outcome"].isin(*o))).cast("long")
+    total = lambda f: F.aggregate("scored", F.lit(0).cast("long"), lambda t, s: t + f(s))
+    return each.withColumns({
+        "spans": F.size("scored").cast("long"), **{o.lower(): n(o) for o in ("EXACT", "COVERED", "OVERBROAD", "PARTIAL", "MISS")}, "leaked_spans": n(*LEAKED),
+        "leaked_bytes": total(lambda s: s["leaked_bytes"]), "secret_bytes": total(lambda s: s["end"] - s["start"]), "findings": F.size("own").cast("long"),
+        "flagged": (F.col("kind") == "must-not-flag") & (F.size("own") > 0),
+    }).drop("own", "merged")
+
+
+def control_counts(each: DataFrame) -> DataFrame:
+    """The counts of ``score_controls`` for rows with scanner, scope_family and own (see ``score_documents``)."""
+    other = lambda f: f["family"].isNotNull() & F.col("scope_family").isNotNull() & (f["family"] != F.col("scope_family"))
+    n = lambda test: F.size(F.filter("own", test)).cast("long")
+    return each.select(
+        "scanner", "doc_id", "scope_family", F.size("own").cast("long").alias("findings"), F.exists("own", lambda f: ~F.coalesce(other(f), F.lit(False))).alias("flagged"),
+        F.exists("own", lambda f: F.coalesce(other(f), F.lit(False))).alias("co_detected"), n(lambda f: f["action"] == "warn").alias("warned"), n(lambda f: f["action"] == "redact").alias("redacted"),
+    )
+
+
 def score_controls(controls: DataFrame, findings: DataFrame, scanners: DataFrame) -> DataFrame:
     """scanner, doc_id, scope_family, findings, flagged, co_detected, warned, redacted of controls (doc_id, scope_family).
 
@@ -126,18 +165,18 @@ def absolute(rows: DataFrame) -> DataFrame:
     return rows.withColumn("type", kind).withColumn("status", status)
 
 
-def relation(before: DataFrame, after: DataFrame, kind: str) -> DataFrame:
-    """scanner, doc_id, type, status of rows (absolute, with positive and outcomes) and their variants.
+def relation(before: DataFrame, after: DataFrame, kind: str, also: Sequence[str] = ()) -> DataFrame:
+    """scanner, doc_id, type, status (and the columns ``also`` of after) of rows (absolute, with positive and outcomes) and their variants.
 
     Both must pass by themselves; must-flip asks for a positive and a control,
     same-detection for equal outcomes. Two missed positives are no invariance.
     """
-    side = lambda rows, p: rows.select("scanner", "doc_id", *[F.col(c).alias(p + c) for c in ("status", "positive", "outcomes")])
+    side = lambda rows, p: rows.select("scanner", "doc_id", *(also if p == "b_" else ()), *[F.col(c).alias(p + c) for c in ("status", "positive", "outcomes")])
     both = side(before, "a_").join(side(after, "b_"), ["scanner", "doc_id"])
     more = (F.col("a_positive") & ~F.col("b_positive")) if kind == "must-flip" else F.col("a_outcomes").eqNullSafe(F.col("b_outcomes"))
     passed = (F.col("a_status") == "pass") & (F.col("b_status") == "pass") & more
     review = (F.col("a_status") == "review-required") | (F.col("b_status") == "review-required")
-    return both.select("scanner", "doc_id", F.lit(kind).alias("type"), F.when(review, "review-required").when(passed, "pass").otherwise("fail").alias("status"))
+    return both.select(*also, "scanner", "doc_id", F.lit(kind).alias("type"), F.when(review, "review-required").when(passed, "pass").otherwise("fail").alias("status"))
 
 
 def outcomes(spans: DataFrame) -> DataFrame:

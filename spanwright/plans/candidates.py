@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spanwright.functions import offsets
 from spanwright.functions import text as tx
 from spanwright.operators import calibration, independence, scoring, variants
 from spanwright.sources import fixtures as fx
 
 from .base import base, wilson_sql
-from .evaluation import _VALUE, _values, add
+from .evaluation import _V, _VALUE, _values, add
 from .measurement import Inputs
 
 
@@ -41,8 +42,7 @@ WHEN regexp_matches(v, {_q(tx.DOTTED)}) AND contains(v, '.') THEN 'dotted-refere
 
 
 def _around(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
-    x = i.truth.join(i.docs.select("doc_id", "text"), "doc_id")
+    x = Inputs(spark, sf_dir).measured.select("doc_id", "text", F.explode("truth").alias("x")).select("doc_id", "text", "x.*")
     return x.select("doc_id", "family", "start", tx.byte_slice(F.col("text"), F.col("start"), F.col("end")).alias("v"), tx.line_before(F.col("text"), F.col("start")).alias("b"), tx.line_after(F.col("text"), F.col("end")).alias("a"))
 
 
@@ -173,9 +173,8 @@ _TWINS = f"tdocs AS ({base()}, {_FIRST}), tfnd AS ({base().replace(_HEAD, _HEAD.
 
 def _twins(spark, sf_dir):
     i = Inputs(spark, sf_dir)
-    changed = fx.twins(i.docs, i.truth)
-    found = fx.findings(changed, fx.spans(changed))
-    return i, scoring.score_controls(changed.select("doc_id", "scope_family"), found, i.scanners)
+    changed = fx.measured(fx.twins(i.measured))
+    return i, scoring.control_counts(scoring.score_documents(changed, fx.SCANNERS))
 
 
 @add(f"WITH {_TWINS} SELECT scanner, doc_id, scope_family, findings, flagged, co_detected, warned, redacted FROM tw", plain=True)
@@ -233,21 +232,28 @@ def must_flip_assertions(spark, sf_dir):
     return scoring.relation(before, after, "must-flip")
 
 
-_OUTCOMES = f"ro2 AS (SELECT r.*, o.outcomes, {_ABSOLUTE} AS status FROM rows r LEFT JOIN (SELECT scanner, doc_id, string_agg(outcome, ',' ORDER BY s, e, family) AS outcomes FROM so GROUP BY 1, 2) o USING (scanner, doc_id)) SELECT scanner, doc_id, status, outcomes FROM ro2"
+# Each text once more within what the operators of one frame put around it, and with other line ends.
+SAME = [*variants.FRAMES, variants.CRLF]
+_OUTCOMES = f"SELECT r.scanner, r.doc_id, {_ABSOLUTE} AS status, o.outcomes FROM rows r LEFT JOIN (SELECT scanner, doc_id, string_agg(outcome, ',' ORDER BY s, e, family) AS outcomes FROM so GROUP BY 1, 2) o USING (scanner, doc_id)"
+_SIDES = ", ".join(f"w{k} AS ({_V}SELECT doc_id, t AS text FROM v WHERE ok AND operator = '{name}'), d{k} AS (SELECT doc_id, w{k}.text, source FROM w{k} JOIN documents USING (doc_id)), b{k} AS ({base().replace(_HEAD, _HEAD.replace('documents', f'd{k}'))} {_OUTCOMES})" for k, name in enumerate(SAME))
+_JOINED = " UNION ALL ".join(f"SELECT '{name}' AS operator, a.scanner, a.doc_id, 'same-detection' AS type, CASE WHEN a.status = 'review-required' OR b.status = 'review-required' THEN 'review-required' WHEN a.status = 'pass' AND b.status = 'pass' AND a.outcomes IS NOT DISTINCT FROM b.outcomes THEN 'pass' ELSE 'fail' END AS status FROM a JOIN b{k} b USING (scanner, doc_id)" for k, name in enumerate(SAME))
 
 
-@add(f"WITH vdocs AS (SELECT doc_id, 'é ' || text AS text, source FROM documents), a AS ({base()}, {_OUTCOMES}), b AS ({base().replace(_HEAD, _HEAD.replace('documents', 'vdocs'))}, {_OUTCOMES}) SELECT scanner, doc_id, 'same-detection' AS type, CASE WHEN a.status = 'review-required' OR b.status = 'review-required' THEN 'review-required' WHEN a.status = 'pass' AND b.status = 'pass' AND a.outcomes IS NOT DISTINCT FROM b.outcomes THEN 'pass' ELSE 'fail' END AS status FROM a JOIN b USING (scanner, doc_id)", plain=True)
+@add(f"WITH a AS ({base()} {_OUTCOMES}), {_SIDES} {_JOINED}", plain=True)
 def same_detection_assertions(spark, sf_dir):
-    """Each document against its variant with characters of two bytes before it."""
-
-    def side(docs):
-        truth = fx.spans(docs)
-        found, scanners = fx.findings(docs, truth), Inputs(spark, sf_dir).scanners
-        rows = scoring.absolute(scoring.score_rows(fx.fixtures(docs, truth), truth, found, scanners))
-        listed = scoring.outcomes(scoring.score_spans(truth, found, scanners))
-        return rows.withColumn("positive", F.col("spans") > 0).join(listed, ["scanner", "doc_id"], "left")
-
-    docs = fx.documents(spark, sf_dir)
-    _, changed, _ = variants.OPERATORS["context.unicode-prefix"](F.col("text"))
-    moved = docs.withColumn("text", changed).withColumn("bytes", F.octet_length("text"))
-    return scoring.relation(side(docs), side(moved), "same-detection")
+    """Each document against its variants: true values are carried into a variant by its offset map, scanners read the variant's text."""
+
+    def judged(rows, keys):
+        each = scoring.absolute(scoring.row_counts(scoring.score_documents(rows, fx.SCANNERS)))
+        listed = F.array_join(F.transform(F.array_sort(F.transform("scored", lambda s: F.struct(s["start"], s["end"], s["family"], s["outcome"].alias("outcome")))), lambda s: s["outcome"]), ",")
+        return each.select("scanner", *keys, "status", (F.col("spans") > 0).alias("positive"), F.when(F.col("spans") > 0, listed).alias("outcomes"))
+
+    measured = Inputs(spark, sf_dir).measured
+    made = variants.generate(measured, SAME).where("status = 'generated'").select(F.col("doc_id").alias("of"), "operator", F.col("text").alias("new"), "map")
+    moved = lambda c: lambda s: offsets.moved(s[c], F.col("map")).cast("int").alias(c)
+    at = [moved(c) for c in ("start", "end", "env_start", "env_end")]
+    both = measured.drop("found").join(made, F.col("doc_id") == F.col("of"))
+    rows = both.select("doc_id", "operator", "source", "kind", "tier", F.col("new").alias("text"), F.transform("truth", lambda s: F.struct(s["family"].alias("family"), *[m(s) for m in at])).alias("truth"))
+    rows = rows.withColumn("found", fx.reported(F.col("text"), F.col("doc_id"), fx.true_values(F.col("text"))))
+    before = judged(measured, ["doc_id"])
+    return scoring.relation(before, judged(rows, ["doc_id", "operator"]), "same-detection", ["operator"])

@@ -12,35 +12,23 @@ from spanwright.sources import fixtures as fx
 
 from .measurement import Inputs, query
 
-QUERIES, ORACLE_SQL = {}, {}
+add = query
 
 
-def add(sql: str | None = None, version: int = 1, plain: bool = False):
-    from . import measurement
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
 
-    register = query(sql, version, plain)
 
-    def run(f):
-        register(f)
-        QUERIES[f.__name__] = measurement.QUERIES.pop(f.__name__)
-        if f.__name__ in measurement.ORACLE_SQL:
-            ORACLE_SQL[f.__name__] = measurement.ORACLE_SQL.pop(f.__name__)
-        return f
-
-    return run
-
-
-_V = """WITH v AS (
-SELECT doc_id, 'context.unicode-prefix' AS operator, true AS ok, 'é ' || text AS t, 3 AS moved FROM documents
-UNION ALL SELECT doc_id, 'context.indent', true, '    ' || text, 4 FROM documents
-UNION ALL SELECT doc_id, 'context.quote', NOT regexp_matches(text, '["\\\\\\n]'), '"' || text || '"', 1 FROM documents
-UNION ALL SELECT doc_id, 'context.yaml', NOT regexp_matches(text, '[:#\\n]'), 'value: ' || text, 7 FROM documents
-UNION ALL SELECT doc_id, 'context.json', NOT regexp_matches(text, '["\\\\\\n]'), '{"value": "' || text || '"}', 11 FROM documents
-UNION ALL SELECT doc_id, 'encoding.crlf', contains(replace(text, chr(13) || chr(10), ''), chr(10)), replace(replace(text, chr(13) || chr(10), chr(10)), chr(10), chr(13) || chr(10)), 0 FROM documents)
+_REFUSED = {name: f"NOT regexp_matches(text, {_quoted(f.refused)})" if f.refused else "text IS NOT NULL" for name, f in variants.FRAMES.items()}
+_LF, _PAIR = "(strlen(text) - strlen(replace(text, chr(10), '')))", "((strlen(text) - strlen(replace(text, chr(13) || chr(10), ''))) // 2)"
+_V = "WITH v AS (" + " UNION ALL ".join(
+    f"SELECT doc_id, '{name}' AS operator, {_REFUSED[name]} AS ok, {_quoted(f.before)} || text || {_quoted(f.after)} AS t, {len(f.before.encode())}::BIGINT AS moved, text FROM documents" for name, f in variants.FRAMES.items()
+) + f""" UNION ALL SELECT doc_id, '{variants.CRLF}', {_LF} > {_PAIR}, replace(replace(text, chr(13) || chr(10), chr(10)), chr(10), chr(13) || chr(10)), {_LF} - {_PAIR}, text FROM documents
+UNION ALL SELECT doc_id, '{variants.JSON_STRING}', text IS NOT NULL, to_json(text)::VARCHAR, strlen(to_json(text)::VARCHAR) - strlen(text) - 1, text FROM documents)
 """
 
 
-@add(_V + "SELECT doc_id, operator, CASE WHEN ok THEN 'generated' ELSE 'unsupported' END AS status, CASE WHEN ok THEN moved ELSE 0 END AS moved, CASE WHEN ok THEN sha256(t) ELSE '' END AS sha FROM v", plain=True)
+@add(_V + "SELECT doc_id, operator, CASE WHEN ok THEN 'generated' ELSE 'unsupported' END AS status, CASE WHEN ok THEN moved ELSE 0 END::INTEGER AS moved, CASE WHEN ok THEN sha256(t) ELSE '' END AS sha FROM v", plain=True)
 def generated_variants(spark, sf_dir):
     v = variants.generate(fx.documents(spark, sf_dir))
     return v.select("doc_id", "operator", "status", "moved", F.coalesce(F.sha2("text", 256), F.lit("")).alias("sha"))
@@ -57,23 +45,36 @@ _VALUE = ", v AS (SELECT t.doc_id, t.family, t.s, t.e, decode(encode(text)[s + 1
 
 
 def _values(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
-    x = i.truth.join(i.docs.select("doc_id", "text"), "doc_id")
+    x = Inputs(spark, sf_dir).measured.select("doc_id", "text", F.explode("truth").alias("x")).select("doc_id", "text", "x.*")
     return x.select("doc_id", "family", "start", tx.byte_slice(F.col("text"), F.col("start"), F.col("end")).alias("v"))
 
 
-@add(_VALUE + """, m AS (SELECT doc_id, family, s AS start, 'lexical.length-minus-one' AS operator, v[1:length(v) - 1] AS n FROM v UNION ALL SELECT doc_id, family, s, 'lexical.length-plus-one', v || right(v, 1) FROM v
-UNION ALL SELECT doc_id, family, s, 'lexical.replace-last', v[1:length(v) - 1] || CASE WHEN right(v, 1) = '0' THEN '1' ELSE '0' END FROM v UNION ALL SELECT doc_id, family, s, 'lexical.invalid-alphabet', '!' || v[2:] FROM v)
-SELECT doc_id, family, start, operator, n AS value, CASE WHEN (family = 'card' AND regexp_full_match(n, '[0-9]{16}')) OR (family = 'token' AND regexp_full_match(n, '[0-9a-f]{40}')) OR (family = 'email' AND regexp_full_match(n, '[a-z]+\\.[0-9]+@[a-z0-9]+\\.example\\.[a-z]+'))
-OR (family = 'phone' AND regexp_full_match(n, '\\+1 \\([0-9]{3}\\) 555-[0-9]{4}')) OR (family = 'ipv4' AND regexp_full_match(n, '[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}')) THEN 'same-detection' ELSE 'review-required' END AS expectation FROM m""")
+def _seeded(name: str, size: str) -> str:
+    digits = f"string_split(sha256(v || ':{name}')[1:8], '')"
+    return f"(list_reduce(list_prepend(0::BIGINT, list_transform({digits}, lambda c: (strpos('0123456789abcdef', c) - 1)::BIGINT)), lambda a, b: a * 16 + b) % ({size}))"
+
+
+_OTHERS = f"replace('{variants.ALPHABET}', upper(v[1]), '')"
+_PLACES = "list_filter(range(1, length(v) + 1), lambda i: regexp_matches(v[i], '[._-]'))"
+_REST = "len(string_split(v, '.')) - 1"
+_EDITED = {
+    "lexical.length-minus-one": "v[1:length(v) - 1]", "lexical.length-plus-one": "v || 'A'",
+    "lexical.replace-last": "v[1:length(v) - 1] || CASE WHEN right(v, 1) = 'A' THEN 'B' ELSE 'A' END", "lexical.invalid-alphabet": "v[1:length(v) - 1] || '!'",
+    "lexical.prefix-change": f"{_OTHERS}[{_seeded('lexical.prefix-change', f'length({_OTHERS})')} + 1] || v[2:]",
+    "boundary.remove-delimiter": f"CASE WHEN regexp_matches(v, '[._-]') THEN v[1:{_PLACES}[{_seeded('boundary.remove-delimiter', f'len({_PLACES})')} + 1] - 1] || v[{_PLACES}[{_seeded('boundary.remove-delimiter', f'len({_PLACES})')} + 1] + 1:] END",
+    "structural.remove-segment": f"CASE WHEN contains(v, '.') THEN array_to_string(list_filter(string_split(v, '.'), lambda x, i: i - 1 <> 1 + {_seeded('structural.remove-segment', _REST)}), '.') END",
+}
+_FULL = {**fx.PATTERNS, "token": "[0-9a-f]{40}"}
+_STILL = " OR ".join(f"(family = '{f}' AND regexp_full_match(n, {_quoted(p)}))" for f, p in _FULL.items())
+
+
+@add(_VALUE + ", m AS (" + " UNION ALL ".join(f"SELECT doc_id, family, s AS start, '{name}' AS operator, {edit} AS n FROM v" for name, edit in _EDITED.items()) + f") SELECT doc_id, family, start, operator, n AS value, CASE WHEN {_STILL} THEN 'same-detection' ELSE 'review-required' END AS expectation FROM m WHERE n IS NOT NULL")
 def mutation_contract_validity(spark, sf_dir):
     """Each edited value, and whether it still matches its family's pattern."""
-    names = ["lexical.length-minus-one", "lexical.length-plus-one", "lexical.replace-last", "lexical.invalid-alphabet"]
-    made = F.explode(F.array(*[F.struct(F.lit(n).alias("operator"), variants.edit_value(F.col("v"), n).alias("value")) for n in names]))
-    x = _values(spark, sf_dir).select("doc_id", "family", "start", made.alias("m")).select("doc_id", "family", "start", "m.*")
-    patterns = {**fx.PATTERNS, "token": "[0-9a-f]{40}"}
+    made = F.explode(F.array(*[F.struct(F.lit(n).alias("operator"), variants.edit_value(F.col("v"), n).alias("value")) for n in variants.EDITS]))
+    x = _values(spark, sf_dir).select("doc_id", "family", "start", made.alias("m")).select("doc_id", "family", "start", "m.*").where("value is not null")
     ok = F.lit(False)
-    for family, p in patterns.items():
+    for family, p in _FULL.items():
         ok = ok | ((F.col("family") == family) & F.col("value").rlike(rf"\A(?:{p})\z"))
     return x.withColumn("expectation", F.when(ok, "same-detection").otherwise("review-required"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanwright.functions import ranges, stats, text, validators
+from spanwright.functions import lattice, ranges, stats, text, validators
 from spanwright.operators import scoring
 from spanwright.sources import fixtures as fx
 
@@ -25,20 +25,25 @@ def query(sql: str | None = None, version: int = 1, plain: bool = False):
 
 
 class Inputs:
-    """The measurement tables of one session and folder."""
+    """The measurement tables of one session and folder; ``rows`` and ``spans`` are scored in the documents' rows, without a shuffle."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, version: int = 1):
         self.docs = fx.documents(spark, sf_dir)
-        self.truth = fx.spans(self.docs)
-        self.fixtures = fx.fixtures(self.docs, self.truth)
-        self.findings = fx.findings(self.docs, self.truth, version)
+        self.measured = fx.measured(self.docs, version)
+        self.truth = self.measured.select("doc_id", "bytes", F.explode("truth").alias("x")).select("doc_id", "x.*", "bytes")
+        self.fixtures = self.measured.select("doc_id", "source", "kind", "tier", "bytes")
+        self.findings = self.measured.select("doc_id", F.explode("found").alias("f")).select("f.scanner", "doc_id", "f.family", "f.start", "f.end", "f.action")
         self.scanners = spark.createDataFrame([(s,) for s in fx.SCANNERS], "scanner string")
 
+    def scored(self) -> DataFrame:
+        return scoring.score_documents(self.measured, fx.SCANNERS)
+
     def spans(self) -> DataFrame:
-        return scoring.score_spans(self.truth, self.findings, self.scanners)
+        """scanner, doc_id, source, kind, tier, family, start, end, env_start, env_end, outcome, leaked_bytes."""
+        return self.scored().select("scanner", "doc_id", "source", "kind", "tier", F.explode("scored").alias("s")).select("scanner", "doc_id", "source", "kind", "tier", "s.*")
 
     def rows(self) -> DataFrame:
-        return scoring.score_rows(self.fixtures, self.truth, self.findings, self.scanners)
+        return scoring.row_counts(self.scored()).drop("truth", "found", "scored", "text")
 
 
 def long(c) -> F.Column:
@@ -67,7 +72,8 @@ def row_leaked_collateral(spark, sf_dir):
 
 @query("SELECT scanner, doc_id, s AS start, e AS \"end\" FROM isl")
 def interval_union(spark, sf_dir):
-    return ranges.union(Inputs(spark, sf_dir).findings, ["scanner", "doc_id"])
+    merged = Inputs(spark, sf_dir).scored().select("scanner", "doc_id", F.explode("merged").alias("r"))
+    return merged.select("scanner", "doc_id", "r.start", "r.end")
 
 
 @query(", iso AS (SELECT *, sum((pm IS NULL OR s >= pm)::INTEGER) OVER (PARTITION BY scanner, doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS h FROM isl0) SELECT scanner, doc_id, min(s) AS start, max(e) AS \"end\" FROM iso GROUP BY scanner, doc_id, h")
@@ -77,10 +83,8 @@ def interval_union_strict(spark, sf_dir):
 
 @query("SELECT scanner, doc_id, outside FROM outb WHERE doc_id IN (SELECT doc_id FROM truth)")
 def bytes_outside(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
-    allowed = i.truth.crossJoin(F.broadcast(i.scanners)).select("scanner", "doc_id", F.coalesce("env_start", "start").alias("start"), F.coalesce("env_end", "end").alias("end"))
-    positive = i.truth.select("doc_id").distinct()
-    return ranges.bytes_outside(i.findings.join(positive, "doc_id", "left_semi"), allowed, ["scanner", "doc_id"])
+    rows = Inputs(spark, sf_dir).scored().where((F.size("truth") > 0) & (F.size("merged") > 0))
+    return rows.select("scanner", "doc_id", F.col("collateral_bytes").alias("outside"))
 
 
 @query("SELECT scanner, doc_id, s AS start, e AS \"end\", count(*) AS reported, max(family) AS family FROM fnd GROUP BY 1, 2, 3, 4")
@@ -125,8 +129,7 @@ def wilson_bounds(spark, sf_dir):
 
 @query("SELECT scanner, family, kind, sum(CASE WHEN outcome IN ('PARTIAL', 'MISS') THEN 1 ELSE 0 END)::BIGINT AS leaked, count(*) AS spans FROM so JOIN fx USING (doc_id) WHERE tier <> 'T0' GROUP BY 1, 2, 3")
 def run_summary_by_detector(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
-    rows = i.spans().join(i.fixtures.where("tier <> 'T0'").select("doc_id", "kind"), "doc_id")
+    rows = Inputs(spark, sf_dir).spans().where("tier <> 'T0'")
     return rows.groupBy("scanner", "family", "kind").agg(F.sum(F.col("outcome").isin(scoring.LEAKED).cast("int")).alias("leaked"), F.count("*").alias("spans"))
 
 
@@ -141,8 +144,7 @@ _TALLY = "FROM so JOIN fx USING (doc_id) GROUP BY GROUPING SETS ((scanner, outco
 
 @query(f"SELECT scanner, family, source, tier, outcome, count(*) AS spans, grouping(family, source, tier)::BIGINT AS level {_TALLY}")
 def method_summaries_grouping_sets(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
-    rows = i.spans().join(i.fixtures.select("doc_id", "source", "tier"), "doc_id")
+    rows = Inputs(spark, sf_dir).spans()
     sets = [["scanner", "outcome"], ["scanner", "family", "outcome"], ["scanner", "source", "outcome"], ["scanner", "tier", "outcome"]]
     grouped = rows.groupingSets([[F.col(c) for c in s] for s in sets], "scanner", "family", "source", "tier", "outcome")
     level = F.grouping("family").cast("long") * 4 + F.grouping("source").cast("long") * 2 + F.grouping("tier").cast("long")
@@ -151,8 +153,7 @@ def method_summaries_grouping_sets(spark, sf_dir):
 
 @query("SELECT source, family, tier, count(*) AS spans FROM truth JOIN fx USING (doc_id) GROUP BY ROLLUP (source, family, tier)")
 def family_tally_rollup(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
-    rows = i.truth.join(i.fixtures.select("doc_id", "source", "tier"), "doc_id")
+    rows = Inputs(spark, sf_dir).measured.select("source", "tier", F.explode("truth.family").alias("family"))
     return rows.rollup("source", "family", "tier").agg(F.count("*").alias("spans"))
 
 
@@ -160,12 +161,12 @@ _PAIR = ", p AS (SELECT a.doc_id, a.kind, a.tier, b.scanner AS peer, CASE WHEN a
 
 
 def _pairs(spark, sf_dir):
-    rows = Inputs(spark, sf_dir).rows()
+    """Each peer's result on a document beside that of ``exact``, from one row a document."""
     bad = F.when(F.col("kind") == "must-not-flag", F.col("flagged")).otherwise(F.col("leaked_spans") > 0)
-    rows = rows.select("scanner", "doc_id", "kind", "tier", bad.alias("bad"))
-    ours = F.bool_or(F.when(F.col("scanner") == "exact", F.col("bad"))).over(Window.partitionBy("doc_id"))  # a few rows a document
-    both = rows.withColumn("ours", ours).where("scanner <> 'exact' and ours is not null")
-    return both.select("doc_id", "kind", "tier", "ours", F.col("scanner").alias("peer"), F.col("bad").alias("theirs"))
+    measured = Inputs(spark, sf_dir).measured
+    judged = lambda rows, scanners: scoring.row_counts(scoring.score_documents(rows, scanners))
+    ours = judged(measured, ["exact"]).select(*measured.columns, bad.alias("ours"))
+    return judged(ours, [x for x in fx.SCANNERS if x != "exact"]).select("doc_id", "kind", "tier", "ours", F.col("scanner").alias("peer"), bad.alias("theirs"))
 
 
 @query(_PAIR + " SELECT peer, kind, tier, count(*) FILTER (NOT ours AND NOT theirs) AS both_good, count(*) FILTER (ours AND NOT theirs) AS only_ours_bad, count(*) FILTER (NOT ours AND theirs) AS only_theirs_bad, count(*) FILTER (ours AND theirs) AS both_bad FROM p WHERE tier <> 'T0' GROUP BY 1, 2, 3")
@@ -183,8 +184,10 @@ def pair_differences(spark, sf_dir):
 
 @query(", d AS (SELECT doc_id, bit_or(CASE WHEN scanner = 'exact' THEN 1 ELSE 0 END)::INTEGER AS a, count(DISTINCT scanner) AS tools, list_sort(list(DISTINCT scanner)) AS names FROM fnd GROUP BY doc_id) SELECT doc_id, tools, array_to_string(names, ',') AS names, CASE WHEN a = 0 THEN 'peer-only' WHEN tools = 1 THEN 'product-only' ELSE 'both' END AS class FROM d")
 def differential_disagreements(spark, sf_dir):
-    per = Inputs(spark, sf_dir).findings.groupBy("doc_id").agg(F.max((F.col("scanner") == "exact").cast("int")).alias("a"), F.count_distinct("scanner").alias("tools"), F.array_join(F.array_sort(F.collect_set("scanner")), ",").alias("names"))
-    return per.select("doc_id", "tools", "names", F.when(F.col("a") == 0, "peer-only").when(F.col("tools") == 1, "product-only").otherwise("both").alias("class"))
+    names = F.array_sort(F.array_distinct(F.transform("found", lambda f: f["scanner"])))
+    per = Inputs(spark, sf_dir).measured.select("doc_id", names.alias("names")).where(F.size("names") > 0)
+    state = F.when(~F.array_contains("names", "exact"), "peer-only").when(F.size("names") == 1, "product-only").otherwise("both")
+    return per.select("doc_id", F.size("names").cast("long").alias("tools"), F.array_join("names", ",").alias("names"), state.alias("class"))
 
 
 _FLAGS = "(CASE WHEN leaked_spans > 0 THEN 1 ELSE 0 END + CASE WHEN flagged THEN 2 ELSE 0 END + CASE WHEN overbroad > 0 THEN 4 ELSE 0 END)"
@@ -208,9 +211,15 @@ _RANK = "CASE {} WHEN 'EXACT' THEN 4 WHEN 'COVERED' THEN 3 WHEN 'OVERBROAD' THEN
 
 @query(f"SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.family, b.family) AS family, coalesce(a.s, b.s) AS start, a.outcome AS before, b.outcome AS after, CASE WHEN a.outcome IS NULL THEN 'added' WHEN b.outcome IS NULL THEN 'removed' WHEN a.outcome = b.outcome THEN 'same' WHEN {_RANK.format('b.outcome')} > {_RANK.format('a.outcome')} THEN 'fixed' ELSE 'worse' END AS verdict FROM ({_outcome_sql(1)}) a FULL JOIN ({_outcome_sql(2)}) b ON a.doc_id = b.doc_id AND a.family = b.family AND a.s = b.s", plain=True)
 def candidate_verdicts(spark, sf_dir):
-    rank = lambda c: F.array_position(F.array(*map(F.lit, ["MISS", "PARTIAL", "OVERBROAD", "COVERED", "EXACT"])), F.col(c))
-    one = lambda v, name: Inputs(spark, sf_dir, v).spans().where("scanner = 'cut'").select("doc_id", "family", "start", F.col("outcome").alias(name))
-    both = one(1, "before").join(one(2, "after"), ["doc_id", "family", "start"], "full_outer")
+    rank = lambda c: F.array_position(F.array(*map(F.lit, lattice.OUTCOMES)), F.col(c))
+    one = lambda rows, found, name: rows.withColumn("found", found).transform(lambda d: scoring.score_documents(d, ["cut"])).withColumnRenamed("scored", name).drop("scanner", "own", "merged", "collateral_bytes")
+    rows = Inputs(spark, sf_dir).measured
+    again = fx.reported(F.col("text"), F.col("doc_id"), F.col("truth"), 2)
+    rows = one(one(rows, F.col("found"), "first"), again, "second")
+    tagged = lambda c, k: F.transform(c, lambda s: F.struct(F.lit(k).alias("version"), s["family"].alias("family"), s["start"].alias("start"), s["outcome"].alias("outcome")))
+    each = rows.select("doc_id", F.explode(F.concat(tagged("first", 1), tagged("second", 2))).alias("s")).select("doc_id", "s.*")
+    of = lambda k, name: F.max(F.when(F.col("version") == k, F.col("outcome"))).alias(name)
+    both = each.groupBy("doc_id", "family", "start").agg(of(1, "before"), of(2, "after"))
     verdict = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(F.col("before") == F.col("after"), "same").when(rank("after") > rank("before"), "fixed").otherwise("worse")
     return both.withColumn("verdict", verdict)
 
@@ -228,8 +237,7 @@ def duplicate_clusters(spark, sf_dir):
 
 @query("SELECT doc_id, family, s AS start, sha256(CASE WHEN length(ln) > 64 THEN right(ln, 64) ELSE ln END) AS line FROM (SELECT t.*, regexp_extract(decode(encode(text)[1:s]), '[^\\n]*$') AS ln FROM truth t JOIN docs USING (doc_id))")
 def line_context(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
-    x = i.truth.join(i.docs.select("doc_id", "text"), "doc_id")
+    x = Inputs(spark, sf_dir).measured.select("doc_id", "text", F.explode("truth").alias("x")).select("doc_id", "text", "x.*")
     return x.select("doc_id", "family", "start", F.sha2(text.line_before(F.col("text"), F.col("start")), 256).alias("line"))
 
 
@@ -288,8 +296,8 @@ def ece_brier(spark, sf_dir):
 
 @query("SELECT scanner, action, kind, count(*) AS findings, count(DISTINCT doc_id) AS files FROM fnd JOIN fx USING (doc_id) GROUP BY 1, 2, 3")
 def action_split(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
-    return i.findings.join(i.fixtures.select("doc_id", "kind"), "doc_id").groupBy("scanner", "action", "kind").agg(F.count("*").alias("findings"), F.count_distinct("doc_id").alias("files"))
+    found = Inputs(spark, sf_dir).measured.select("doc_id", "kind", F.explode("found").alias("f")).select("doc_id", "kind", "f.scanner", "f.action")
+    return found.groupBy("scanner", "action", "kind").agg(F.count("*").alias("findings"), F.count_distinct("doc_id").alias("files"))
 
 
 @query(", c AS (SELECT source, kind, count(*) AS n FROM fx GROUP BY 1, 2), w AS (SELECT *, min(CASE WHEN n >= 5 THEN n END) OVER (PARTITION BY source) AS least, count(*) FILTER (n < 5) OVER (PARTITION BY source) AS small FROM c) SELECT source, kind, CASE WHEN n < 5 OR (small = 1 AND n = least) THEN -1 ELSE n END AS n, n < 5 OR (small = 1 AND n = least) AS suppressed FROM w")

@@ -102,16 +102,14 @@ def strata_comparison(spark, sf_dir):
 
 @add(", m AS (SELECT family, count(*) AS positives, count(DISTINCT doc_id) AS documents, count(DISTINCT source) AS axes FROM truth JOIN fx USING (doc_id) GROUP BY 1) SELECT family, positives, documents, axes, CASE WHEN positives >= 20 AND axes >= 5 THEN 'stable' WHEN positives >= 5 THEN 'provisional' ELSE 'pending' END AS status, greatest(0, 20 - positives) AS missing FROM m")
 def support_status(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
-    m = i.truth.join(i.fixtures.select("doc_id", "source"), "doc_id").groupBy("family").agg(F.count("*").alias("positives"), F.count_distinct("doc_id").alias("documents"), F.count_distinct("source").alias("axes"))
+    m = Inputs(spark, sf_dir).measured.select("doc_id", "source", F.explode("truth.family").alias("family")).groupBy("family").agg(F.count("*").alias("positives"), F.count_distinct("doc_id").alias("documents"), F.count_distinct("source").alias("axes"))
     status = F.when((F.col("positives") >= 20) & (F.col("axes") >= 5), "stable").when(F.col("positives") >= 5, "provisional").otherwise("pending")
     return m.select("*", status.alias("status"), F.greatest(F.lit(0).cast("long"), 20 - F.col("positives")).alias("missing"))
 
 
 @add(", b AS (SELECT family, scanner, source, tier, doc_id FROM so JOIN fx USING (doc_id) WHERE outcome IN ('PARTIAL', 'MISS')) SELECT scanner, family, count(*) AS rows, count(DISTINCT doc_id) AS documents, count(DISTINCT source) AS axes, count(DISTINCT tier) AS tiers FROM b GROUP BY 1, 2")
 def failure_axes(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
-    b = i.spans().where(F.col("outcome").isin(scoring.LEAKED)).join(i.fixtures.select("doc_id", "source", "tier"), "doc_id")
+    b = Inputs(spark, sf_dir).spans().where(F.col("outcome").isin(scoring.LEAKED))
     return b.groupBy("scanner", "family").agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("documents"), F.count_distinct("source").alias("axes"), F.count_distinct("tier").alias("tiers"))
 
 
@@ -143,15 +141,16 @@ def leak_fragment_scan(spark, sf_dir):
 _REPLAY = "SELECT scanner, {v} AS replay, sha256(concat_ws(':', scanner, doc_id, family, s, e, action)) AS h FROM fnd"
 
 
-@add(f"WITH h AS (({base(1)}{_REPLAY.format(v=1)}) UNION ALL ({base(2)}{_REPLAY.format(v=2)})), b AS (SELECT scanner, replay, h[1:4] AS part, sha256(string_agg(h, '' ORDER BY h)) AS d FROM h GROUP BY 1, 2, 3), r AS (SELECT scanner, replay, sha256(string_agg(d, '' ORDER BY part)) AS digest FROM b GROUP BY 1, 2) SELECT scanner, count(DISTINCT digest) AS digests, CASE WHEN count(DISTINCT digest) = 1 THEN 'complete' ELSE 'unstable' END AS status FROM r GROUP BY 1", plain=True)
+@add(f"WITH h AS (({base()}{_REPLAY.format(v=1)}) UNION ALL ({base()}{_REPLAY.format(v=2)})), b AS (SELECT scanner, replay, h[1:4] AS part, sha256(string_agg(h, '' ORDER BY h)) AS d FROM h GROUP BY 1, 2, 3), r AS (SELECT scanner, replay, sha256(string_agg(d, '' ORDER BY part)) AS digest FROM b GROUP BY 1, 2) SELECT scanner, count(DISTINCT digest) AS digests, CASE WHEN count(DISTINCT digest) = 1 THEN 'complete' ELSE 'unstable' END AS status FROM r GROUP BY 1", plain=True)
 def replay_stability(spark, sf_dir):
-    """Whether two replays of the same documents give a scanner's findings alike, by a digest that no order changes."""
+    """Whether two replays of the same documents, read in another distribution, give a scanner's findings alike; by a digest that no order changes."""
 
-    def replay(version):
-        f = Inputs(spark, sf_dir, version).findings
+    def replay(docs):
+        f = fx.findings(docs)
         return independence.frozen_digest(f.select("scanner", F.sha2(F.concat_ws(":", "scanner", "doc_id", "family", "start", "end", "action"), 256).alias("h")), "scanner", "h")
 
-    r = replay(1).unionByName(replay(2))
+    docs = fx.documents(spark, sf_dir)
+    r = replay(docs).unionByName(replay(docs.repartition(13, "doc_id")))
     return r.groupBy("scanner").agg(F.count_distinct("digest").alias("digests")).withColumn("status", F.when(F.col("digests") == 1, "complete").otherwise("unstable"))
 
 
