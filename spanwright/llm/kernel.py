@@ -69,17 +69,38 @@ def _eights(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """``mix`` in place."""
+    other = x >> _U(30)
+    x ^= other
+    x *= _U(0xBF58476D1CE4E5B9)
+    np.right_shift(x, _U(27), out=other)
+    x ^= other
+    x *= _U(0x94D049BB133111EB)
+    np.right_shift(x, _U(31), out=other)
+    x ^= other
+    return x
+
+
 def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = SEED) -> np.ndarray:
     """A 64-bit hash of each byte range: eight bytes after eight are mixed in; ranges over LONG bytes take xxHash."""
     size, eight, first = ends - starts, _eights(data), _U(seed)
-    out = mix((first ^ size.astype(_U) * _U(_LENGTH_FACTOR)) ^ mix((eight[starts] & _HEADS[np.minimum(size, 8)]) + first))
-    rows, at = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    out = eight[starts]
+    out &= _HEADS[np.minimum(size, 8)]
+    out += first
+    out ^= size.astype(_U) * _U(_LENGTH_FACTOR)
+    _mixed(out)
+    rows, at = np.flatnonzero(size > 8), 8
+    long = rows[size[rows] > LONG]
+    rows = rows[size[rows] <= LONG]
     while len(rows):
-        part = eight[starts[rows] + at] & _HEADS[np.minimum(size[rows] - at, 8)]
-        out[rows] = mix(out[rows] ^ mix(part + first))
+        part = eight[starts[rows] + at]
+        part &= _HEADS[np.minimum(size[rows] - at, 8)]
+        part += first
+        out[rows] = _mixed(out[rows] ^ _mixed(part))
         at += 8
         rows = rows[size[rows] > at]
-    for i in np.flatnonzero(size > LONG).tolist():
+    for i in long.tolist():
         out[i] = xxhash.xxh3_64_intdigest(memoryview(data[starts[i] : ends[i]]), seed)
     return out
 

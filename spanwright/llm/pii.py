@@ -11,7 +11,8 @@ Within a run of digit groups (single spaces or hyphens between) each stretch of
 whole groups with 13 to 19 digits is tried as a card number: first those of an
 issuer's first digit and length, then the others; from left to right, the longest
 first, none overlapping. A run ends before a date, SSN, address or phone number.
-IBANs in groups of four have their country's registered length.
+IBANs in groups of four have their country's registered length. Addresses of IP
+version 6 keep their groups; they, and names of e-mail, come out in lower case.
 
 Each permutation has two parts A and B that change in turn, A by a keyed hash of
 B and B by one of A, digit by digit modulo the digit's radix. Dates are days of
@@ -19,10 +20,14 @@ the 400 years from 1800 as a pair below 189 and 773 (their product is the days
 of 400 Gregorian years); dates outside them stay. A date with the year last reads
 day first, and gives one that reads day first, if its parts allow that; else its
 day above 12 and its month are permuted together, so that it still reads month
-first. E-mail names are permuted as base-36 strings in lower case (undoing gives
-lower case); the domain stays. Secrets (key assignments of eight letters and
-digits or more, also between + / _ = ~ . and -, 40 hexadecimal digits, access key
-ids) are permuted over their alphabet; other characters stay. Values of any length
+first. A date with a one-digit day or month gives such a date, without zeros in
+front. E-mail names are permuted as base-36 strings in lower case (undoing gives
+lower case), those with letters beyond ASCII over Latin, Greek and Cyrillic ones
+too (other scripts stay); the domain stays. Secrets (assignments to a name of
+LABEL, quoted or not, of eight letters and digits or more, also between + / _ = ~
+. and -; what follows bearer; passwords in addresses; tokens of forges; 40
+hexadecimal digits; access key ids) are permuted over their alphabet; other
+characters stay. Values of any length
 are replaced whole, longer ones in parts of PART characters.
 
 Defined cases: a null text stays null; an empty or clean text is unchanged; texts
@@ -38,6 +43,8 @@ from pyspark.sql import functions as F
 
 KEY, ROUNDS, PART = "change-this-key", 8, 64
 ALPHABETS = {"digit": "0123456789", "hex": "0123456789abcdef", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "base62": "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "upper36": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"}
+#: Lower-case letters of names beyond ASCII: Latin with marks, Greek, Cyrillic.
+ALPHABETS["letters"] = ALPHABETS["base36"] + "".join(chr(c) for a, b in ((0xDF, 0xF6), (0xF8, 0x17E), (0x3AC, 0x3CE), (0x430, 0x45F)) for c in range(a, b + 1) if chr(c).islower())
 
 # Characters of an IBAN by country, as registered.
 IBAN_LENGTHS = {
@@ -53,10 +60,17 @@ def _grouped_ibans() -> str:
     return r"(?<![\w])(?:" + "|".join(each) + r")(?![\w])"
 
 
+#: What names a secret, with quotes or marks up to it; words before one that holds a digit; the user part of an address; a forge's token.
+LABEL = r"(?i:(?:access|auth|api|secret|private|client)[_-]?(?:key|token|secret)|password|passwd|passphrase|pwd|token|secret)[\x22']?\s*+[=:]\s*+[\x22']?"
+BEARER = r"(?i:bearer)\s++(?=[A-Za-z0-9+/_=~.-]*[0-9])"
+USER = r"(?:https?|ftps?|sftp|ssh|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|rediss?|amqps?|git)://[^\s/@:\x22'<>]{1,128}:"
+FORGE = "gh[pousr]_"
+_LONG = r"(?=(?:[+/_=~.-]*+[A-Za-z0-9]){8})[A-Za-z0-9+/_=~.-]*[A-Za-z0-9+/=]"
+_GROUP = "[0-9A-Fa-f]{1,4}"
 #: Patterns by kind, tried in this order at each place.
 PATTERNS = {
-    "email": r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*+(?<=[A-Za-z0-9_])@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}",
-    "secret": r"(?<![\w])(?:(?i:password|passwd|token|secret|api_key))\s*+[=:]\s*+\x22?(?=(?:[+/_=~.-]*+[A-Za-z0-9]){8})[A-Za-z0-9+/_=~.-]*[A-Za-z0-9+/=]|(?<![\w])[0-9a-f]{40}(?![\w])|(?<![\w])AKIA[A-Z0-9]{16}(?![\w])",
+    "email": r"(?<![\w\p{L}.+-])[A-Za-z0-9\p{L}][\w\p{L}.+-]*+(?<=[A-Za-z0-9_\p{L}])@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}",
+    "secret": rf"(?<![\w])(?:{LABEL}|{BEARER}){_LONG}|(?<![\w]){USER}[^\s/@\x22'<>]{{1,256}}(?=@)|(?<![\w]){FORGE}[A-Za-z0-9]{{20,255}}(?![\w])|(?<![\w])[0-9a-f]{{40}}(?![\w])|(?<![\w])AKIA[A-Z0-9]{{16}}(?![\w])",
     "iban": r"(?<![\w])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![\w])|" + _grouped_ibans(),
     "phone": "|".join([
         r"(?<![\w+])\+[0-9]{1,3} ?\([0-9]{2,4}\) ?[0-9]{3}[ -]?[0-9]{4}(?![\w])",
@@ -73,8 +87,9 @@ PATTERNS = {
         r"(?<![\w+.-])(?<![0-9] )0[0-9](?: [0-9]{2}){4}(?![\w]|[ -][0-9])",
         r"(?<![\w+.-])0[0-9](?:\.[0-9]{2}){4}(?![\w]|\.[0-9])",
     ]),
-    "date": r"(?<![\w.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?:(?![\w-])|(?=T[0-9]{2}))|(?<![\w./])[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?![\w/])",
+    "date": r"(?<![\w.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?:(?![\w-])|(?=T[0-9]{2}))|(?<![\w./-])[0-9]{4}/[0-9]{2}/[0-9]{2}(?![\w/])|(?<![\w./])(?:[0-9]{2}[./][0-9]{2}[./]|[0-9]{1,2}(?:/[0-9]{1,2}/|\.[0-9]{1,2}\.))[0-9]{4}(?![\w/])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
+    "ipv6": rf"(?<![\w:.])(?:(?:{_GROUP}:){{7}}{_GROUP}|(?=[0-9A-Fa-f:]*[0-9])(?:{_GROUP}:){{2,6}}(?::{_GROUP}){{1,5}}|(?=[0-9A-Fa-f:]*[0-9])[0-9A-Fa-f]{{3,4}}:(?::{_GROUP}){{1,6}}|(?:{_GROUP}:){{2,7}}:)(?![\w:])",
     "ipv4": r"(?<![\w.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![\w]|\.[0-9])",
 }
 # A whole run of groups; possessive, so that a long one is passed in a loop and without going back.
@@ -239,25 +254,37 @@ def _date(text: Column, key: str, undo: bool) -> Column:
     mark = F.regexp_extract(text, "[-/.]", 0)
     first, days = F.to_date(F.lit("1800-01-01")), 189 * 773
 
-    def month_first(when: Column) -> Column:
-        """Permutes 4800 months by 19 days until a real date comes out (97 in 100 are), which is a permutation of those."""
+    one_digit = lambda d: (F.month(d) < 10) | (F.dayofmonth(d) < 10)
+
+    def month_first(when: Column, short: bool) -> Column:
+        """Permutes 4800 months by 19 days until a real date comes out (97 in 100 are; of the same writing), which is a permutation of those."""
         month = (F.year(when) - 1800) * 12 + F.month(when) - 1
         radix = F.array(F.lit(4800), F.lit(19))
         turn = lambda p: permute(p, radix, "month-first", key, undo)
         real = lambda p: F.try_to_date(F.format_string("%04d-%02d-%02d", (p[0] / 12).cast("int") + 1800, p[0] % 12 + 1, p[1] + 13), "yyyy-MM-dd")
-        found = F.aggregate(F.sequence(F.lit(1), F.lit(12)), turn(F.array(month, F.dayofmonth(when) - 13)), lambda p, _: F.when(real(p).isNotNull(), p).otherwise(turn(p)))
+        good = lambda p: real(p).isNotNull() & ((p[0] % 12 < 9) if short else F.lit(True))
+        found = F.aggregate(F.sequence(F.lit(1), F.lit(20 if short else 12)), turn(F.array(month, F.dayofmonth(when) - 13)), lambda p, _: F.when(good(p), p).otherwise(turn(p)))
         return let(found, real)
 
-    def any_day(when: Column) -> Column:
+    def any_day(when: Column, short: bool) -> Column:
         age = F.datediff(when, first)
-        return let(permute(F.array((age / 773).cast("int"), (age % 773).cast("int")), F.array(F.lit(189), F.lit(773)), "date", key, undo), lambda p: F.date_add(first, p[0] * 773 + p[1]))
+        start, radix = F.array((age / 773).cast("int"), (age % 773).cast("int")), F.array(F.lit(189), F.lit(773))
+        turn = lambda p: permute(p, radix, "date", key, undo)
+        day = lambda p: F.date_add(first, p[0] * 773 + p[1])
+        if not short:
+            return let(turn(start), day)
+        return let(F.aggregate(F.sequence(F.lit(1), F.lit(16)), turn(start), lambda p, _: F.when(one_digit(day(p)), p).otherwise(turn(p))), day)
 
-    out = text
-    for form, change in (("MM-dd-yyyy", month_first), ("dd-MM-yyyy", any_day), ("yyyy-MM-dd", any_day)):  # the last that parses holds
-        when = F.try_to_date(plain, form)
-        age = F.datediff(when, first)
-        out = F.when(when.isNotNull() & (age >= 0) & (age < days), F.replace(F.date_format(change(when), form), F.lit("-"), mark)).otherwise(F.when(when.isNotNull(), text).otherwise(out))
-    return out
+    def by(forms: list, short: bool) -> Column:
+        out = text
+        for form, change in forms:  # the last that parses holds
+            when = F.try_to_date(plain, form)
+            age = F.datediff(when, first)
+            out = F.when(when.isNotNull() & (age >= 0) & (age < days), F.replace(F.date_format(change(when, short), form), F.lit("-"), mark)).otherwise(F.when(when.isNotNull(), text).otherwise(out))
+        return out
+
+    padded = by([("MM-dd-yyyy", month_first), ("dd-MM-yyyy", any_day), ("yyyy-MM-dd", any_day)], False)
+    return F.when(text.rlike("(?<![0-9])[0-9](?![0-9])"), by([("M-d-yyyy", month_first), ("d-M-yyyy", any_day)], True)).otherwise(padded)
 
 
 def _ssn(text: Column, key: str, undo: bool) -> Column:
@@ -269,6 +296,13 @@ def _ssn(text: Column, key: str, undo: bool) -> Column:
     return F.when(valid, new).otherwise(text)
 
 
+def _mailbox(name: Column, key: str, undo: bool) -> Column:
+    """ASCII names over letters and digits, others over more letters, again until a letter beyond ASCII comes out."""
+    wide = lambda t: permute_text(t, "letters", "email", key, undo)
+    other = F.aggregate(F.sequence(F.lit(1), F.lit(16)), wide(name), lambda t, _: F.when(t.rlike(r"[^\x00-\x7F]"), t).otherwise(wide(t)))
+    return F.when(name.rlike(r"[^\x00-\x7F]"), other).otherwise(permute_text(name, "base36", "email", key, undo))
+
+
 def _ipv4(text: Column, key: str, undo: bool) -> Column:
     parts = F.transform(F.split(text, r"\."), lambda x: x.cast("int"))
     new = let(parts, lambda p: F.array_join(F.transform(permute(p, F.array(*[F.lit(256)] * 4), "ipv4", key, undo), lambda x: x.cast("string")), "."))
@@ -289,19 +323,20 @@ def _replaced(value: Column, key: str, undo: bool) -> Column:
     """text: the pseudonym of a found value; n: the number of values in it that changed."""
     is_ = lambda kind: value.rlike(f"^(?:{PATTERNS[kind]})$")
     name = F.substring_index(value, "@", 1)
-    label = r"^(?i:password|passwd|token|secret|api_key)\s*[=:]\s*\x22?"
+    label = f"^(?:{LABEL}|{BEARER}|{USER}|{FORGE})"
     secret = (
         F.when(value.startswith("AKIA"), _after(value, "^AKIA", "upper36", "key", key, undo))
-        .when(value.rlike(label + "[0-9a-f]+$|^[0-9a-f]+$"), _after(value, f"(?:{label})?", "hex", "secret", key, undo))
+        .when(value.rlike(f"{label}[0-9a-f]+$|^[0-9a-f]+$"), _after(value, f"(?:{label})?", "hex", "secret", key, undo))
         .otherwise(_after(value, label, "base62", "secret", key, undo))
     )
     single = (
-        F.when(is_("email"), F.concat(permute_text(F.lower(name), "base36", "email", key, undo), F.substring(value, F.length(name) + 1, F.length(value))))
-        .when(is_("secret"), secret)
+        F.when(is_("email"), F.concat(_mailbox(F.lower(name), key, undo), F.substring(value, F.length(name) + 1, F.length(value))))
+        .when(is_("secret") | value.rlike(f"^{USER}"), secret)
         .when(is_("iban"), _iban(value, key, undo))
         .when(is_("phone"), _after(value, PHONE_HEAD, "digit", "phone", key, undo))
         .when(is_("date"), _date(value, key, undo))
         .when(is_("ssn"), _ssn(value, key, undo))
+        .when(is_("ipv6"), permute_text(F.lower(value), "hex", "ipv6", key, undo))
         .when(is_("ipv4"), _ipv4(value, key, undo))
         .otherwise(value)
     )

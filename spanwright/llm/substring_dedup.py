@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .kernel import OTHER_SEED, Words, mix, slices, window_hashes
+from .kernel import OTHER_SEED, Words, mix, segment_hashes, slices, window_hashes
 from .storage import shuffle_partitions
 
 WINDOW, ANCHOR, PERIOD = 13, 7, 7
@@ -201,6 +201,18 @@ def _windows(words: Words, hashed: np.ndarray, listed: pa.Array) -> tuple[np.nda
     return (start := start[words.doc[start] == words.doc[start + WINDOW - 1]]), h[start]
 
 
+def _other_hashes(words: Words, at: np.ndarray) -> np.ndarray:
+    """A second hash, of other word hashes, of the windows at some words; only their words are hashed."""
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    used = np.zeros(len(words.doc) + 1, np.int64)
+    np.add.at(used, at, 1)
+    np.add.at(used, at + WINDOW, -1)
+    own = np.flatnonzero(np.cumsum(used[:-1]) > 0)
+    hashed = segment_hashes(words.data, words.start[own], words.end[own], OTHER_SEED)
+    return window_hashes(hashed, WINDOW)[np.searchsorted(own, at)]
+
+
 def _kept(words: Words, row: int, gone: np.ndarray) -> str:
     """SHA-256 of the words of a row that are not gone, joined by one space."""
     i, j = words.first[row], words.first[row + 1]
@@ -238,7 +250,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             words = Words(part.column("text"))
             hashed = words.hashes()
             at, key = _windows(words, hashed, part.column("hashes"))
-            other = window_hashes(words.hashes(OTHER_SEED), WINDOW)[at]
+            other = _other_hashes(words, at)
             bucket = (other % np.uint64(n_buckets)).astype(np.int64)
             yield _blobs(_pack(np.asarray(part.column("doc_id"))[words.doc[at]], key, bucket, n_buckets, True, int(part.column("doc_id")[0].as_py()) + n, memory), 8)
 
@@ -248,11 +260,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             gone = np.zeros(len(words.doc) + 1, np.int64)
             owner, flat = _listed(part.column("hashes"))
             if len(flat):
-                h = window_hashes(words.hashes(), WINDOW)
-                at = np.arange(len(h))
-                at = at[words.doc[at] == words.doc[at + WINDOW - 1]]
-                at = at[np.isin(words.doc[at], owner)]
-                at = at[np.isin(_tag(words.doc[at], h[at]), _tag(owner, flat))]
+                told = np.zeros(len(part), bool)
+                told[owner] = True
+                own = np.flatnonzero(told[words.doc])  # words of the documents that lose some
+                h = window_hashes(segment_hashes(words.data, words.start[own], words.end[own]), WINDOW)
+                at = np.flatnonzero(words.doc[own[: len(h)]] == words.doc[own[WINDOW - 1 :]]) if len(h) else np.zeros(0, np.int64)
+                at = own[at[np.isin(_tag(words.doc[own[at]], h[at]), _tag(owner, flat))]]
                 np.add.at(gone, at, 1)
                 np.add.at(gone, at + WINDOW, -1)
             gone = np.cumsum(gone[:-1]) > 0

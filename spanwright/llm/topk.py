@@ -8,7 +8,7 @@ query's strongest coordinates; else a prefix by length is kept. Products of what
 is left are computed exactly.
 
 Defined cases: vectors that are null or hold null or non-finite components take
-no part; vectors of another dimension than the query's do not meet it; equal
+no part, nor do rows with a null id; vectors of another dimension than the query's do not meet it; equal
 scores go to the smaller id; equal rows of one id count once; an empty table
 gives no rows; columns other than vec_id and embedding play no part. Products are
 taken in the cheapest way that is exact for the largest components at hand: in

@@ -397,3 +397,24 @@ def test_piece_scan(spark, texts):
 def test_crc_join():
     a, b = b"some bytes", b"and more of them"
     assert piece_scan.crc_join(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+def test_forms_of_personal_data(spark):
+    """Values in clear before, each replaced in its own format, undone again, and lookalikes that stay."""
+    values = [
+        '{"password": "hunter2hunter2"}', "pwd=hunter2hunter2", "api-key: abcd1234efgh", "Bearer eyJhbGciOi.J9-xyz1", "ghp_" + "a1B2c3D4e5" * 4, "http://user:secretpass1@host/", "5/3/1980", "12/25/1980", "3/15/1980", "1.12.2001",
+        "1980/03/05", "2001:db8::1", "2001:db8:0:1:2:3:4:5", "fe80::1ff:fe23", "müller@example.de", "жанна.1@example.org", "'client_secret' = 'q9w8e7r6t5'",
+    ]
+    stay = ["std::vector", "cafe::bed", "12:30:45", "a ratio of 3/4/5", "Bearer certificates are old", "31/31/1980", "the password is not here", "x@y"]
+    rows = spark.createDataFrame(list(enumerate(values + stay)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymise(rows).collect()}
+    for i, v in enumerate(values):
+        new = got[i]["text"]
+        assert new != v and got[i]["n_pii"] == 1, v
+        shape = lambda t: re.sub(r"[0-9A-Za-z\u00C0-\u04FF]+", "w", t)
+        assert shape(new) == shape(v), (v, new)
+    assert not any(x in got[i]["text"] for i, x in ((0, "hunter2"), (1, "hunter2"), (5, "secretpass"), (14, "mül"), (15, "жан")))
+    assert [got[len(values) + k]["text"] for k in range(len(stay))] == stay
+    assert got[14]["text"].endswith("@example.de") and got[5]["text"].startswith("http://user:") and got[5]["text"].endswith("@host/") and got[4]["text"].startswith("ghp_")
+    undone = pii.pseudonymise(spark.createDataFrame([(1, "5/3/1980"), (2, "müller@example.de"), (3, "2001:db8::1"), (4, "3/15/1980")], "doc_id long, text string")).select("doc_id", pii.pseudonym(F.col("text"), undo=True).alias("t")).orderBy("doc_id").collect()
+    assert [r["t"] for r in undone] == ["5/3/1980", "müller@example.de", "2001:db8::1", "3/15/1980"]
