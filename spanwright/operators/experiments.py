@@ -65,8 +65,9 @@ def neighbours(spec: Spec, pool: list[Spec]) -> list[Spec]:
         return abs(caps.index(a) - caps.index(b)) if a != b else 0
 
     def near(s: Spec) -> bool:
-        far = [steps(spec.r, s.r, RANDOMNESS), steps(spec.l, s.l, LEXICAL) if spec.lexical else 0, steps(spec.c, s.c, CONTEXTUAL)]
-        return (s.randomness, s.lexical) == (spec.randomness, spec.lexical) and sorted(far) == [0, 0, 1]
+        if (s.randomness, s.lexical) != (spec.randomness, spec.lexical):
+            return False
+        return sorted([steps(spec.r, s.r, RANDOMNESS), steps(spec.l, s.l, LEXICAL), steps(spec.c, s.c, CONTEXTUAL)]) == [0, 0, 1]
 
     return [s for s in pool if near(s)]
 
@@ -175,7 +176,7 @@ def run(rows: DataFrame, specs: list[Spec], measures: list[str], weight: str | N
     counted = cells(rows, measures, weight).persist()
     hist = histograms(counted, specs, measures).persist()
     fitted = thresholds(hist, specs).persist()
-    errors = balanced_errors(hist, fitted).join(fitted, ["spec", "left_out"])
+    errors = balanced_errors(hist, fitted).join(fitted, ["spec", "left_out"]).persist()
     full = errors.where(F.col("left_out") == ALL).select("spec", "low", "medium", "high", F.col("development").alias("error"), F.col("evaluation").alias("evaluation_error"))
     out = errors.where(F.col("left_out") != ALL).groupBy("spec").agg(F.min("medium").alias("medium_from"), F.max("medium").alias("medium_to"), F.min("high").alias("high_from"), F.max("high").alias("high_to"), F.coalesce(F.max("held"), F.lit(0.0)).alias("worst_held"))
     names = spark.createDataFrame([(i, s.name, s.r, s.l, s.c, s.most, s.parameters) for i, s in enumerate(specs)], "spec int, name string, r int, l int, c int, most int, parameters int")
@@ -188,6 +189,6 @@ def run(rows: DataFrame, specs: list[Spec], measures: list[str], weight: str | N
     judged = all_.withColumn("conforms", conforms).withColumn("best", F.min(F.when(F.col("conforms"), F.col("neighbourhood"))).over(whole))
     judged = judged.withColumn("admissible", F.coalesce(F.col("conforms") & (F.col("neighbourhood") <= F.col("best") + TOLERANCE), F.lit(False)))
     judged = judged.withColumn("fewest", F.min(F.when(F.col("admissible"), F.col("parameters"))).over(whole)).withColumn("ranked", F.col("admissible") & (F.col("parameters") == F.col("fewest")))
-    order = [F.desc("ranked"), F.col("medium_to") - F.col("medium_from"), "neighbourhood", F.abs(F.col("error") - F.col("evaluation_error")), "name"]
+    order = [F.desc("ranked"), F.col("medium_to") - F.col("medium_from"), F.round("neighbourhood", 9), F.round(F.abs(F.col("error") - F.col("evaluation_error")), 9), "name"]
     judged = judged.withColumn("rank", F.when(F.col("ranked"), F.row_number().over(Window.orderBy(*order))))
     return judged.select("name", "low", "medium", "high", "error", "evaluation_error", "neighbourhood", "conforms", "admissible", "parameters", "medium_from", "medium_to", "high_from", "high_to", "worst_held", "rank")

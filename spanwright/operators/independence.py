@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwright.functions.text import normalize_values
+from spanwright.storage import written
 
 #: Least Jaccard similarity of a near-duplicate pair, and words of a shingle.
 SIMILAR, WIDTH = 0.5, 3
@@ -59,19 +60,14 @@ def components(spark, edges: DataFrame) -> DataFrame:
     label, so rounds grow with the logarithm of the longest path; each is cut by
     a reliable checkpoint.
     """
-    import tempfile
-
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
+    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp"))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("c")), "b").groupBy("a").agg(F.min("c").alias("near"))
         new = labels.join(near, labels["node"] == near["a"]).select("node", "comp", F.least("comp", "near").alias("next"))
         far = labels.select(F.col("node").alias("next"), F.col("comp").alias("far"))
-        new = new.join(far, "next", "left").select("node", "comp", F.least("next", F.coalesce("far", "next")).alias("next")).checkpoint()
+        new = new.join(far, "next", "left").select("node", "comp", F.least("next", F.coalesce("far", "next")).alias("next"))
+        new = written(new, "labels")
         changed = new.where("comp <> next").limit(1).count()
         labels = new.select("node", F.col("next").alias("comp"))
         if not changed:

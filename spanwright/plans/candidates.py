@@ -31,9 +31,11 @@ CASES = [
 _CASE_ROWS = ", ".join("(" + ", ".join(_q(x) for x in c) + ")" for c in CASES)
 _PARTS = f"string_split(regexp_replace(lower(regexp_replace(coalesce(nullif(regexp_extract(b, {_q(tx.ASSIGNED_NAME)}, 1), ''), nullif(regexp_extract(b, {_q(tx.FLAG_NAME)}, 1), '')), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[.-]', '_', 'g'), '_')"
 _CONTEXT = f"CASE WHEN regexp_matches(b, {_q(tx.URL_USER)}) AND starts_with(a, '@') THEN 'url-userinfo' WHEN regexp_matches(b, {_q(tx.AUTHORIZATION)}) THEN 'authorization-header' WHEN {_PARTS} IS NULL THEN 'bare' WHEN list_has_any({_PARTS}, {_list(tx.CREDENTIAL_PARTS)}) THEN 'credential-name' ELSE 'other-name' END"
+_WHOLE_ENVIRONMENT = r"^\$\{[A-Za-z_][A-Za-z0-9_]*(?::?-[^}]*)?\}\z|^\$[A-Za-z_][A-Za-z0-9_]*\z|^%[A-Za-z_][A-Za-z0-9_]*%\z"
+_WHOLE_NAME = rf"^{tx.IDENTIFIER}\z"
 _WORDS = r"list_filter(regexp_split_to_array(lower(v), '[_.\s-]+'), lambda w: w <> '')"
 _NEGATIVE = rf"""CASE WHEN regexp_matches(v, '^\{{\{{[^{{}}]*\}}\}}\z') OR (regexp_matches(b, '\{{\{{\s*\z') AND regexp_matches(a, '^\s*\}}\}}') AND NOT regexp_matches(v, '[{{}}]')) THEN 'template-reference'
-WHEN regexp_matches(v, {_q(tx.ENVIRONMENT)}) OR (regexp_matches(v, {_q(tx.NAME)}) AND ((regexp_matches(b, '\$\{{\z') AND regexp_matches(a, '^(?::?-[^}}]*)?\}}')) OR (regexp_matches(b, '(?:^|[^$])\$\z') AND NOT regexp_matches(a, '^[A-Za-z0-9_]')) OR (regexp_matches(b, '%\z') AND regexp_matches(a, '^%')))) THEN 'environment-reference'
+WHEN regexp_matches(v, {_q(_WHOLE_ENVIRONMENT)}) OR (regexp_matches(v, {_q(_WHOLE_NAME)}) AND ((regexp_matches(b, '\$\{{\z') AND regexp_matches(a, '^(?::?-[^}}]*)?\}}')) OR (regexp_matches(b, '(?:^|[^$])\$\z') AND NOT regexp_matches(a, '^[A-Za-z0-9_]')) OR (regexp_matches(b, '%\z') AND regexp_matches(a, '^%')))) THEN 'environment-reference'
 WHEN regexp_matches(v, '^\$\([^()]*\)\z|^`[^`]*`\z') OR (regexp_matches(b, '\$\(\s*\z') AND regexp_matches(a, '^\s*\)') AND NOT regexp_matches(v, '[()]')) THEN 'command-substitution'
 WHEN regexp_matches(v, '^<[A-Za-z0-9_ .-]+>\z') OR (regexp_matches(v, '^[A-Za-z0-9_ .-]+\z') AND regexp_matches(b, '<\z') AND regexp_matches(a, '^>')) THEN 'angle-placeholder'
 WHEN length(v) >= 3 AND list_contains({_list(tx.MASKS)}, v[1]) AND replace(v, v[1], '') = '' THEN 'mask'

@@ -10,9 +10,13 @@ from spanwright.operators import corpus, rendering
 from spanwright.sources import fixtures as fx
 
 from .base import base
+from .candidates import _LONGEST, _q
 from .evaluation import add
 from .measurement import Inputs
 
+# doc_id, s, v: where each document's longest token starts, and that token.
+_LONGEST_OF = f""", lp AS (SELECT doc_id, text, regexp_extract_all(text, {_q(tx.TOKEN)}) AS m, regexp_split_to_array(text, {_q(tx.TOKEN)}) AS x FROM docs), li AS (SELECT *, {_LONGEST}::INTEGER AS i FROM lp WHERE len(m) > 0),
+lt AS (SELECT doc_id, (coalesce(list_sum(list_transform(x[1:i], lambda y: strlen(y))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: strlen(y))), 0))::INTEGER AS s, m[i] AS v FROM li)"""
 _LOG = "[" + ", ".join(map(str, features.LOGARITHMS)) + "]"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spanwright.operators import calibration, snapshots
 from spanwright.sources import cases
 from spanwright.sources import fixtures as fx
+from spanwright.storage import new_path
 
 from .base import base
 from .evaluation import add
@@ -15,7 +16,7 @@ from .measurement import Inputs
 
 def _stored(spark, sf_dir):
     i = Inputs(spark, sf_dir)
-    path = cases.new_folder(spark, "cases")
+    path = new_path(spark, "cases")
     cases.write_parts(cases.cases(i.docs, i.truth, i.fixtures), path)
     return path
 

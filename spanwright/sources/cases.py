@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,16 +11,6 @@ SPANS = "array<struct<family:string,start:int,end:int,env_start:int,env_end:int>
 SCHEMA = f"doc_id long, source string, kind string, tier string, text string, spans {SPANS}"
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A new path in ``spark.checkpoint.dir``; without it, in local mode, in a temporary folder."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-        path = tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def cases(docs: DataFrame, truth: DataFrame, fixtures: DataFrame) -> DataFrame:
     """One row a document with its spans in order."""
     span = F.struct("family", "start", "end", "env_start", "env_end")
