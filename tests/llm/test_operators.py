@@ -418,3 +418,18 @@ def test_forms_of_personal_data(spark):
     assert got[14]["text"].endswith("@example.de") and got[5]["text"].startswith("http://user:") and got[5]["text"].endswith("@host/") and got[4]["text"].startswith("ghp_")
     undone = pii.pseudonymise(spark.createDataFrame([(1, "5/3/1980"), (2, "müller@example.de"), (3, "2001:db8::1"), (4, "3/15/1980")], "doc_id long, text string")).select("doc_id", pii.pseudonym(F.col("text"), undo=True).alias("t")).orderBy("doc_id").collect()
     assert [r["t"] for r in undone] == ["5/3/1980", "müller@example.de", "2001:db8::1", "3/15/1980"]
+
+
+def test_licences_as_they_are_written(spark):
+    model = licenses.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    named = {
+        "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: Apache-2.0": "apache-2.0", "licensed under GPL-2.0-only": "gpl", "GNU General Public License v2": "gpl", "BSD 2-Clause": "bsd", "Released under the Apache license": "apache-2.0",
+        "Licensed under the MPL 2.0": "mpl", "covered by the Artistic License 2.0": "artistic", "CC-BY-NC-ND 4.0": "cc-by-nc-nd",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.": "mit",
+        "Licensed under the Foobar Terms": "unknown",
+    }
+    clean = ["ich gehe mit dem Hund in die Stadt und mit dir", "This is a plain sentence about the weather and a public park", "the software was slow in this version"]
+    rows = spark.createDataFrame(list(enumerate([*named, *clean])), "doc_id long, text string")
+    got = {r["doc_id"]: [f["family"] for f in r["found"]] for r in licenses.statements(rows, model).collect()}
+    assert [got[i] for i in range(len(named))] == [[f] for f in named.values()] and not any(got[len(named) + k] for k in range(len(clean)))
+    assert model.rejected < 0.1
