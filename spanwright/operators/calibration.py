@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanwright.functions.offsets import count_below
+
 #: Highest share of independent controls at or above the ``high`` threshold.
 HIGH_FALSE_ALARM = 0.02
 
@@ -21,9 +23,33 @@ def lower_median(rows: DataFrame, keys: list[str], value: str, weight: str | Non
     return cells.withColumn("run_", run).withColumn("total_", total).where(F.col("run_") >= F.col("total_") / 2).groupBy(*keys).agg(F.min(value).alias("median"))
 
 
-def fit_ramps(measures: DataFrame) -> DataFrame:
-    """signal, lo, hi of measures (signal, positive, x): from the controls' median to that of the positives, never falling."""
-    m = lower_median(measures.where("positive is not null"), ["signal", "positive"], "x")
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float], weight: str | None = None, cuts: int = 256) -> DataFrame:
+    """keys and quantiles (an array in the order of shares): the smallest value at which each share of the weight (1 a row if not given) is reached.
+
+    Exact, and no task holds all values of a key: an approximate sketch cuts each
+    key's values into ranges, the ranges' sums tell which of them hold a share, and
+    only those are summed value by value. Null values take no part.
+    """
+    known = rows.where(F.col(value).isNotNull())
+    at = F.percentile_approx(value, [i / cuts for i in range(1, cuts)], 10 * cuts)
+    bounds = known.groupBy(*keys).agg(F.array_distinct(at).alias("cuts_"))
+    cells = known.groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).alias("w_"))
+    ranged = cells.join(F.broadcast(bounds), keys).withColumn("range_", count_below(F.col("cuts_"), F.col(value))).drop("cuts_")  # a row a key
+    order = Window.partitionBy(*keys).orderBy("range_")
+    sums = ranged.groupBy(*keys, "range_").agg(F.sum("w_").alias("own_"))
+    sums = sums.withColumn("before_", F.coalesce(F.sum("own_").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total_", F.sum("own_").over(Window.partitionBy(*keys)))
+    asked = sums.withColumn("share_", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(shares)])))
+    goal = F.col("share_.p") * F.col("total_")
+    asked = asked.where((F.col("before_") + F.col("own_") >= goal) & ((F.col("before_") < goal) | (F.col("before_") == 0)))
+    inside = ranged.join(asked.select(*keys, "range_", "before_", "total_", "share_"), [*keys, "range_"])
+    run = F.col("before_") + F.sum("w_").over(Window.partitionBy(*keys, "range_", "share_.i").orderBy(value))
+    reached = inside.withColumn("run_", run).where(F.col("run_") >= F.col("share_.p") * F.col("total_")).groupBy(*keys, "share_.i").agg(F.min(value).alias("q_"))
+    return reached.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q_"))), lambda x: x["q_"]).alias("quantiles"))
+
+
+def fit_ramps(measures: DataFrame, weight: str | None = None) -> DataFrame:
+    """signal, lo, hi of measures (signal, positive, x, and the weight of a row if named): from the controls' median to that of the positives, never falling."""
+    m = lower_median(measures.where("positive is not null"), ["signal", "positive"], "x", weight)
     pick = lambda side: F.coalesce(F.max(F.when(F.col("positive") == side, F.col("median"))), F.lit(0))
     return m.groupBy("signal").agg(pick(False).alias("lo"), pick(True).alias("top")).select("signal", "lo", F.greatest("lo", "top").alias("hi"))
 
@@ -57,9 +83,10 @@ def isotonic(cells: DataFrame) -> DataFrame:
     return least.groupBy(F.col("b").alias("score")).agg(F.max("least").alias("fitted"))
 
 
-def error_rates(scores: DataFrame, most: int) -> DataFrame:
-    """t, leak, alarm, independent for thresholds 1 to most, of scores (score, positive, independent): shares of positives below t and of (independent) controls at t or above."""
-    n = lambda c: F.sum(c.cast("int"))
+def error_rates(scores: DataFrame, most: int, weight: str | None = None) -> DataFrame:
+    """t, leak, alarm, independent for thresholds 1 to most, of scores (score, positive, independent, and a weight if named): shares of positives below t and of (independent) controls at t or above."""
+    w = F.col(weight) if weight else F.lit(1)
+    n = lambda c: F.sum(F.when(c, w).otherwise(0))
     control = ~F.col("positive")
     hist = scores.groupBy(F.col("score").alias("t")).agg(n(F.col("positive")).alias("p"), n(control).alias("c"), n(control & F.col("independent")).alias("i"))
     grid = scores.sparkSession.range(1, most + 2).select(F.col("id").cast("int").alias("t"))
@@ -78,9 +105,9 @@ def _plateau(costs: DataFrame) -> DataFrame:
     return first.agg(F.min_by(F.floor((F.col("a") + F.col("b")) / 2).cast("int"), "a").alias("t"))
 
 
-def fit_thresholds(scores: DataFrame, floor_high: int, most: int) -> DataFrame:
+def fit_thresholds(scores: DataFrame, floor_high: int, most: int, weight: str | None = None) -> DataFrame:
     """low, medium, high (one row): high by independent false alarms, medium and low by the cost of leaks and alarms below the next."""
-    rates = error_rates(scores, most)
+    rates = error_rates(scores, most, weight)
     high = rates.where((F.col("t") >= max(floor_high, 3)) & (F.col("t") <= most) & (F.col("independent") <= HIGH_FALSE_ALARM)).agg(F.coalesce(F.min("t"), F.lit(most + 1)).alias("high"))
     medium = _plateau(rates.join(high).where((F.col("t") >= 2) & (F.col("t") < F.col("high"))).withColumn("cost", F.col("leak") + F.col("alarm"))).withColumnRenamed("t", "medium")
     low = _plateau(rates.join(medium).where(F.col("t") < F.col("medium")).withColumn("cost", 2 * F.col("leak") + F.col("alarm"))).withColumnRenamed("t", "low")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwright.functions.text import normalize_values
 from spanwright.storage import written
 
+#: Fixed value: runs that count as values in a skeleton.
+LONG_VALUE = "[A-Za-z0-9+/=_.~-]{16,}"
 #: Least Jaccard similarity of a near-duplicate pair, and words of a shingle.
 SIMILAR, WIDTH = 0.5, 3
 
@@ -26,10 +28,12 @@ def similar_pairs(docs: DataFrame, threshold: float = SIMILAR, width: int = WIDT
     those of classes; a class of several texts is a pair with itself. Shingles are ordered from rare to common. Two sets so similar share one of
     the first ``size - ceil(threshold * size) + 1`` shingles of each, so only
     those are joined, and pairs of too different sizes are left out; the sets
-    themselves are compared for the pairs that remain.
+    themselves, as 64-bit hashes, are compared for the pairs that remain.
     """
-    every = shingles(docs, width).withColumn("key", F.sha2(F.array_join(F.array_sort("shingles"), "\n"), 256))
+    hashed = F.array_sort(F.array_distinct(F.transform("shingles", lambda s: F.xxhash64(s))))
+    every = shingles(docs, width).select("doc_id", hashed.alias("shingles")).withColumn("key", F.sha2(F.array_join("shingles", ","), 256))
     sets = every.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("shingles").alias("shingles")).withColumn("n", F.size("shingles"))
+    sets = written(sets, "shingle-sets")  # texts are read once
     one = sets.select("doc_id", "n", F.explode("shingles").alias("s"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("often", "s"))
     often = one.groupBy("s").agg(F.count("*").alias("often")).where("often > 1")  # a shingle of one text joins nothing
@@ -45,6 +49,46 @@ def similar_pairs(docs: DataFrame, threshold: float = SIMILAR, width: int = WIDT
     return found.unionByName(same)
 
 
+def entry(key: Column, sha: Column) -> Column:
+    """The hash of an id with the hash of its content, so that two rows that swap contents change a digest."""
+    return F.sha2(F.concat(key.cast("string"), F.lit("\t"), sha), 256)
+
+
+def skeleton(text: Column, spans: Column) -> Column:
+    """What is left of a text without its values: spans (array of byte ranges start and end) cut out by position, long value-like runs and white space reduced to one mark; one that begins within an earlier one is left out."""
+    raw = F.encode(text, "UTF-8")
+    piece = lambda a, b: F.hex(F.substring(raw, a + 1, b - a))
+    sorted_ = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    mark = F.hex(F.lit("⟨S⟩"))
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def step(a: Column, s: Column) -> Column:
+        put = F.concat(a["out"], piece(a["at"], s["start"]), mark)
+        apart = s["start"] >= a["at"]
+        return F.struct(F.when(apart, put).otherwise(a["out"]).alias("out"), F.when(apart, s["end"].cast("int")).otherwise(a["at"]).alias("at"))
+
+    left = F.aggregate(sorted_, start, step, lambda a: F.decode(F.unhex(F.concat(a["out"], piece(a["at"], F.octet_length(text)))), "UTF-8"))
+    return F.trim(F.regexp_replace(F.regexp_replace(left, LONG_VALUE, "⟨V⟩"), r"[ \t]+", " "))
+
+
+def by_family(values: DataFrame, spark) -> DataFrame:
+    """family, raw, distinct_values, distinct_skeletons, upper_bound, axes, independent_axes, same_value_across_axes of values (family, doc_id, value, axis, skeleton).
+
+    At most upper_bound documents can differ from all others in value and
+    skeleton. Axes that share a value count as one independent axis; a value's
+    rows on another axis than that of its smallest document are same_value_across_axes.
+    """
+    first = values.groupBy("family", "value").agg(F.min(F.struct("doc_id", "axis"))["axis"].alias("first_axis"))
+    both = values.join(first, ["family", "value"])
+    counts = both.groupBy("family").agg(F.count_distinct("doc_id").alias("raw"), F.count_distinct("value").alias("distinct_values"), F.count_distinct("skeleton").alias("distinct_skeletons"), F.count_distinct("axis").alias("axes"), F.count_if(F.col("axis") != F.col("first_axis")).alias("same_value_across_axes"))
+    node = lambda c: F.to_json(F.array("family", c))
+    links = both.where(F.col("axis") != F.col("first_axis")).select("family", node("axis").alias("a"), node("first_axis").alias("b")).distinct()
+    merged = components(spark, links)
+    lost = merged.groupBy(F.from_json("node", "array<string>")[0].alias("family")).agg((F.count("*") - F.count_distinct("comp")).alias("lost"))
+    out = counts.join(lost, "family", "left")
+    return out.select("family", "raw", "distinct_values", "distinct_skeletons", F.least("distinct_values", "distinct_skeletons").alias("upper_bound"), "axes", (F.col("axes") - F.coalesce("lost", F.lit(0).cast("long"))).alias("independent_axes"), "same_value_across_axes")
+
+
 def frozen_digest(rows: DataFrame, key: str, hashes: str, digits: int = 4) -> DataFrame:
     """key, digest, rows: a digest of the hexadecimal hashes of each key in any order, by parts of the same first digits, so that no task holds a whole key."""
     part = F.substring(hashes, 1, digits)
@@ -57,8 +101,8 @@ def components(spark, edges: DataFrame) -> DataFrame:
     """node, comp (smallest reachable node) of edges (a, b).
 
     A round takes the least label among the neighbours, then that node's own
-    label, so rounds grow with the logarithm of the longest path; each is cut by
-    a reliable checkpoint.
+    label, so rounds grow with the logarithm of the longest path; each is written
+    to the shared folder.
     """
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp"))

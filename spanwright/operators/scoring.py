@@ -152,6 +152,28 @@ def account_twins(pairs: DataFrame, coverage_floor: float = 0.5, least: int = MI
     )
 
 
+def twin_probe(rows: DataFrame, twins: DataFrame, families: DataFrame, scanners: DataFrame) -> DataFrame:
+    """scanner, family, twins, pairs, discriminated, state of every scanner and family (family, reason).
+
+    A pair is a twin (score_controls) with its positive (score_rows) that is
+    assessed and no control; it is discriminated if every span of the positive is
+    EXACT or COVERED and nothing flags the twin. A family without twins is
+    un-probeable if it has a reason, else unrecorded; with twins but no pair it is
+    not-measured; else discriminated if every pair is, or not-discriminated.
+    """
+    known = rows.select("scanner", "doc_id", "tier", "kind", (F.col("exact") + F.col("covered") == F.col("spans")).alias("acceptable"))
+    both = twins.select("scanner", "doc_id", F.col("scope_family").alias("family"), "flagged").join(known, ["scanner", "doc_id"], "left")
+    pair = F.coalesce((F.col("tier") != "T0") & (F.col("kind") != "must-not-flag"), F.lit(False))
+    counts = both.groupBy("scanner", "family").agg(F.count("*").alias("twins"), F.count_if(pair).alias("pairs"), F.count_if(pair & F.col("acceptable") & ~F.col("flagged")).alias("discriminated"))
+    every = families.crossJoin(F.broadcast(scanners)).join(F.broadcast(counts), ["scanner", "family"], "left")  # scanners and families: a handful of names
+    state = (
+        F.when(F.col("twins").isNull(), F.when(F.col("reason").isNull(), "unrecorded").otherwise("un-probeable"))
+        .when(F.col("pairs") == 0, "not-measured").when(F.col("discriminated") == F.col("pairs"), "discriminated").otherwise("not-discriminated")
+    )
+    zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("twins", "pairs", "discriminated")]
+    return every.select("scanner", "family", *zero, state.alias("state"))
+
+
 def absolute(rows: DataFrame) -> DataFrame:
     """rows (score_rows, or controls without counts) with type and status of the assertion that a row makes by itself.
 

@@ -17,8 +17,11 @@ def contrast(before: DataFrame, after: DataFrame, keys: list[str], values: list[
 
 
 def version_key(version: Column) -> Column:
-    """The numbers of a version in order, so that 1.10 follows 1.9."""
-    return F.transform(F.regexp_extract_all(version, F.lit("[0-9]+"), F.lit(0)), lambda n: n.cast("long"))
+    """The runs of digits and of other characters in order: numbers by value, marks before numbers before words, so that 1.10 follows 1.9 and -beta follows -alpha; what only goes on is later."""
+    runs = F.regexp_extract_all(F.lower(version), F.lit("[0-9]+|[a-z]+|[^0-9a-z]+"), F.lit(0))
+    number = lambda r: F.when(r.rlike("^[0-9]"), r.cast("decimal(38,0)"))
+    kind = lambda r: F.when(r.rlike("^[0-9]"), 1).when(r.rlike("^[a-z]"), 2).otherwise(0)
+    return F.transform(runs, lambda r: F.struct(kind(r).alias("kind"), F.coalesce(number(r), F.lit(0).cast("decimal(38,0)")).alias("number"), F.when(r.rlike("^[0-9]"), "").otherwise(r).alias("word")))
 
 
 def newest(rows: DataFrame, key: str, version: str, at: str) -> DataFrame:

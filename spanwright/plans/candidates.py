@@ -134,11 +134,31 @@ _SCORED = "WITH x AS (SELECT l_quantity::INTEGER AS score, l_returnflag = 'R' AS
 _BIN = {"discount": ("l_discount", 100), "tax": ("l_tax", 100), "price": ("l_extendedprice", 1)}
 
 
-@add(_SCORED + ", m AS (" + " UNION ALL ".join(f"SELECT '{n}' AS signal, positive, floor({c} * {k} + 0.5)::BIGINT AS v FROM x" for n, (c, k) in _BIN.items()) + "), q AS (SELECT signal, quantile_disc(v, 0.5) FILTER (NOT positive) AS lo, quantile_disc(v, 0.5) FILTER (positive) AS hi FROM m GROUP BY 1) SELECT signal, lo, greatest(lo, hi) AS hi FROM q", plain=True)
+def _ramp_sql(weight: str) -> str:
+    measured = " UNION ALL ".join(f"SELECT '{n}' AS signal, positive, {weight} AS w, floor({c} * {k} + 0.5)::BIGINT AS v FROM x" for n, (c, k) in _BIN.items())
+    return _SCORED + f""", h AS (SELECT count(*) FILTER (NOT independent) AS made, count(*) FILTER (independent) AS own FROM x), m AS ({measured}),
+r AS (SELECT signal, positive, v, sum(sum(w)) OVER (PARTITION BY signal, positive ORDER BY v) AS run, sum(sum(w)) OVER (PARTITION BY signal, positive) AS total FROM m GROUP BY 1, 2, 3),
+q AS (SELECT signal, min(v) FILTER (NOT positive AND run >= total / 2) AS lo, min(v) FILTER (positive AND run >= total / 2) AS hi FROM r GROUP BY 1) SELECT signal, lo, greatest(lo, hi) AS hi FROM q"""
+
+
+def _measures(rows, *more):
+    made = F.explode(F.array(*[F.struct(F.lit(n).alias("signal"), F.floor(F.col(c) * k + 0.5).cast("long").alias("x")) for n, (c, k) in _BIN.items()]))
+    return rows.select("positive", *more, made.alias("m")).select("m.signal", "positive", *more, "m.x")
+
+
+@add(_ramp_sql("1"), plain=True)
 def fit_ramps(spark, sf_dir):
     """Two constants a signal: the medians of controls and of positives."""
-    measures = F.explode(F.array(*[F.struct(F.lit(n).alias("signal"), F.floor(F.col(c) * k + 0.5).cast("long").alias("x")) for n, (c, k) in _BIN.items()]))
-    return calibration.fit_ramps(_scored(spark, sf_dir).select("positive", measures.alias("m")).select("m.signal", "positive", "m.x"))
+    return calibration.fit_ramps(_measures(_scored(spark, sf_dir)))
+
+
+@add(_ramp_sql("CASE WHEN independent AND (SELECT made > own FROM h) THEN (SELECT made::DOUBLE / own FROM h) ELSE 1 END"), plain=True)
+def weighted_ramps(spark, sf_dir):
+    """The same medians where rows that stand for generated ones weigh no more than half of all."""
+    rows = _scored(spark, sf_dir)
+    counts = rows.groupBy((~F.col("independent")).alias("generated")).agg(F.count("*").alias("n"))
+    weights = calibration.half_weights(counts).select((~F.col("generated")).alias("independent"), "weight")
+    return calibration.fit_ramps(_measures(rows.join(F.broadcast(weights), "independent"), "weight"), "weight")  # two rows of weights
 
 
 @add(_SCORED + ", c AS (SELECT score // 8 AS e, floor(l_extendedprice / 20000)::BIGINT AS l, sum(positive::INTEGER) AS p, sum((NOT positive)::INTEGER) AS n FROM x GROUP BY 1, 2), g AS (SELECT * FROM (SELECT DISTINCT e FROM c), (SELECT DISTINCT l FROM c)), f AS (SELECT e, l, floor(40 * (coalesce(p, 0) + 1)::DOUBLE / (coalesce(p, 0) + coalesce(n, 0) + 2))::BIGINT AS own FROM g LEFT JOIN c USING (e, l)) SELECT a.e::BIGINT AS e, a.l, max(b.own) AS points FROM f a JOIN f b ON b.e <= a.e AND b.l <= a.l GROUP BY 1, 2", plain=True)
@@ -195,12 +215,20 @@ def twin_discrimination(spark, sf_dir):
     return scoring.pair_twins(i.rows(), tw).where("flagged is not null").groupBy("scanner", "kind", "tier").agg(F.count("*").alias("pairs"), good.alias("discriminated"), F.count_if(F.col("co_detected")).alias("co_detected"), F.round(good / F.count("*"), 6).alias("rate"))
 
 
-@add(_PAIRED + " SELECT scanner, scope_family AS family, count(*) AS pairs, CASE WHEN bool_and(covered AND NOT flagged) THEN 'discriminates' WHEN bool_and(miss = spans) THEN 'never-found' WHEN bool_and(flagged) THEN 'flags-every-twin' WHEN bool_or(flagged) THEN 'flags-some-twins' ELSE 'partly-found' END AS state FROM pr GROUP BY 1, 2", plain=True)
+# Families that are asked about: those of the patterns, one that can have no twin, and one that nobody has looked at.
+PROBED = [*[(f, None) for f in fx.PATTERNS], ("licence", "prose has no near value"), ("iban", None)]
+_PROBED = ", ".join(f"('{f}', {f'{chr(39)}{r}{chr(39)}' if r else 'NULL'})" for f, r in PROBED)
+
+
+@add(_PAIRED.replace("JOIN tw USING (scanner, doc_id) WHERE ro.tier", "RIGHT JOIN tw USING (scanner, doc_id) WHERE true OR ro.tier").replace("pr AS (SELECT ro.scanner, ro.doc_id,", "pr AS (SELECT tw.scanner, tw.doc_id,") + f""", pf AS (SELECT col0 AS family, col1 AS reason FROM (VALUES {_PROBED})), sn AS (SELECT unnest([{', '.join(map(repr, fx.SCANNERS))}]) AS scanner),
+g AS (SELECT scanner, scope_family AS family, count(*) AS twins, count(*) FILTER (tier <> 'T0' AND kind <> 'must-not-flag') AS pairs, count(*) FILTER (tier <> 'T0' AND kind <> 'must-not-flag' AND acceptable AND NOT flagged) AS discriminated FROM pr GROUP BY 1, 2)
+SELECT sn.scanner, pf.family, coalesce(twins, 0) AS twins, coalesce(pairs, 0) AS pairs, coalesce(discriminated, 0) AS discriminated, CASE WHEN twins IS NULL THEN CASE WHEN reason IS NULL THEN 'unrecorded' ELSE 'un-probeable' END WHEN pairs = 0 THEN 'not-measured' WHEN discriminated = pairs THEN 'discriminated' ELSE 'not-discriminated' END AS state
+FROM sn CROSS JOIN pf LEFT JOIN g ON g.scanner = sn.scanner AND g.family = pf.family""", plain=True)
 def twin_probe_states(spark, sf_dir):
+    """The one state of every scanner and family."""
     i, tw = _twins(spark, sf_dir)
-    flagged = F.col("flagged")
-    state = F.when(F.bool_and(F.col("covered") & ~flagged), "discriminates").when(F.bool_and(F.col("miss") == F.col("spans")), "never-found").when(F.bool_and(flagged), "flags-every-twin").when(F.bool_or(flagged), "flags-some-twins").otherwise("partly-found")
-    return scoring.pair_twins(i.rows(), tw).where("flagged is not null").groupBy("scanner", F.col("scope_family").alias("family")).agg(F.count("*").alias("pairs"), state.alias("state"))
+    families = spark.createDataFrame(PROBED, "family string, reason string")
+    return scoring.twin_probe(i.rows(), tw, families, i.scanners)
 
 
 _SOME = _PAIRED.replace("JOIN tw USING (scanner, doc_id) WHERE ro.tier", "LEFT JOIN (SELECT * FROM tw WHERE doc_id % 4 < 2 OR doc_id % 10 = 9) tw USING (scanner, doc_id) WHERE ro.tier")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from spanwright.operators import calibration
 from spanwright.sources import fixtures as fx
 
 from .base import base
@@ -63,7 +64,8 @@ def retention_plan(spark, sf_dir):
 @add("WITH s AS (SELECT event_type, user_id % 10 AS run, quantile_disc(value, 0.5) AS m FROM events GROUP BY 1, 2) SELECT event_type, round((max(m) - min(m)) / min(m), 6) AS spread, max_by(run, m)::BIGINT AS slowest, greatest(0.05, ceil(20 * 2 * (max(m) / min(m) - 1)) / 20) AS trigger FROM s GROUP BY 1", plain=True)
 def noise_triggers(spark, sf_dir):
     """Spread of medians between runs, and the trigger of twice that noise in steps of five percent."""
-    s = fx.table(spark, sf_dir, "events").groupBy("event_type", (F.col("user_id") % 10).cast("long").alias("run")).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("m"))
+    e = fx.table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 10).cast("long").alias("run"), "value")
+    s = calibration.quantiles(e, ["event_type", "run"], "value", [0.5]).select("event_type", "run", F.get("quantiles", F.lit(0)).alias("m"))
     most, least = F.max("m"), F.min("m")
     trigger = F.greatest(F.lit(0.05), F.ceil(20 * 2 * (most / least - 1)) / 20)
     return s.groupBy("event_type").agg(F.round((most - least) / least, 6).alias("spread"), F.max_by("run", "m").alias("slowest"), trigger.alias("trigger"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanwright import streaming
 from spanwright.functions import text as tx
-from spanwright.operators import independence, scoring, variants
+from spanwright.operators import calibration, independence, scoring, variants
 from spanwright.sources import fixtures as fx
 
 from .measurement import Inputs, query
@@ -123,9 +123,10 @@ def surface_signatures(spark, sf_dir):
     return f.groupBy("scanner", "doc_id").agg(sign.alias("digest")).groupBy("doc_id").agg(F.count_distinct("digest").alias("signatures"), F.count("*").alias("scanners"))
 
 
-@add("WITH h AS (SELECT source, sha256(text) AS h FROM documents), b AS (SELECT source, h[1:4] AS part, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY 1, 2) SELECT source, sha256(string_agg(d, '' ORDER BY part)) AS digest, sum(n)::BIGINT AS documents FROM b GROUP BY 1", plain=True)
+@add("WITH h AS (SELECT source, sha256(doc_id || chr(9) || sha256(text)) AS h FROM documents), b AS (SELECT source, h[1:4] AS part, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY 1, 2) SELECT source, sha256(string_agg(d, '' ORDER BY part)) AS digest, sum(n)::BIGINT AS documents FROM b GROUP BY 1", plain=True)
 def frozen_digest(spark, sf_dir):
-    d = fx.table(spark, sf_dir, "documents").select("source", F.sha2("text", 256).alias("h"))
+    """A digest of each source's ids and texts, whatever their order."""
+    d = fx.table(spark, sf_dir, "documents").select("source", independence.entry(F.col("doc_id"), F.sha2("text", 256)).alias("h"))
     return independence.frozen_digest(d, "source", "h").withColumnRenamed("rows", "documents")
 
 
@@ -160,6 +161,5 @@ def monotone_lookup(spark, sf_dir):
 
 @add("WITH w AS (SELECT l_shipmode_key AS g, v, wt, sum(wt) OVER (PARTITION BY l_shipmode_key ORDER BY v) AS run, sum(wt) OVER (PARTITION BY l_shipmode_key) AS total FROM (SELECT l_linenumber AS l_shipmode_key, l_extendedprice AS v, sum(l_quantity) AS wt FROM lineitem GROUP BY 1, 2)) SELECT g, min(v) AS median FROM w WHERE run >= total / 2 GROUP BY 1", plain=True)
 def weighted_lower_median(spark, sf_dir):
-    x = fx.table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("g"), F.col("l_extendedprice").alias("v")).agg(F.sum("l_quantity").alias("wt"))
-    x = x.withColumn("run", F.sum("wt").over(Window.partitionBy("g").orderBy("v"))).withColumn("total", F.sum("wt").over(Window.partitionBy("g")))
-    return x.where(F.col("run") >= F.col("total") / 2).groupBy("g").agg(F.min("v").alias("median"))
+    x = fx.table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("g"), F.col("l_extendedprice").alias("v"), F.col("l_quantity").alias("wt"))
+    return calibration.quantiles(x, ["g"], "v", [0.5], "wt").select("g", F.get("quantiles", F.lit(0)).alias("median"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanwright.functions import lattice, ranges, stats, text, validators
-from spanwright.operators import scoring
+from spanwright.operators import calibration, scoring
 from spanwright.sources import fixtures as fx
 
 from .base import base, wilson_sql
@@ -253,17 +253,18 @@ def luhn_ssn_card(spark, sf_dir):
 @query("SELECT event_type, quantile_disc(value, 0.5) AS median, quantile_disc(value, 0.95) AS p95, count(*) AS n FROM events GROUP BY 1", plain=True)
 def nearest_rank_percentiles(spark, sf_dir):
     e = fx.table(spark, sf_dir, "events")
-    disc = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)")
-    return e.groupBy("event_type").agg(disc(0.5).alias("median"), disc(0.95).alias("p95"), F.count("*").alias("n"))
+    found = calibration.quantiles(e, ["event_type"], "value", [0.5, 0.95])
+    return e.groupBy("event_type").agg(F.count("*").alias("n")).join(found, "event_type", "left").select("event_type", F.get("quantiles", F.lit(0)).alias("median"), F.get("quantiles", F.lit(1)).alias("p95"), "n")
 
 
 @query("""WITH s AS (SELECT event_type, event_id % 2 AS side, quantile_disc(value, 0.5) AS m, quantile_disc(value, 0.95) AS p FROM events GROUP BY 1, 2)
 SELECT a.event_type, round(b.m / a.m, 6) AS median_ratio, round(b.p / a.p, 6) AS p95_ratio, CASE WHEN b.m / a.m > 1.05 THEN 'regression' WHEN b.p / a.p > 1.25 THEN 'invalid-measurement' ELSE 'within-budget' END AS verdict
 FROM s a JOIN s b ON a.event_type = b.event_type AND a.side = 0 AND b.side = 1""", plain=True)
 def paired_ratio_verdicts(spark, sf_dir):
-    e = fx.table(spark, sf_dir, "events").withColumn("side", F.col("event_id") % 2)
-    disc = lambda p, s: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value) FILTER (WHERE side = {s})")
-    x = e.groupBy("event_type").agg(disc(0.5, 0).alias("m0"), disc(0.5, 1).alias("m1"), disc(0.95, 0).alias("p0"), disc(0.95, 1).alias("p1"))
+    e = fx.table(spark, sf_dir, "events").select("event_type", "value", (F.col("event_id") % 2).alias("side"))
+    q = calibration.quantiles(e, ["event_type", "side"], "value", [0.5, 0.95])
+    one = lambda k, i: F.max(F.when(F.col("side") == k, F.get("quantiles", F.lit(i))))
+    x = q.groupBy("event_type").agg(one(0, 0).alias("m0"), one(1, 0).alias("m1"), one(0, 1).alias("p0"), one(1, 1).alias("p1")).where("m0 is not null and m1 is not null")
     m, p = F.col("m1") / F.col("m0"), F.col("p1") / F.col("p0")
     return x.select("event_type", F.round(m, 6).alias("median_ratio"), F.round(p, 6).alias("p95_ratio"), F.when(m > 1.05, "regression").when(p > 1.25, "invalid-measurement").otherwise("within-budget").alias("verdict"))
 

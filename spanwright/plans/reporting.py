@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanwright.functions import stats
-from spanwright.operators import independence, scoring
+from spanwright.functions import text as tx
+from spanwright.operators import calibration, independence, scoring
 from spanwright.sources import fixtures as fx
 
 from .base import base, wilson_sql
@@ -156,7 +157,9 @@ def replay_stability(spark, sf_dir):
 
 @add("WITH m AS (SELECT l_returnflag AS surface, quantile_disc(l_extendedprice, 0.95) AS p95, min(l_extendedprice) AS least, max(l_extendedprice) AS most FROM lineitem GROUP BY 1) SELECT surface, p95, least, most, p95 <= 100000 AS time_ok, least >= 900 AS rate_ok, CASE WHEN p95 <= 100000 AND least >= 900 THEN 'accepted' ELSE 'rejected' END AS verdict FROM m", plain=True)
 def acceptance_checks(spark, sf_dir):
-    x = fx.table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("surface")).agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY l_extendedprice)").alias("p95"), F.min("l_extendedprice").alias("least"), F.max("l_extendedprice").alias("most"))
+    rows = fx.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("surface"), "l_extendedprice")
+    p95 = calibration.quantiles(rows, ["surface"], "l_extendedprice", [0.95]).select("surface", F.get("quantiles", F.lit(0)).alias("p95"))
+    x = rows.groupBy("surface").agg(F.min("l_extendedprice").alias("least"), F.max("l_extendedprice").alias("most")).join(p95, "surface")
     a, b = F.col("p95") <= 100000, F.col("least") >= 900
     return x.select("surface", "p95", "least", "most", a.alias("time_ok"), b.alias("rate_ok"), F.when(a & b, "accepted").otherwise("rejected").alias("verdict"))
 
@@ -169,6 +172,24 @@ def independent_shapes(spark, sf_dir):
     return g.withColumn("upper_bound", F.least("shapes", "names"))
 
 
+@add(""", sp AS (SELECT doc_id, list({'s': s, 'e': e} ORDER BY s, e) AS sp FROM truth GROUP BY 1),
+sk0 AS (SELECT doc_id, text, list_reduce(list_prepend({'o': '', 'n': 0, 'z': 0}, list_transform(sp, lambda x: {'o': '', 'n': x.s, 'z': x.e})), lambda a, x: CASE WHEN x.n < a.z THEN a ELSE {'o': a.o || hex(encode(text)[a.z + 1:x.n]) || hex('⟨S⟩'), 'n': 0, 'z': x.z} END) AS r FROM sp JOIN docs USING (doc_id)),
+sk AS (SELECT doc_id, trim(regexp_replace(regexp_replace(decode(unhex(r.o || hex(encode(text)[r.z + 1:]))), '[A-Za-z0-9+/=_.~-]{16,}', '⟨V⟩', 'g'), '[ \t]+', ' ', 'g'), ' ') AS skeleton FROM sk0),
+va AS (SELECT t.family, t.doc_id, decode(encode(text)[t.s + 1:t.e]) AS value, d.source AS axis, skeleton FROM truth t JOIN docs d USING (doc_id) JOIN sk USING (doc_id)),
+fi AS (SELECT family, value, min_by(axis, doc_id) AS fa FROM va GROUP BY 1, 2), bo AS (SELECT va.*, fa FROM va JOIN fi USING (family, value)),
+li AS (SELECT DISTINCT family, axis AS a, fa AS b FROM bo WHERE axis <> fa), un AS (SELECT family, a, b FROM li UNION SELECT family, b, a FROM li),
+re AS (SELECT family, a AS node, list_sort(list_distinct(list_concat([a], list(b)))) AS n1 FROM un GROUP BY 1, 2),
+ax AS (SELECT family, count(*) AS nodes FROM re GROUP BY 1), lo AS (SELECT family, count(*) - count(DISTINCT root) AS lost FROM (SELECT r.family, r.node, min(least(list_min(r.n1), list_min(q.n1))) AS root FROM re r JOIN re q ON q.family = r.family AND list_contains(r.n1, q.node) GROUP BY 1, 2) GROUP BY 1)
+SELECT bo.family, count(DISTINCT doc_id) AS raw, count(DISTINCT value) AS distinct_values, count(DISTINCT skeleton) AS distinct_skeletons, least(count(DISTINCT value), count(DISTINCT skeleton)) AS upper_bound, count(DISTINCT axis) AS axes, count(DISTINCT axis) - coalesce(any_value(lost), 0) AS independent_axes, count(*) FILTER (axis <> fa) AS same_value_across_axes
+FROM bo LEFT JOIN lo ON lo.family = bo.family GROUP BY 1""")
+def independence_by_family(spark, sf_dir):
+    """How many positives of each family are independent in value, skeleton and source."""
+    rows = Inputs(spark, sf_dir).measured.where(F.size("truth") > 0)
+    rows = rows.select("doc_id", "text", F.col("source").alias("axis"), independence.skeleton(F.col("text"), F.col("truth")).alias("skeleton"), F.explode("truth").alias("v"))
+    values = rows.select(F.col("v.family").alias("family"), "doc_id", tx.byte_slice(F.col("text"), F.col("v.start"), F.col("v.end")).alias("value"), "axis", "skeleton")
+    return independence.by_family(values, spark)
+
+
 @add("WITH t AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'click'), q AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error'), c AS (SELECT q.event_id, max(t.ts) AS ts FROM q JOIN t ON t.user_id = q.user_id AND t.ts <= q.ts GROUP BY 1) SELECT q.event_id, c.ts AS click_ts FROM q JOIN c USING (event_id)", plain=True)
 def as_of_click(spark, sf_dir):
     """Extra: the latest click of the same user at or before each error, by one sort of both streams."""

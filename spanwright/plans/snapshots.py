@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanwright.operators import calibration, snapshots
-from spanwright.sources import cases
+from spanwright.sources import bundles, cases
 from spanwright.sources import fixtures as fx
 from spanwright.storage import new_path
+from spanwright.streaming import chunks
 
 from .base import base
 from .evaluation import add
@@ -58,11 +59,15 @@ def snapshot_contrast(spark, sf_dir):
     return snapshots.contrast(before, after, ["scanner", "doc_id"], _KEPT).withColumn("differing", F.array_join("differing", ","))
 
 
-@add("WITH o AS (SELECT o_custkey, o_orderkey % 3 AS a, o_orderkey % 12 AS b, o_orderdate AS seen FROM orders), s AS (SELECT o_custkey, a, b, min(seen) AS first_seen FROM o GROUP BY 1, 2, 3) SELECT o_custkey, 'v' || a || '.' || b AS newest, first_seen FROM s QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY a DESC, b DESC) = 1", plain=True)
+_TAIL = "CASE o_orderkey % 5 WHEN 0 THEN '-alpha.' || o_orderkey % 11 WHEN 1 THEN '-beta.' || o_orderkey % 11 ELSE '' END"
+
+
+@add(f"WITH o AS (SELECT o_custkey, o_orderkey % 3 AS a, o_orderkey % 12 AS b, {_TAIL} AS t, least(o_orderkey % 5, 2) AS w, CASE WHEN o_orderkey % 5 < 2 THEN o_orderkey % 11 ELSE 0 END AS n, o_orderdate AS seen FROM orders), s AS (SELECT o_custkey, a, b, t, w, n, min(seen) AS first_seen FROM o GROUP BY ALL) SELECT o_custkey, 'v' || a || '.' || b || t AS newest, first_seen FROM s QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY a DESC, b DESC, (w + 1) % 3 DESC, n DESC) = 1", plain=True)
 def newest_versions(spark, sf_dir):
-    """The newest version of each customer and when it was first seen."""
+    """The newest version of each customer and when it was first seen; a release comes before the words that go on from it."""
     o, k = fx.table(spark, sf_dir, "orders"), F.col("o_orderkey")
-    return snapshots.newest(o.withColumn("version", F.concat(F.lit("v"), (k % 3).cast("string"), F.lit("."), (k % 12).cast("string"))), "o_custkey", "version", "o_orderdate")
+    tail = F.when(k % 5 == 0, F.concat(F.lit("-alpha."), (k % 11).cast("string"))).when(k % 5 == 1, F.concat(F.lit("-beta."), (k % 11).cast("string"))).otherwise("")
+    return snapshots.newest(o.withColumn("version", F.concat(F.lit("v"), (k % 3).cast("string"), F.lit("."), (k % 12).cast("string"), tail)), "o_custkey", "version", "o_orderdate")
 
 
 @add("SELECT 2 * r + p AS place, r AS round, CASE WHEN r % 2 = p THEN 'baseline' ELSE 'candidate' END AS side FROM range(8) t(r), range(2) u(p)", plain=True)
@@ -94,3 +99,20 @@ def half_weights(spark, sf_dir):
     """Weights under which generated rows are no more than half of all."""
     c = fx.table(spark, sf_dir, "lineitem").groupBy("l_linestatus", (F.col("l_returnflag") != "R").alias("generated")).agg(F.count("*").alias("n"))
     return calibration.half_weights(c).withColumn("weight", F.round("weight", 6))
+
+
+@add('SELECT scanner, doc_id, family, s AS start, e AS "end", action FROM fnd')
+def cached_observations(spark, sf_dir):
+    """Findings stored by content and read through the current bundle; storing the same rows in another order writes nothing."""
+    found, root = Inputs(spark, sf_dir).findings, new_path(spark, "bundles")
+    bundles.commit(spark, root, {"findings": found})
+    _, wrote = bundles.commit(spark, root, {"findings": found.repartition(5)})
+    if wrote:
+        raise ValueError("equal rows were stored twice")
+    return bundles.resolve(spark, root)["findings"]
+
+
+@add('SELECT doc_id, family, s AS start, e AS "end", es AS env_start, ee AS env_end FROM truth')
+def chunked_values(spark, sf_dir):
+    """True values of documents that come in chunks of 97 bytes."""
+    return chunks.values(chunks.cut(fx.documents(spark, sf_dir), 97))
