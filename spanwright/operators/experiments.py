@@ -9,7 +9,8 @@ grows with cells, configurations and folds, never with rows.
 Rows have ``fold``, ``evaluation`` (not fitted on), ``positive`` (null takes no
 part), ``independent`` (a control that is no twin), ``context``, ``negative``
 (booleans) and whole-number measures; nulls in booleans count as false, in
-measures as 0. Only development rows fit anything.
+measures as 0. Measures may have any name but those and n and w. Only development
+rows fit anything.
 """
 
 from __future__ import annotations
@@ -107,7 +108,8 @@ def histograms(counted: DataFrame, specs: list[Spec], measures: list[str]) -> Da
     folds = counted.where(~F.col("evaluation")).select(F.col("fold").alias("left_out")).distinct().unionByName(spark.createDataFrame([(ALL,)], "left_out string"))
     table = spark.createDataFrame([(i, list(s.randomness), list(s.lexical), s.r, s.l, s.c) for i, s in enumerate(specs)], "spec int, randomness array<string>, lexical array<string>, r int, l int, c int")
     values = F.map_from_arrays(F.array(*map(F.lit, measures)), F.array(*measures))
-    every = counted.withColumn("values", values).join(F.broadcast(_ramps(counted, folds, measures)))  # a row a fold
+    plain = counted.select("fold", "evaluation", "positive", "independent", "context", "negative", "n", "w", values.alias("values"))
+    every = plain.join(F.broadcast(_ramps(counted, folds, measures)))  # a row a fold
     every = every.where(~F.col("evaluation") | (F.col("left_out") == ALL)).join(F.broadcast(table))  # a row a configuration
     score = _group(F.col("randomness"), F.col("r"), F.col("values")) + _group(F.col("lexical"), F.col("l"), F.col("values")) + F.when(F.col("context"), F.col("c")).otherwise(0)
     score = F.when(F.col("negative"), 0).otherwise(score)  # negative evidence weighs as much as all positive evidence

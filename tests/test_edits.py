@@ -33,7 +33,7 @@ def test_hunks_lead_from_one_text_to_the_other():
 
 
 def test_twin_audit(spark):
-    value, other = "zz_ABCDEFGHIJKL", "qq_MNOPQRSTUVWX"
+    value, other = "zz_ABCDEFGHIJKL", "zz_MNOPQRSTUVWX"
     text = f"# api key for service\nAPI_KEY={value}\n"
     start = text.index(value)
     twins = [
