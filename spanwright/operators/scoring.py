@@ -67,18 +67,21 @@ def score_rows(fixtures: DataFrame, spans: DataFrame, findings: DataFrame, scann
     return rows.withColumn("flagged", (F.col("kind") == "must-not-flag") & (F.col("findings") > 0))
 
 
-def score_documents(rows: DataFrame, scanners: list[str]) -> DataFrame:
+def score_documents(rows: DataFrame, scanners: list[str], companions: str | None = None) -> DataFrame:
     """A row a scanner and document of rows (truth and found, arrays of spans and findings, among others), without a shuffle.
 
     scanner; own: its findings; merged: their union; scored: the spans with
     outcome and leaked_bytes (see ``score_spans``); collateral_bytes: those of the
-    union outside what the spans allow.
+    union outside what the spans allow. The column ``companions``, if named, is an
+    array of ranges (start, end) that belong to a value: they are not scored, and
+    their bytes are no collateral.
     """
     each = rows.withColumn("scanner", F.explode(F.array(*map(F.lit, scanners))))
     each = each.withColumn("own", F.filter("found", lambda f: f["scanner"] == F.col("scanner")))
     each = each.withColumn("merged", lattice.union(lattice.as_ranges(F.col("own"))))
     each = each.withColumn("scored", lattice.scored(F.col("truth"), F.col("own"), F.col("merged")))
-    allowed = lattice.union(lattice.envelopes(F.col("truth")))
+    allowed = lattice.envelopes(F.col("truth"))
+    allowed = lattice.union(allowed if companions is None else F.concat(allowed, lattice.as_ranges(F.col(companions))))
     outside = lattice.let(allowed, lambda a: lattice.total(F.col("merged")) - lattice.shared_bytes(F.col("merged"), a))
     return each.withColumn("collateral_bytes", outside)
 
@@ -94,6 +97,26 @@ def row_counts(each: DataFrame) -> DataFrame:
     }).drop("own", "merged")
 
 
+def diagnostics(each: DataFrame) -> DataFrame:
+    """score_documents with tp, fp, fn and tn of exact ranges (no headline figures), and code, the result of a row in short.
+
+    A span that a finding equals is tp, any other fn; a finding that equals no span
+    is fp, one of equal range counts once. Of a control every finding is fp, and
+    silence is tn. code: the outcomes of the spans in order; clean or flagged:n of
+    a control; observed:n of a row that isn't assessed.
+    """
+    ranges = F.array_distinct(lattice.as_ranges(F.col("own")))
+    control, n = F.size("truth") == 0, F.size(ranges).cast("long")
+    tp = F.size(F.filter("scored", lambda s: s["outcome"] == "EXACT")).cast("long")
+    listed = F.array_sort(F.transform("scored", lambda s: F.struct(s["start"], s["end"], s["family"], s["outcome"].alias("outcome"))))
+    code = (
+        F.when(F.col("tier") == "T0", F.concat(F.lit("observed:"), n.cast("string"))).when(control & (n == 0), "clean").when(control, F.concat(F.lit("flagged:"), n.cast("string")))
+        .otherwise(F.array_join(F.transform(listed, lambda s: s["outcome"]), ","))
+    )
+    other = F.size(F.array_except(ranges, lattice.as_ranges(F.col("truth")))).cast("long")
+    return each.withColumns({"tp": tp, "fn": F.size("scored").cast("long") - tp, "fp": other, "tn": F.when(control & (n == 0), 1).otherwise(0), "code": code})
+
+
 def control_counts(each: DataFrame) -> DataFrame:
     """The counts of ``score_controls`` for rows with scanner, scope_family and own (see ``score_documents``)."""
     other = lambda f: f["family"].isNotNull() & F.col("scope_family").isNotNull() & (f["family"] != F.col("scope_family"))

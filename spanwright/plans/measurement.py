@@ -87,6 +87,25 @@ def bytes_outside(spark, sf_dir):
     return rows.select("scanner", "doc_id", F.col("collateral_bytes").alias("outside"))
 
 
+_DIAGNOSED = """, ex AS (SELECT scanner, doc_id, count(*) FILTER (outcome = 'EXACT') AS tp, count(*) AS spans, string_agg(outcome, ',' ORDER BY s, e, family) AS code FROM so GROUP BY 1, 2),
+fd AS (SELECT DISTINCT scanner, doc_id, s, e FROM fnd), fp AS (SELECT fd.scanner, fd.doc_id, count(*) AS n, count(*) FILTER (t.doc_id IS NULL) AS fp FROM fd LEFT JOIN (SELECT DISTINCT doc_id, s, e FROM truth) t USING (doc_id, s, e) GROUP BY 1, 2),
+cl0 AS (SELECT scanner, doc_id, s, e FROM al UNION ALL SELECT scanner, doc_id, s, e FROM lic CROSS JOIN sc), cl1 AS (SELECT *, max(e) OVER (PARTITION BY scanner, doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM cl0),
+cl2 AS (SELECT *, sum((pm IS NULL OR s > pm)::INTEGER) OVER (PARTITION BY scanner, doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM cl1), cl AS (SELECT scanner, doc_id, min(s) AS s, max(e) AS e FROM cl2 GROUP BY scanner, doc_id, g),
+ci AS (SELECT i.scanner, i.doc_id, sum(least(i.e, c.e) - greatest(i.s, c.s)) AS b FROM isl i JOIN cl c ON c.scanner = i.scanner AND c.doc_id = i.doc_id AND i.s < c.e AND c.s < i.e GROUP BY 1, 2), ct AS (SELECT scanner, doc_id, sum(e - s) AS b FROM isl GROUP BY 1, 2)
+SELECT sc.scanner, fx.doc_id, (coalesce(ct.b, 0) - coalesce(ci.b, 0))::BIGINT AS collateral_bytes, coalesce(ex.tp, 0) AS tp, coalesce(fp.fp, 0) AS fp, coalesce(ex.spans - ex.tp, 0) AS fn, CASE WHEN ex.spans IS NULL AND fp.n IS NULL THEN 1 ELSE 0 END AS tn,
+CASE WHEN tier = 'T0' THEN 'observed:' || coalesce(fp.n, 0) WHEN ex.spans IS NOT NULL THEN ex.code WHEN fp.n IS NULL THEN 'clean' ELSE 'flagged:' || fp.n END AS code
+FROM fx CROSS JOIN sc LEFT JOIN ex ON ex.scanner = sc.scanner AND ex.doc_id = fx.doc_id LEFT JOIN fp ON fp.scanner = sc.scanner AND fp.doc_id = fx.doc_id LEFT JOIN ct ON ct.scanner = sc.scanner AND ct.doc_id = fx.doc_id LEFT JOIN ci ON ci.scanner = sc.scanner AND ci.doc_id = fx.doc_id"""
+
+
+@query(_DIAGNOSED)
+def row_diagnostics(spark, sf_dir):
+    """Exact matches, codes and collateral bytes of every row, where licence words are companions."""
+    rows = Inputs(spark, sf_dir).measured
+    rows = rows.withColumn("companions", F.coalesce(ranges.match_ranges(F.col("text"), fx.LICENCE), F.array().cast("array<struct<start:int,end:int>>")))
+    each = scoring.diagnostics(scoring.score_documents(rows, fx.SCANNERS, "companions"))
+    return each.select("scanner", "doc_id", "collateral_bytes", "tp", "fp", "fn", "tn", "code")
+
+
 @query("SELECT scanner, doc_id, s AS start, e AS \"end\", count(*) AS reported, max(family) AS family FROM fnd GROUP BY 1, 2, 3, 4")
 def finding_dedup(spark, sf_dir):
     return Inputs(spark, sf_dir).findings.groupBy("scanner", "doc_id", "start", "end").agg(F.count("*").alias("reported"), F.max("family").alias("family"))

@@ -105,6 +105,24 @@ def test_scores_in_rows_equal_those_of_joins(spark):
     assert sorted(map(tuple, own.collect())) == sorted(map(tuple, joined.collect()))
 
 
+def test_companions_and_diagnostics(spark):
+    """Companion bytes are no collateral, nor are they scored; codes and exact counts of rows."""
+    finding = lambda s, e, f=None: ("t", f, s, e, "redact")
+    span = lambda s, e, a=None, b=None: ("f", s, e, a, b)
+    rows = [
+        (1, "must-redact", "T1", [span(10, 20)], [(0, 4)], [finding(0, 4), finding(10, 20)]), (2, "must-redact", "T1", [span(5, 10), span(20, 30, 18, 32)], [], [finding(0, 100)]), (3, "must-redact", "T2", [span(5, 10), span(20, 30)], [], []),
+        (4, "must-not-flag", "T2", [], [(0, 4)], [finding(0, 4)]), (5, "must-not-flag", "T2", [], [], []), (6, "must-redact", "T0", [span(1, 2)], [], [finding(0, 1)]), (7, "policy", "T3", [span(10, 20)], [], [finding(10, 15), finding(10, 15, "g")]),
+    ]
+    frame = spark.createDataFrame(rows, f"doc_id int, kind string, tier string, truth array<{fx.SPAN}>, companions array<struct<start:int,end:int>>, found array<{fx.FINDING}>")
+    each = scoring.diagnostics(scoring.score_documents(frame, ["t"], "companions"))
+    got = {r["doc_id"]: (r["code"], r["tp"], r["fp"], r["fn"], r["tn"], r["collateral_bytes"]) for r in each.collect()}
+    assert got == {
+        1: ("EXACT", 1, 1, 0, 0, 0), 2: ("OVERBROAD,OVERBROAD", 0, 1, 2, 0, 100 - 5 - 14), 3: ("MISS,MISS", 0, 0, 2, 0, 0), 4: ("flagged:1", 0, 1, 0, 0, 0), 5: ("clean", 0, 0, 0, 1, 0), 6: ("observed:1", 0, 1, 1, 0, 1), 7: ("PARTIAL", 0, 1, 1, 0, 0),
+    }
+    leaked = {r["doc_id"]: r["leaked_bytes"] for r in scoring.row_counts(scoring.score_documents(frame, ["t"], "companions")).collect()}
+    assert leaked[3] == 15 and leaked[7] == 5
+
+
 def test_union_and_outcome_of_arrays(spark):
     row = spark.sql("select array(named_struct('start', 5, 'end', 9), named_struct('start', 0, 'end', 5), named_struct('start', 20, 'end', 21), named_struct('start', 6, 'end', 7)) as r")
     assert [tuple(x) for x in row.select(lattice.union(F.col("r"))).first()[0]] == [(0, 9), (20, 21)]
