@@ -13,8 +13,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "group_accounting_v11", "span_outcome_lattice", "interval_union", "method_summaries_grouping_sets", "pair_model_cells", "candidate_verdicts",
     "generated_variants", "duplicate_clusters", "band_threshold_sweep", "ece_brier", "nearest_rank_percentiles", "connected_components",
-    "twin_accounting", "same_detection_assertions", "near_duplicate_pairs", "negative_class",
-    "op1_language_id", "op2_exact_topk", "op3_substring_dedup", "op4_token_orc", "op5_ann", "op6_ngram_join", "op7_pii", "op8_licenses", "op9_mixing", "op10_sentencepiece", "pipeline",
+    "twin_accounting", "same_detection_assertions", "near_duplicate_pairs", "negative_class", "twin_edits", "evasion_outcomes", "leaked_fragments", "rekeyed_entries", "row_diagnostics",
+    "op1_language_id", "op2_exact_topk", "op3_substring_dedup", "op4_token_orc", "op5_ann", "op6_ngram_join", "op7_pii", "op8_licenses", "op9_mixing", "op10_sentencepiece", "op11_spelling", "op12_filter_audit", "op13_decontamination", "pipeline",
 ]
 
 

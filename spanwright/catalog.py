@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanwright.plans import candidates, comparison, documents, edits, evaluation, evasion, experiments, linking, measurement, reporting, snapshots
+from spanwright.plans import candidates, comparison, documents, edits, evaluation, evasion, experiments, linking, measurement, personal, reporting, snapshots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = measurement.QUERIES  # each module adds its own
 ORACLE_SQL: dict[str, str] = measurement.ORACLE_SQL

@@ -194,3 +194,34 @@ def test_differences_by_meaning(spark):
     pairs = spark.createDataFrame([(1, json.dumps(a), json.dumps(b)), (2, "{", "{}"), (3, None, "{}"), (4, "{}", "{}")], "id int, before string, after string")
     got = {(r["id"], r["kind"], r["class"]) for r in jsondiff.effects(pairs, rules, [("^/rows/", "outcome"), ("^/v$", "identity")]).collect()}
     assert got == {(1, "/v", "identity"), (1, "/new", "unexplained"), (1, "/skip", "unexplained"), (1, "/rows/*(removed)", "outcome"), (1, "/rows/*(added)", "outcome"), (1, "/rows/*/n", "outcome"), (2, "", "unexplained"), (3, "", "unexplained")}
+
+
+def test_personal_outcomes_and_metrics(spark):
+    """Every outcome of a type, and the precedence of what a case counts as."""
+    from spanwright.operators import personal
+
+    finding = "struct<start:int,end:int,family:string,action:string,jurisdiction:string>"
+    f = lambda s=0, e=9, family="us-id", j="same": (s, e, family, "redact", j)
+    cases = [
+        (True, True, f()), (True, True, f(family=None)), (True, True, f(family="x")), (True, True, f(family="x", j="other")), (True, False, f(family="x", j="other")), (True, True, f(j=None)), (True, True, f(j="other")), (True, False, f(j=None)),
+        (True, True, None), (False, True, None), (False, True, f()),
+    ]
+    rows = spark.createDataFrame(cases, f"valid boolean, scoped boolean, finding {finding}")
+    got = [r[0]["state"] for r in rows.select(personal.type_outcome(F.col("valid"), F.lit("us-id"), F.col("scoped"), F.col("finding"))).collect()]
+    assert got == ["correct", "not-measured", "wrong-family", "wrong-jurisdiction", "wrong-family", "not-measured", "wrong-jurisdiction", "correct", "miss", "invalid-correct", "invalid-accepted"]
+    ranges = spark.createDataFrame([(f(0, 9),), (f(0, 12),), (f(3, 12),), (None,)], f"finding {finding}").select(personal.range_outcome(F.lit(0), F.lit(9), F.col("finding"))).collect()
+    assert [r[0] for r in ranges] == ["exact", "overbroad", "partial", "miss"]
+    row = lambda case, method, type_, sens, sensed, cls="sensitive", r="exact": ("t", case, method, True, False, sens, cls, type_, sensed, r)
+    good, bad, open_, gone = ("pass", "correct"), ("fail", "miss"), ("review-required", "unresolved"), ("not-measured", "not-measured")
+    table = [
+        row(1, "context-discrimination", good, "sensitive", good), row(1, "context-discrimination", bad, "non-sensitive", good, "non-sensitive", "miss"), row(1, "context-discrimination", good, "not-established", open_, "neutral"),
+        row(2, "context-discrimination", gone, "sensitive", bad), row(3, "pii-benign", good, "non-sensitive", ("fail", "false-positive"), r="partial"), row(4, "jurisdiction-collision", good, "sensitive", good),
+    ]
+    schema = "scanner string, case_id int, method string, valid boolean, scoped boolean, sensitivity string, context_class string, type struct<status:string,state:string>, sensed struct<status:string,state:string>, range string"
+    got = {r["metric"]: r for r in personal.account(spark.createDataFrame(table, schema)).collect()}
+    counts = lambda m: tuple(got[m][c] for c in ("total", "eligible", "measured", "numerator", "unresolved", "not_measured"))
+    assert counts("type-miss-rate") == (4, 4, 3, 1, 0, 1) and got["type-miss-rate"]["status"] == "partial" and got["type-miss-rate"]["rate"] is None
+    assert counts("context-discrimination-rate") == (2, 2, 2, 1, 0, 0) and counts("benign-suppression-rate") == (4, 1, 1, 0, 0, 0) and counts("jurisdiction-collision-rate") == (4, 1, 1, 1, 0, 0)
+    assert counts("sensitive-miss-rate") == (4, 3, 3, 1, 0, 0) and counts("range-collateral-rate") == (4, 4, 4, 1, 0, 0) and counts("wrong-jurisdiction-rate")[1] == 0 and got["wrong-jurisdiction-rate"]["status"] == "not-applicable"
+    share = got["measurable-share"]
+    assert (share["total"], share["effective_n"], share["numerator"], share["unresolved"], share["not_measured"]) == (8, 8, 6, 1, 1) and share["rate"] == 0.75
