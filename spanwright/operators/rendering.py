@@ -67,7 +67,11 @@ def target_outcomes(truth: DataFrame, findings: DataFrame, scanners: DataFrame)
     return best.select("scanner", "doc_id", "family", "start", "end", state.alias("outcome"))
 
 
-def unexpected(truth: DataFrame, findings: DataFrame) -> DataFrame:
-    """Findings that share no byte with a target of their document."""
+def unexpected(truth: DataFrame, findings: DataFrame, companions: DataFrame | None = None) -> DataFrame:
+    """Findings that share no byte with a target of their document and do not lie within one of its companions (doc_id, start, end)."""
     t = truth.select("doc_id", F.col("start").alias("t_start"), F.col("end").alias("t_end"))
-    return findings.join(t, (findings["doc_id"] == t["doc_id"]) & (F.col("start") < F.col("t_end")) & (F.col("t_start") < F.col("end")), "left_anti")
+    out = findings.join(t, (findings["doc_id"] == t["doc_id"]) & (F.col("start") < F.col("t_end")) & (F.col("t_start") < F.col("end")), "left_anti")
+    if companions is None:
+        return out
+    c = companions.select(F.col("doc_id").alias("c_doc"), F.col("start").alias("c_start"), F.col("end").alias("c_end"))
+    return out.join(c, (F.col("doc_id") == F.col("c_doc")) & (F.col("start") >= F.col("c_start")) & (F.col("end") <= F.col("c_end")), "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,9 +31,10 @@ def newest(rows: DataFrame, key: str, version: str, at: str) -> DataFrame:
     return seen.groupBy(key).agg(pick.alias("x")).select(key, "x.newest", "x.first_seen")
 
 
-def round_order(spark: SparkSession, rounds: int) -> DataFrame:
-    """place, round, side: each side runs first in every other round."""
-    one = spark.range(2 * rounds).select(F.col("id").alias("place"), F.floor(F.col("id") / 2).alias("round"))
+def round_order(groups: DataFrame, by: str, rounds: str) -> DataFrame:
+    """by, place, round, side: the schedule of as many rounds as each group has, in which each side runs first in every other round."""
+    one = groups.where(F.col(rounds) > 0).select(by, F.explode(F.sequence(F.lit(0).cast("long"), 2 * F.col(rounds).cast("long") - 1)).alias("place"))
+    one = one.withColumn("round", F.floor(F.col("place") / 2))
     return one.withColumn("side", F.when((F.col("round") % 2) == (F.col("place") % 2), "baseline").otherwise("candidate"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spanwright.functions import features
 from spanwright.functions import text as tx
-from spanwright.operators import corpus, rendering
+from spanwright.operators import corpus, independence, rendering
 from spanwright.sources import fixtures as fx
 
 from .base import base
@@ -119,11 +119,12 @@ def repeated_rows(spark, sf_dir):
     return corpus.repeated(docs, "doc_id", {"sha": F.sha2("text", 256), "length": F.concat(F.octet_length("text").cast("string"), F.col("source"))})
 
 
-@add("SELECT CASE WHEN doc_id % 7 = 0 THEN -1 - doc_id ELSE doc_id END AS id, unnest(CASE WHEN doc_id % 7 = 0 THEN ['removed'] WHEN doc_id % 15 = 0 THEN ['regrouped', 'edited'] WHEN doc_id % 3 = 0 THEN ['regrouped'] WHEN doc_id % 5 = 0 THEN ['edited'] ELSE [] END) AS problem FROM documents WHERE text IS NOT NULL", plain=True)
+@add("SELECT CASE WHEN doc_id % 7 = 0 THEN -1 - doc_id ELSE doc_id END AS id, unnest(CASE WHEN doc_id % 7 = 0 THEN ['removed'] WHEN doc_id % 15 = 0 THEN ['regrouped', 'edited'] WHEN doc_id % 3 = 0 THEN ['regrouped'] WHEN doc_id % 5 = 0 THEN ['edited'] ELSE [] END) AS problem FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, 'repeated' FROM documents WHERE text IS NOT NULL AND doc_id % 21 = 4 UNION ALL SELECT NULL, 'stale-digest'", plain=True)
 def frozen_subset_problems(spark, sf_dir):
-    """The present documents against an older state of them, in which some ids, sources and texts are others."""
+    """The present documents against an older state of them, in which some ids, sources and texts are others, some ids stand twice, and the digest noted is that of the present."""
     docs = fx.table(spark, sf_dir, "documents").where("text is not null")
     now = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("group"), F.sha2("text", 256).alias("sha256"))
     i = F.col("id")
     old = now.select(F.when(i % 7 == 0, -1 - i).otherwise(i).alias("id"), F.when(i % 3 == 0, F.lit("older")).otherwise(F.col("group")).alias("group"), F.when(i % 5 == 0, F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("sha256"))
-    return corpus.frozen_problems(old, now)
+    noted = independence.frozen_digest(now.select(F.lit(1).alias("all"), independence.entry(F.col("id"), F.col("sha256")).alias("h")), "all", "h").first()
+    return corpus.frozen_problems(old.unionByName(old.where(i % 21 == 4)), now, noted["digest"] if noted else "")

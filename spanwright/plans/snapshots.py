@@ -70,9 +70,11 @@ def newest_versions(spark, sf_dir):
     return snapshots.newest(o.withColumn("version", F.concat(F.lit("v"), (k % 3).cast("string"), F.lit("."), (k % 12).cast("string"), tail)), "o_custkey", "version", "o_orderdate")
 
 
-@add("SELECT 2 * r + p AS place, r AS round, CASE WHEN r % 2 = p THEN 'baseline' ELSE 'candidate' END AS side FROM range(8) t(r), range(2) u(p)", plain=True)
+@add("WITH d AS (SELECT event_type, count(DISTINCT date_trunc('day', ts)) AS n FROM events GROUP BY 1), p AS (SELECT event_type, unnest(range(2 * n)) AS place FROM d) SELECT event_type, place, place // 2 AS round, CASE WHEN place // 2 % 2 = place % 2 THEN 'baseline' ELSE 'candidate' END AS side FROM p", plain=True)
 def round_schedule(spark, sf_dir):
-    return snapshots.round_order(spark, 8)
+    """A round for each day of an event type, the sides taking turns at being first."""
+    days = fx.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_distinct(F.date_trunc("day", "ts")).alias("n"))
+    return snapshots.round_order(days, "event_type", "n")
 
 
 # Least share of spans found, by kind.

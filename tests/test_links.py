@@ -225,3 +225,21 @@ def test_personal_outcomes_and_metrics(spark):
     assert counts("sensitive-miss-rate") == (4, 3, 3, 1, 0, 0) and counts("range-collateral-rate") == (4, 4, 4, 1, 0, 0) and counts("wrong-jurisdiction-rate")[1] == 0 and got["wrong-jurisdiction-rate"]["status"] == "not-applicable"
     share = got["measurable-share"]
     assert (share["total"], share["effective_n"], share["numerator"], share["unresolved"], share["not_measured"]) == (8, 8, 6, 1, 1) and share["rate"] == 0.75
+
+
+def test_frozen_rows_and_companions(spark):
+    from spanwright.operators import corpus, independence, rendering
+
+    schema = "id int, group string, sha256 string"
+    now = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, "c", "z")], schema)
+    old = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (2, "q", "w"), (9, "a", "x")], schema)
+    digest = lambda rows: independence.frozen_digest(rows.select(F.lit(1).alias("k"), independence.entry(F.col("id"), F.col("sha256")).alias("h")), "k", "h").first()["digest"]
+    got = {tuple(r) for r in corpus.frozen_problems(old, now, digest(now)).collect()}
+    assert got == {(1, "repeated"), (2, "regrouped"), (2, "edited"), (9, "removed"), (None, "stale-digest")}
+    assert corpus.frozen_problems(now, now, digest(now)).count() == 0
+    swapped = spark.createDataFrame([(1, "a", "y"), (2, "b", "x"), (3, "c", "z")], schema)
+    assert digest(swapped) != digest(now)
+    spans = "doc_id int, start int, end int"
+    found = spark.createDataFrame([(1, 0, 4), (1, 10, 12), (1, 30, 40), (2, 0, 4)], spans)
+    left = rendering.unexpected(spark.createDataFrame([(1, 11, 20)], spans), found, spark.createDataFrame([(1, 0, 5), (1, 31, 45)], spans))
+    assert {tuple(r) for r in left.collect()} == {(1, 30, 40), (2, 0, 4)}

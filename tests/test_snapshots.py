@@ -45,7 +45,7 @@ def test_contrast(spark):
 def test_versions_rounds_and_margins(spark):
     seen = spark.createDataFrame([("a", "v1.9", 1), ("a", "v1.10", 3), ("a", "v1.10", 2), ("b", "v2", 5)], "k string, v string, t int")
     assert {tuple(r) for r in snapshots.newest(seen, "k", "v", "t").collect()} == {("a", "v1.10", 2), ("b", "v2", 5)}
-    assert [r["side"][0] for r in snapshots.round_order(spark, 4).orderBy("place").collect()] == list("bccbbccb")
+    assert [r["side"][0] for r in snapshots.round_order(spark.createDataFrame([("x", 4), ("y", 0)], "k string, n int"), "k", "n").orderBy("place").collect()] == list("bccbbccb")
     groups = spark.createDataFrame([("s", "x", 0.8, 0.9), ("s", "y", 0.6, 0.5), ("s", "z", 0.0, 0.0), ("s", "w", None, 0.9)], "s string, g string, point double, floor double")
     assert [tuple(r) for r in snapshots.lowest_margin(groups, "s", ["g"], "point", "floor").collect()] == [("s", "x", 0.8, 0.9, False)]
 
