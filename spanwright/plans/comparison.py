@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spanwright.operators import calibration
+from spanwright.operators import calibration, scoring
 from spanwright.sources import fixtures as fx
 
 from .base import base
@@ -22,7 +22,9 @@ def factorial_effects(spark, sf_dir):
 
     def cells(version):
         leak = F.col("outcome").isin("PARTIAL", "MISS").cast("int")
-        s = Inputs(spark, sf_dir, version).spans().where(F.col("scanner").isin("cut", "wide"))
+        rows = Inputs(spark, sf_dir, version).measured.where(F.size("truth") > 0)
+        each = scoring.score_documents(rows, ["cut", "wide"])
+        s = each.select("scanner", "doc_id", F.explode_outer("scored").alias("s")).select("scanner", "doc_id", "s.family", "s.start", "s.outcome").where(F.col("scanner").isin("cut", "wide"))
         pick = lambda name: F.max(F.when(F.col("scanner") == name, leak)).alias(f"{name}{version}")
         return s.groupBy("doc_id", "family", "start").agg(pick("cut"), pick("wide"))
 
