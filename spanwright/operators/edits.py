@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanwright.functions.text import let
+
 MERGE_GAP, MOST_CELLS = 3, 4_000_000
 _HUNK = "array<struct<a_start:int,a_end:int,b_start:int,b_end:int>>"
 
@@ -125,11 +127,11 @@ def audit_twins(twins: DataFrame, positives: DataFrame) -> DataFrame:
 
 
 def _shared_bytes(a: Column, b: Column, from_end: bool) -> Column:
-    """Bytes that two binary values share at one end, by halving."""
+    """Bytes that two binary values share at one end, by halving; a step compares only the bytes that it adds."""
     most = F.least(F.octet_length(a), F.octet_length(b))
-    cut = (lambda x, n: F.substring(x, F.octet_length(x) - n + 1, n)) if from_end else (lambda x, n: F.substring(x, F.lit(1), n))
+    cut = (lambda x, at, n: F.substring(x, F.octet_length(x) - at - n + 1, n)) if from_end else (lambda x, at, n: F.substring(x, at + 1, n))
     steps = F.array(*[F.lit(1 << k) for k in range(29, -1, -1)])
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= most) & (cut(a, at + step) == cut(b, at + step)), at + step).otherwise(at))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= most) & (cut(a, at, step) == cut(b, at, step)), at + step).otherwise(at))
 
 
 def changed_range(a: Column, b: Column) -> Column:
@@ -137,8 +139,11 @@ def changed_range(a: Column, b: Column) -> Column:
 
     The common end never reaches into the common beginning.
     """
-    raw_a, raw_b = F.encode(a, "UTF-8"), F.encode(b, "UTF-8")
-    head = _shared_bytes(raw_a, raw_b, False)
-    room = F.least(F.octet_length(raw_a), F.octet_length(raw_b)) - head
-    tail = F.least(_shared_bytes(raw_a, raw_b, True), room)
-    return F.when(a != b, F.struct(head.alias("start"), (F.octet_length(raw_a) - tail).alias("a_end"), (F.octet_length(raw_b) - tail).alias("b_end")))
+
+    def ends(x: Column) -> Column:
+        room = F.least(F.octet_length(x["a"]), F.octet_length(x["b"])) - x["head"]
+        shared = F.least(_shared_bytes(x["a"], x["b"], True), room)
+        return let(shared, lambda tail: F.struct(x["head"].alias("start"), (F.octet_length(x["a"]) - tail).alias("a_end"), (F.octet_length(x["b"]) - tail).alias("b_end")))
+
+    raw = F.struct(a.cast("binary").alias("a"), b.cast("binary").alias("b"))
+    return F.when(a != b, let(raw, lambda x: let(F.struct(x["a"].alias("a"), x["b"].alias("b"), _shared_bytes(x["a"], x["b"], False).alias("head")), ends)))
