@@ -74,7 +74,7 @@ _LONGEST = "list_position(list_transform(m, lambda t: length(t)), list_max(list_
 @add(f"WITH p AS (SELECT doc_id, regexp_extract_all(text, {_q(tx.TOKEN)}) AS m, regexp_split_to_array(text, {_q(tx.TOKEN)}) AS x FROM documents), i AS (SELECT *, {_LONGEST}::INTEGER AS i FROM p WHERE len(m) > 0), s AS (SELECT doc_id, m[i] AS t, (coalesce(list_sum(list_transform(x[1:i], lambda y: strlen(y))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: strlen(y))), 0))::INTEGER AS start FROM i) SELECT doc_id, start, (start + strlen(t))::INTEGER AS \"end\" FROM s", plain=True)
 def longest_token(spark, sf_dir):
     """Byte range of the earliest longest token of each document, which a control contributes."""
-    d = fx.table(spark, sf_dir, "documents").select("doc_id", tx.longest_token(F.col("text")).alias("t"))
+    d = tx.once(fx.table(spark, sf_dir, "documents").select("doc_id", "text"), "t", tx.longest_token(F.col("text")))
     return d.where("t is not null").select("doc_id", "t.start", "t.end")
 
 
