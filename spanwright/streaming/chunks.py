@@ -14,10 +14,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from spanwright.functions.text import let
 from spanwright.sources.fixtures import PATTERNS, TOKEN_HEAD, TOKEN_TAIL
 
 SPANS = "doc_id long, family string, start int, end int, env_start int, env_end int"
@@ -55,9 +56,12 @@ class Reader:
 
 def cut(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, k, chunk, last: the text of each document in chunks of so many bytes; an empty or null one is a single empty chunk."""
-    raw = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
-    n = F.greatest(F.ceil(F.octet_length(raw) / size), F.lit(1)).cast("int")
-    chunks = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(k.alias("k"), F.substring(raw, k * size + 1, F.lit(size)).alias("chunk"), (k == n - 1).alias("last")))
+
+    def pieces(raw: Column) -> Column:
+        n = F.greatest(F.ceil(F.octet_length(raw) / size), F.lit(1)).cast("int")
+        return let(n, lambda n: F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(k.alias("k"), F.substring(raw, k * size + 1, F.lit(size)).alias("chunk"), (k == n - 1).alias("last"))))
+
+    chunks = let(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), pieces)  # the bytes are taken once, not once a chunk
     return docs.select("doc_id", F.explode(chunks).alias("c")).select("doc_id", "c.*")
 
 
