@@ -195,7 +195,7 @@ def select_bases(candidates: DataFrame, quotas: dict[str, int] = QUOTAS, version
     quota = F.coalesce(*[F.when(F.col("stratum") == k, q) for k, q in quotas.items()], F.lit(0))
     order = F.sha2(F.concat(F.lit(f"{version}:"), F.col("base_id").cast("string")), 256)
     place = F.row_number().over(Window.partitionBy("stratum").orderBy(order, "base_id"))
-    return candidates.where(fits & (quota > 0)).withColumn("place", place).where(F.col("place") <= quota).drop("place")
+    return candidates.where(fits & (quota > 0)).withColumn("place", place).where(F.col("place") <= max(quotas.values())).where(F.col("place") <= quota).drop("place")
 
 
 def variants(bases: DataFrame) -> DataFrame:

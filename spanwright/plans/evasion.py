@@ -18,13 +18,13 @@ from .measurement import Inputs
 
 def bases(spark, sf_dir):
     """Documents with one true value, and controls with their longest token; those of a token are statistical, controls flagged by ``wide`` are flagged."""
-    rows = Inputs(spark, sf_dir).measured.where("tier <> 'T0'")
+    rows = Inputs(spark, sf_dir).measured.where(F.col("bytes") <= evasion.MOST_BYTES).where("tier <> 'T0'")  # larger ones are no bases
     token = tx.longest_token(F.col("text"))
     control = F.col("kind") == "must-not-flag"
     at = F.when(control, F.struct(token["start"].cast("int").alias("start"), token["end"].cast("int").alias("end"))).when(F.size("truth") == 1, F.struct(F.get("truth", F.lit(0))["start"].alias("start"), F.get("truth", F.lit(0))["end"].alias("end")))
     flagged = F.exists("found", lambda f: f["scanner"] == "wide")
     stratum = F.when(control & flagged, "control:flagged").when(control, "control:unflagged").when(F.get("truth", F.lit(0))["family"] == "token", "must-redact:statistical").otherwise("must-redact:deterministic")
-    rows = rows.select(F.col("doc_id").alias("base_id"), "text", at.alias("at"), stratum.alias("stratum")).where("at is not null")
+    rows = tx.once(rows, "at", at).select(F.col("doc_id").alias("base_id"), "text", "at", stratum.alias("stratum")).where("at is not null")
     piece = lambda a, b: tx.byte_slice(F.col("text"), a, b)
     found = rows.select("base_id", "stratum", piece(F.lit(0), F.col("at.start")).alias("before"), piece(F.col("at.start"), F.col("at.end")).alias("value"), piece(F.col("at.end"), F.octet_length("text")).alias("after"))
     return evasion.select_bases(found)
