@@ -30,6 +30,12 @@ def render(text: Column, spans: Column) -> Column:
     return let(kept, join)
 
 
+def outputs(text: Column, found: Column, scanners: list[str]) -> Column:
+    """Array of the text as bytes after each of the scanners, by its findings in the row (scanner, start, end, action)."""
+    of = lambda name: F.transform(F.filter(found, lambda f: (f["scanner"] == name) & (f["action"] == REPLACING)), lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end")))
+    return F.array(*[render(text, of(name)) for name in scanners])
+
+
 def occurrences(text: Column, value: Column) -> Column:
     return F.try_divide(F.octet_length(text) - F.octet_length(F.replace(text, value, F.lit(""))), F.octet_length(value)).cast("int")
 

@@ -180,6 +180,19 @@ def test_needles(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_needles_that_share_a_part(spark, monkeypatch):
+    monkeypatch.setattr(needles, "BLOCK", 4, raising=False)
+    secrets = [f"{chr(97 + k % 5)}{k}.example.com" for k in range(30)] + [f"{k}-{k}" for k in range(5)]
+    texts = [f"mail {k} {secrets[k]} {secrets[(7 * k) % 30][3:]}" for k in range(30)] + ["x.example.org", "3-3 b.example.com", "3-3 b.example.com"]
+    parts = {s: [s] if len(s) <= 12 else [w for w in (s[k : k + 12] for k in range(len(s) - 11)) if len(set(w)) >= 4] for s in secrets}
+    want = {(i, s, s in t, True) for i, t in enumerate(texts) for s in secrets if any(p in t for p in parts[s])}
+    found = needles.scan(spark.createDataFrame(list(enumerate(texts)), "text_id long, text string").repartition(3), spark.createDataFrame([(s,) for s in secrets], "secret string"))
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)
+    pairs = found._jdf.queryExecution().sparkPlan().toString()  # pairs come out of their join as they are
+    assert "Join" in pairs and "Aggregate" not in pairs.split("Join")[0]
+
+
 def test_differences_by_meaning(spark):
     a = {"v": 1, "rows": [{"id": "x", "n": 1}, {"id": "y", "n": 2}], "same": [1, {"q": None}], "skip": 1}
     b = {"v": "1", "rows": [{"id": "y", "n": 3}, {"id": "z"}], "same": [1, {"q": None}], "new": True, "skip": 2}
