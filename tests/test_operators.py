@@ -121,6 +121,17 @@ def test_similar_pairs(spark):
     assert got == {(1, 2): round(17 / 19, 4), (4, 4): 1.0}
 
 
+def test_near_copies_send_their_sets_once(spark):
+    words = ["word" + chr(97 + k // 26 // 26) + chr(97 + k // 26 % 26) + chr(97 + k % 26) for k in range(800)]
+    docs = [(i, " ".join(w for k, w in enumerate(words) if k != 19 * i + 3)) for i in range(40)] + [(40, " ".join(words[:500])), (41, "other words here"), (42, " ".join(words[:4])), (43, " ".join(words[:3]))]
+    sets = {i: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for i, t in docs}
+    want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in sets for b in sets if a < b and 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    found = independence.similar_pairs(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    rows = found.collect()
+    assert {(r["a"], r["b"]): round(r["similarity"], 6) for r in rows} == want and len(rows) == len(want)
+    assert "array_intersect" not in found._jdf.queryExecution().optimizedPlan().toString()  # no set is joined to each of its pairs
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
     assert {r["comp"] for r in independence.components(spark, edges).collect()} == {0}
