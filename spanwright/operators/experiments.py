@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwright.functions.text import let
+from spanwright.storage import written
 
 from .calibration import HIGH_FALSE_ALARM, lower_median, ramp
 
@@ -109,6 +110,7 @@ def histograms(counted: DataFrame, specs: list[Spec], measures: list[str]) -> Da
     table = spark.createDataFrame([(i, list(s.randomness), list(s.lexical), s.r, s.l, s.c) for i, s in enumerate(specs)], "spec int, randomness array<string>, lexical array<string>, r int, l int, c int")
     values = F.map_from_arrays(F.array(*map(F.lit, measures)), F.array(*measures))
     plain = counted.select("fold", "evaluation", "positive", "independent", "context", "negative", "n", "w", values.alias("values"))
+    plain = plain.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # a cell becomes many rows
     every = plain.join(F.broadcast(_ramps(counted, folds, measures)))  # a row a fold
     every = every.where(~F.col("evaluation") | (F.col("left_out") == ALL)).join(F.broadcast(table))  # a row a configuration
     score = _group(F.col("randomness"), F.col("r"), F.col("values")) + _group(F.col("lexical"), F.col("l"), F.col("values")) + F.when(F.col("context"), F.col("c")).otherwise(0)
@@ -175,10 +177,10 @@ def run(rows: DataFrame, specs: list[Spec], measures: list[str], weight: str | N
     and that no group alone, nor randomness and lexical together, reaches.
     """
     spark = rows.sparkSession
-    counted = cells(rows, measures, weight).persist()
-    hist = histograms(counted, specs, measures).persist()
-    fitted = thresholds(hist, specs).persist()
-    errors = balanced_errors(hist, fitted).join(fitted, ["spec", "left_out"]).persist()
+    counted = written(cells(rows, measures, weight), "cells")  # rows are read once, and later plans begin here
+    hist = written(histograms(counted, specs, measures), "histograms")
+    fitted = written(thresholds(hist, specs), "thresholds")
+    errors = written(balanced_errors(hist, fitted).join(fitted, ["spec", "left_out"]), "errors")
     full = errors.where(F.col("left_out") == ALL).select("spec", "low", "medium", "high", F.col("development").alias("error"), F.col("evaluation").alias("evaluation_error"))
     out = errors.where(F.col("left_out") != ALL).groupBy("spec").agg(F.min("medium").alias("medium_from"), F.max("medium").alias("medium_to"), F.min("high").alias("high_from"), F.max("high").alias("high_to"), F.coalesce(F.max("held"), F.lit(0.0)).alias("worst_held"))
     names = spark.createDataFrame([(i, s.name, s.r, s.l, s.c, s.most, s.parameters) for i, s in enumerate(specs)], "spec int, name string, r int, l int, c int, most int, parameters int")

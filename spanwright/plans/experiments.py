@@ -69,7 +69,7 @@ def candidates(spark, sf_dir):
     spans = F.concat(F.transform("truth", lambda v: F.struct(v["start"].cast("int").alias("start"), v["end"].cast("int").alias("end"))), F.transform(of_control, lambda t: F.struct(t["start"].cast("int").alias("start"), t["end"].cast("int").alias("end"))))
     each = rows.select("doc_id", "text", "source", "kind", F.explode(spans).alias("s"))
     v = tx.byte_slice(F.col("text"), F.col("s.start"), F.col("s.end"))
-    each = each.withColumn("v", v).withColumn("before", F.hex(F.substring(F.encode("text", "UTF-8"), F.col("s.start"), F.lit(1))))
+    each = each.withColumn("v", v).withColumn("before", F.hex(F.substring(F.col("text").cast("binary"), F.col("s.start"), F.lit(1))))
     number = F.regexp_extract("source", "[0-9]+", 0)
     positive = F.when(F.col("kind") == "must-redact", True).when(F.col("kind") == "must-not-flag", False)
     classes = sum((F.col("v").rlike(p).cast("int") for p in _CLASSES), F.lit(0))

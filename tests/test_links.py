@@ -120,6 +120,14 @@ def test_experiment_grid(spark):
     assert {r["name"]: (r["low"], r["medium"], r["high"], r["error"]) for r in moved} == {r["name"]: (r["low"], r["medium"], r["high"], r["error"]) for r in got}
 
 
+def test_experiment_grid_starts_from_written_tables(spark):
+    rows = spark.createDataFrame([(f"f{i % 2}", i % 4 == 0, i % 3 == 0, True, i % 5 == 0, False, i % 9) for i in range(40)], "fold string, evaluation boolean, positive boolean, independent boolean, context boolean, negative boolean, r int")
+    out = experiments.run(rows, experiments.grid({"q": ("r",)}, {"l0": ()})[::7], ["r"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" not in plan  # nothing of the rows' plan is left in it
+    assert len(out.collect()) == len(experiments.grid({"q": ("r",)}, {"l0": ()})[::7])
+
+
 def test_neighbours_are_one_step_away():
     pool = experiments.grid({"q1": ("r",)}, {"l1": ("l",), "l0": ()})
     of = lambda name: {s.name for s in experiments.neighbours(next(s for s in pool if s.name == name), pool)}
