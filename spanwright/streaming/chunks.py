@@ -14,22 +14,24 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from spanwright.functions.text import let
-from spanwright.sources.fixtures import PATTERNS, TOKEN_HEAD, TOKEN_TAIL
+from spanwright.sources.fixtures import HOLDS, PATTERNS, TOKEN_HEAD, TOKEN_TAIL
 
 SPANS = "doc_id long, family string, start int, end int, env_start int, env_end int"
-_COMPILED = {family: re.compile(pattern.encode()) for family, pattern in PATTERNS.items()}
+_FIELDS = [("doc_id", pa.int64()), ("family", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("env_start", pa.int32()), ("env_end", pa.int32())]
+_COMPILED = {family: (re.compile(pattern.encode()), HOLDS.get(family, "").encode()) for family, pattern in PATTERNS.items()}
 
 
 @dataclass
 class Reader:
     """What is left of one document: the open line, where it begins, the chunk that is due, and chunks that came early."""
 
-    line: bytes = b""
+    line: bytearray = field(default_factory=bytearray)
     start: int = 0
     due: int = 0
     early: dict[int, tuple[bytes, bool]] = field(default_factory=dict)
@@ -42,14 +44,17 @@ class Reader:
         while self.due in self.early and not self.done:
             data, end = self.early.pop(self.due)
             self.due += 1
+            left = 0 if end else len(data) - data.rfind(b"\n") - 1  # only the new bytes are searched for a line end
             self.line += data
-            whole = len(self.line) if end else self.line.rfind(b"\n") + 1
-            yield from self._found(self.line[:whole])
-            self.line, self.start, self.done = self.line[whole:], self.start + whole, end
+            self.done = end
+            whole = len(self.line) - left
+            if whole > 0 and (end or left < len(data)):
+                yield from self._found(bytes(self.line[:whole]))
+                self.line, self.start = self.line[whole:], self.start + whole
 
     def _found(self, text: bytes) -> Iterator[tuple]:
-        for family, pattern in _COMPILED.items():
-            for m in pattern.finditer(text):
+        for family, (pattern, holds) in _COMPILED.items():
+            for m in pattern.finditer(text) if holds in text else ():
                 a, b = m.start() + self.start, m.end() + self.start
                 yield (family, a + TOKEN_HEAD, b - TOKEN_TAIL, a, b) if family == "token" else (family, a, b, None, None)
 
@@ -71,15 +76,21 @@ def _frame(doc_id: int, found: list[tuple]) -> pd.DataFrame:
 
 
 def values(chunks: DataFrame) -> DataFrame:
-    """doc_id and the true values (family, start, end, env_start, env_end) of a batch of chunks (doc_id, k, chunk, last); a document at a time."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        reader, found = Reader(), []
-        for r in rows.sort_values("k").itertuples():
-            found += reader.take(int(r.k), bytes(r.chunk), bool(r.last))
-        return _frame(key[0], found)
-
-    return chunks.groupBy("doc_id").applyInPandas(run, SPANS)
+    """doc_id and the true values (family, start, end, env_start, env_end) of a batch of chunks (doc_id, k, chunk, last); each task reads its documents' chunks in order, one after the other."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, reader = object(), Reader()  # no id equals the first
+        for rows in it:
+            found = []
+            for doc_id, k, chunk, last in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                if doc_id != now:
+                    now, reader = doc_id, Reader()
+                found += [(doc_id, *f) for f in reader.take(k, chunk, last)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*found, strict=True), _FIELDS, strict=True)], [n for n, _ in _FIELDS])
+
+    rows = chunks.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("k").cast("long").alias("k"), "chunk", "last")
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "k").mapInArrow(run, SPANS)
 
 
 def values_stream(chunks: DataFrame) -> DataFrame:
